@@ -4,27 +4,49 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, tokencount
+from . import bpe, html, langid, packing, quality, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(divisor: int):
+    """crc32(doc_id as text) mod ``divisor``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(remainder(4) != 2))
+    return langid.identify(docs, model, keep=["doc_id"]).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False, keep=["doc_id"])
 
 
+def op5_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
+def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs.filter(remainder(5) != 0), table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op6_token_counts, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_byte_bpe, op5_wrapper_text, op6_token_counts, op7_attention_quality, op8_best_fit_packing)}
 
 #: Queries that SQL can express.
 ORACLES: dict[str, str] = {}
