@@ -1,6 +1,6 @@
 """Language-model scores by prediction by partial matching (PPM).
 
-A trie of byte contexts up to order 3 is counted over all training documents; a byte's probability falls back from the
+A trie of byte contexts up to order ORDER is counted over all training documents; a byte's probability falls back from the
 longest context by escape estimation (method C), with the symbols of longer contexts excluded. Texts end with an end
 symbol; contexts before the start are filled up. Beside it stands an add-one word model.
 
@@ -22,17 +22,22 @@ from ._common import col, saved
 
 #: Bytes that UTF-8 never has: the end symbol, and what stands before the start.
 END, START = 0xFF, 0xFE
-ORDER = 3
+ORDER = 5
 SYMBOLS = 256
 #: Text bytes of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 24 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def text_grams(text: str) -> np.ndarray:
-    """For each byte of the text and the end symbol: the three bytes before it and itself, as one 32-bit number."""
-    b = np.frombuffer(bytes([START] * ORDER) + text.encode() + bytes([END]), np.uint8).astype(np.uint32)
-    return (b[:-3] << np.uint32(24)) | (b[1:-2] << np.uint32(16)) | (b[2:-1] << np.uint32(8)) | b[3:]
+    """For each byte of the text and the end symbol: the ORDER bytes before it and itself, as one number."""
+    b = np.frombuffer(bytes([START] * ORDER) + text.encode() + bytes([END]), np.uint8).astype(np.int64)
+    n = len(b) - ORDER
+    out = b[:n].copy()
+    for k in range(1, ORDER + 1):
+        out <<= 8
+        out |= b[k : k + n]
+    return out
 
 
 def word_hashes(text: str, known: dict[bytes, int]) -> np.ndarray:
@@ -66,7 +71,7 @@ def _asked(rows: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray, np.nda
                     held[t].clear()
 
         for text, train in rows:
-            x = text_grams(text).astype(np.int64) if kind == 0 else word_hashes(text, known)
+            x = text_grams(text) if kind == 0 else word_hashes(text, known)
             held[train].append(x)
             size += len(x)
             if size >= 1 << 21:
@@ -86,7 +91,7 @@ def _asked(rows: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def gram_chances(grams: DataFrame) -> DataFrame:
-    """gram, lp: log10 probability of a gram's last byte after its first three, for every row of ``grams`` (gram, c).
+    """gram, lp: log10 probability of a gram's last byte after those before it, for every row of ``grams`` (gram, c).
 
     c is the training count, 0 for grams that are only asked for. With n and d the total and the distinct symbols of a
     context, a symbol met there has c / (n + d) and the escape d / (n + d); after an escape the symbols of the longer
@@ -94,12 +99,12 @@ def gram_chances(grams: DataFrame) -> DataFrame:
     """
     met = grams.filter("c > 0")
     # contexts as numbers: of order k the last k bytes before the symbol
-    level = {3: met.select((F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF))).alias("g"), "c")}
-    for k in (2, 1, 0):
+    level = {ORDER: met.select(F.col("gram").alias("g"), "c")}
+    for k in range(ORDER - 1, -1, -1):
         level[k] = level[k + 1].groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("g")).agg(F.sum("c").alias("c"))
         level[k] = saved(level[k], f"ppm-{k}")
     totals = {}
-    for k in (3, 2, 1, 0):
+    for k in range(ORDER, -1, -1):
         t = level[k]
         if k:
             low = level[k - 1].select(F.col("g").alias("s"), F.col("c").alias("m"))
@@ -108,19 +113,19 @@ def gram_chances(grams: DataFrame) -> DataFrame:
             t = t.withColumn("m", F.lit(0).cast("long"))
         totals[k] = t.groupBy(F.shiftright("g", 8).alias(f"x{k}")).agg(F.sum("c").alias(f"n{k}"), F.count("*").alias(f"d{k}"), F.sum("m").alias(f"m{k}"))
         totals[k] = saved(totals[k], f"ppm-contexts-{k}")
-    out = grams.select("gram", F.col("c").alias("c3"))
-    for k in (2, 1, 0):
+    out = grams.select("gram", F.col("c").alias(f"c{ORDER}"))
+    for k in range(ORDER - 1, -1, -1):
         key = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
         out = out.withColumn("g", key).join(level[k].select("g", F.col("c").alias(f"c{k}")), "g", "left").drop("g")
-    for k in (3, 2, 1, 0):
+    for k in range(ORDER, -1, -1):
         key = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)) if k else F.lit(0).cast("long")
         out = out.withColumn(f"x{k}", key).join(totals[k], f"x{k}", "left").drop(f"x{k}")
     out = out.fillna(0)
     lp, passed = F.lit(None).cast("double"), F.lit(0.0)
-    for k in (3, 2, 1, 0):
+    for k in range(ORDER, -1, -1):
         # what the longer context has taken out (nothing, if it was never met)
-        n = F.col(f"n{k}") - (F.col(f"m{k + 1}") if k < 3 else F.lit(0))
-        d = F.col(f"d{k}") - (F.col(f"d{k + 1}") if k < 3 else F.lit(0))
+        n = F.col(f"n{k}") - (F.col(f"m{k + 1}") if k < ORDER else F.lit(0))
+        d = F.col(f"d{k}") - (F.col(f"d{k + 1}") if k < ORDER else F.lit(0))
         here = F.when(F.col(f"c{k}") > 0, passed + F.log10(F.col(f"c{k}") / (n + d)))
         lp = F.coalesce(lp, here)
         passed = passed + F.when(d > 0, F.log10(d / (n + d))).otherwise(0.0)
@@ -139,7 +144,7 @@ def score(docs: DataFrame, train_flag, id_col: str = "doc_id", text_col: str = "
     """
     base = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"), F.coalesce(train_flag, F.lit(False)).alias("train"))
     size = base.agg(F.sum(F.octet_length("text")).alias("b"), F.sum(F.col("train").cast("long")).alias("t")).first()
-    n_blocks, train_docs = max(64, -(-(size["b"] or 0) // block_bytes)), size["t"] or 0
+    n_blocks, train_docs = max(24, -(-(size["b"] or 0) // block_bytes)), size["t"] or 0
     dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
 
     def ask(t: pa.Table) -> pa.Table:
@@ -171,7 +176,7 @@ def score(docs: DataFrame, train_flag, id_col: str = "doc_id", text_col: str = "
         out: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score")}
         for text in left.column("text").to_pylist():
             u, n = np.unique(text_grams(text), return_counts=True)
-            out["score"].append(float(n @ gv[np.searchsorted(gk, u.astype(np.int64))]))
+            out["score"].append(float(n @ gv[np.searchsorted(gk, u)]))
             w = word_hashes(text, seen)
             u, n = np.unique(w, return_counts=True)
             at = np.searchsorted(wk, u)
