@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, langid, packing, ppm, quality, simhash, tokencount
+from . import ann, bpe, html, langid, minhash, packing, ppm, quality, simhash, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +55,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ppm.score(table(spark, sf_dir, "documents"), remainder(7) != 2)
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_additive_neighbours, op4_byte_bpe, op5_wrapper_text, op6_token_counts, op7_attention_quality, op8_best_fit_packing, op10_ppm_score)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_additive_neighbours, op4_byte_bpe, op5_wrapper_text, op6_token_counts, op7_attention_quality, op8_best_fit_packing, op9_minhash, op10_ppm_score)}
 
 #: Queries that SQL can express.
 ORACLES: dict[str, str] = {}
