@@ -37,7 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest id, of each group of near-duplicates (five words, 0.8 or more)."""
-    return minhash.deduplicated(docs, percent=80, k=48, agree=25)
+    return minhash.deduplicated(docs, percent=80)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,23 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
+#: Coordinates of which one bit each is kept, to refute candidates before their texts are read.
+BIT_COORDINATES = 512
+
+
+def one_bits(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """One bit of the smallest value for each pair of coefficients, packed into longs."""
+    best = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), 512):
+        best = np.minimum(best, (a * s[i : i + 512] + b).min(1))
+    return np.packbits(((best >> np.uint64(32)) & np.uint64(1)).astype(np.uint8)).view(np.int64).tolist()
+
+
+def least_agreement(n: int, share: float) -> int:
+    """Five standard deviations below the mean of ``n`` trials that succeed with chance ``share``: missed once in a million."""
+    return int(n * share - 5 * (n * share * (1 - share)) ** 0.5)
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, k: int = 48) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, h1, h2 (128 bits of the whole set), sig (``k`` coordinates as long keys)."""
     tune(docs.sparkSession)
@@ -132,7 +149,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return two.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, k: int = 48, agree: int = 28, pivots: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, k: int = 48, pivots: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
 
     A document's set is its distinct ``width``-word shingles (fewer words: the whole sequence; none: empty, linked with
@@ -140,10 +157,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept says that it is the document's own. Equal sets are one class before any pair is made. For large lists of one
     key a pivot, first the member with the commonest keys, is compared with all others; then only pairs whose members
     are still in different components are made, so a group of copies costs in proportion to its size, and no link that
-    could join components is left out. Signatures agree in ``agree`` of ``k`` coordinates at similarity 0.85 with a chance
-    of 1 - 2e-6 or better. Null texts are empty; rows with a null id are their own component (null) and kept; rows
+    could join components is left out. Candidates agree in at least as many coordinates as five standard deviations below
+    the mean at the required similarity, in the ``k`` that are posted and in one bit of 512 others each; their set sizes
+    allow the similarity. Null texts are empty; rows with a null id are their own component (null) and kept; rows
     that repeat an id count each by its own text. Other columns are not read.
     """
+    agree, alike = least_agreement(k, percent / 100), least_agreement(BIT_COORDINATES, (1 + percent / 100) / 2)
     base = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     rows = saved(sketches(base, "doc_id", "text", width, k), "sketches")
     filled = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -153,20 +172,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keys.join(common, "key").groupBy("rep", "h1").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own")).filter(F.size("own") >= agree)
     # a node is a class: its number is the hash of its set, as one id may have several texts
     nodes = saved(shared.select(F.col("h1").alias("node"), F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), F.col("own.key").alias("keys"), F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("typical")), "candidates")
-    posted = saved(nodes.select("node", "typical", F.explode(F.slice("keys", F.lit(1), F.size("keys") - agree + 1)).alias("key")), "postings")
     own = F.xxhash64("text").alias("th")
     texts = base.select("doc_id", own, "text").join(nodes.select("node", F.col("rep").alias("doc_id"), "th"), ["doc_id", "th"])
-    texts = saved(texts.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "candidate-texts")
+    texts = texts.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    two = coefficients(BIT_COORDINATES, 2)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Shingler(width)
+        for batch in batches:
+            found = [sets(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([one_bits(x, *two) for x in found], pa.list_(pa.int64()))], names=["doc_id", "text", "size", "bits"])
+
+    texts = saved(texts.mapInArrow(bits, "doc_id long, text string, size long, bits array<long>"), "candidate-texts")
+    sizes = texts.select(F.col("doc_id").alias("node"), "size", *[F.col("bits")[i].alias(f"b{i}") for i in range(BIT_COORDINATES // 64)])
+    posted = saved(nodes.join(sizes, "node").select("node", "typical", *sizes.columns[1:], F.explode(F.slice("keys", F.lit(1), F.size("keys") - agree + 1)).alias("key")), "postings")
+    told = ["comp", *sizes.columns[1:]]
+
+    def likely(other: DataFrame):
+        """Different components, sizes and bits that allow the similarity; ``other`` has the told columns with an o before."""
+        same = F.lit(BIT_COORDINATES)
+        for i in range(BIT_COORDINATES // 64):
+            same = same - F.bit_count(F.col(f"b{i}").bitwiseXOR(other[f"ob{i}"]))
+        return (F.col("comp") != other["ocomp"]) & (100 * F.least("size", other["osize"]) >= percent * F.greatest("size", other["osize"])) & (same >= alike)
+
     links, comps = None, nodes.select("node", F.col("node").alias("comp"))
     for step in range(pivots + 1):
         at = saved(posted.join(comps, "node"), "postings-now")
-        lists = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct(*([F.col("typical")] if not step else []), F.xxhash64("node", F.lit(step)).alias("h"), "node", "comp")).alias("p"), F.mode("comp").alias("most")).filter("lo <> hi")
+        first = [F.col("typical")] if not step else []
+        lists = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct(*first, F.xxhash64("node", F.lit(step)).alias("h"), F.col("node").alias("pivot"), *[F.col(c).alias(f"o{c}") for c in told])).alias("p"), F.mode("comp").alias("most")).filter("lo <> hi")
         if step < pivots:
-            pairs = at.join(lists.select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pc")), "key").filter("comp <> pc").select("pivot", "node")
+            other = lists.select("key", "p.pivot", *[f"p.o{c}" for c in told])
+            pairs = at.join(other, (at["key"] == other["key"]) & likely(other)).select("pivot", "node")
         else:
             many = at.join(lists.select("key", "most"), "key")
-            out = many.filter("comp <> most").select("key", F.col("node").alias("pivot"), F.col("comp").alias("pc"))
-            pairs = out.join(many.select("key", "node", "comp"), "key").filter("comp <> pc").select("pivot", "node")
+            other = many.filter("comp <> most").select(F.col("key").alias("okey"), F.col("node").alias("pivot"), *[F.col(c).alias(f"o{c}") for c in told])
+            pairs = many.join(other, (many["key"] == other["okey"]) & likely(other)).select("pivot", "node")
         pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         with_keys = pairs.join(nodes.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(nodes.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
         near = saved(with_keys.filter(F.size(F.array_intersect("ka", "kb")) >= agree).select("a", "b"), "pairs")
