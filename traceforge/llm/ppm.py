@@ -158,8 +158,9 @@ def score(docs: DataFrame, train_flag, id_col: str = "doc_id", text_col: str = "
     words = summed.filter("kind = 1 AND c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = (words["n"] or 0) + train_docs, words["v"] + (train_docs > 0)
     chances = gram_chances(summed.filter("kind = 0").select(F.col("key").alias("gram"), "c"))
-    grams = summed.filter("kind = 0").select(F.col("key").alias("gram"), "blocks").join(chances, "gram").select(F.explode("blocks").alias("block"), F.lit(0).alias("kind"), F.col("gram").alias("key"), F.col("lp").alias("value"))
-    known = summed.filter("kind = 1 AND c > 0").select(F.explode("blocks").alias("block"), F.lit(1).alias("kind"), "key", F.log10(F.col("c") + 1).alias("value"))
+    grams = summed.filter("kind = 0").select(F.col("key").alias("gram"), "blocks").join(chances, "gram").select(F.explode("blocks").alias("block"), F.lit(0).alias("kind"), F.col("gram").alias("key"), F.col("lp").cast("float").cast("double").alias("value"))
+    known = summed.filter("kind = 1 AND c > 0").select(F.explode("blocks").alias("block"), F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("value"))
+    # single precision for a gram and a count for a word: what the shuffle carries compresses to half
     answers = grams.unionByName(known)
     unit = math.log10(total + 1 * (distinct + 1))
     end = math.log10(train_docs + 1)
@@ -172,6 +173,7 @@ def score(docs: DataFrame, train_flag, id_col: str = "doc_id", text_col: str = "
             order = np.argsort(key[on])
             tables.append((key[on][order], value[on][order]))
         (gk, gv), (wk, wv) = tables
+        wv = np.log10(wv + 1)
         seen: dict[bytes, int] = {}
         out: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score")}
         for text in left.column("text").to_pylist():
