@@ -382,9 +382,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
     Text statistics are summed before any shuffle, so a host's pages never meet in one task; what meets are its distinct
     shapes, each with the sums of its slots.
     """
-    distinct = pages.select("host", "shape", "blocks", F.xxhash64("blocks").alias("page")).dropDuplicates(["host", "shape", "page"])
-    slot = distinct.select("host", "shape", "page", F.explode("blocks").alias("b")).groupBy("host", "shape", "page", F.col("b.path").alias("path"))
-    texts = slot.agg(F.bit_xor(F.xxhash64("b.text")).alias("h"), F.sum(F.length("b.text")).alias("chars"), F.sum("b.linked").alias("linked"))
+    brief = F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("h"), F.length(b["text"]).alias("chars"), b["linked"].alias("linked")))
+    distinct = pages.select("host", "shape", brief.alias("brief"), F.xxhash64("blocks").alias("page")).dropDuplicates(["host", "shape", "page"])
+    slot = distinct.select("host", "shape", "page", F.explode("brief").alias("b")).groupBy("host", "shape", "page", F.col("b.path").alias("path"))
+    texts = slot.agg(F.bit_xor("b.h").alias("h"), F.sum("b.chars").alias("chars"), F.sum("b.linked").alias("linked"))
     each = texts.groupBy("host", "shape", "path", "h").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     stats = each.groupBy("host", "shape", "path").agg(F.sum("n").alias("pages"), F.max("n").alias("same"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     by_shape = stats.groupBy("host", "shape").agg(F.to_json(F.sort_array(F.collect_list(F.struct("path", "pages", "same", "chars", "linked")))).alias("slots"))
