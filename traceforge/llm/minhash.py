@@ -63,14 +63,16 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 #: Coordinates of which one bit each is kept, to refute candidates before their texts are read.
-BIT_COORDINATES = 512
+BIT_COORDINATES = 1024
+#: So many of them, the first, go with the postings of pivots.
+PIVOT_BITS = 512
 
 
 def one_bits(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
     """One bit of the smallest value for each pair of coefficients, packed into longs."""
     best = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 512):
-        best = np.minimum(best, (a * s[i : i + 512] + b).min(1))
+    for i in range(0, len(s), 64):
+        best = np.minimum(best, (a * s[i : i + 64] + b).min(1))
     return np.packbits(((best >> np.uint64(32)) & np.uint64(1)).astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -158,11 +160,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key a pivot, first the member with the commonest keys, is compared with all others; then only pairs whose members
     are still in different components are made, so a group of copies costs in proportion to its size, and no link that
     could join components is left out. Candidates agree in at least as many coordinates as five standard deviations below
-    the mean at the required similarity, in the ``k`` that are posted and in one bit of 512 others each; their set sizes
+    the mean at the required similarity, in the ``k`` that are posted and in one bit of 1024 others each (pivots: 512); their set sizes
     allow the similarity. Null texts are empty; rows with a null id are their own component (null) and kept; rows
     that repeat an id count each by its own text. Other columns are not read.
     """
-    agree, alike = least_agreement(k, percent / 100), least_agreement(BIT_COORDINATES, (1 + percent / 100) / 2)
+    agree = least_agreement(k, percent / 100)
     base = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     rows = saved(sketches(base, "doc_id", "text", width, k), "sketches")
     filled = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -185,28 +187,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = saved(texts.mapInArrow(bits, "doc_id long, text string, size long, bits array<long>"), "candidate-texts")
     sizes = texts.select(F.col("doc_id").alias("node"), "size", *[F.col("bits")[i].alias(f"b{i}") for i in range(BIT_COORDINATES // 64)])
-    posted = saved(nodes.join(sizes, "node").select("node", "typical", *sizes.columns[1:], F.explode(F.slice("keys", F.lit(1), F.size("keys") - agree + 1)).alias("key")), "postings")
-    told = ["comp", *sizes.columns[1:]]
+    held = saved(nodes.join(sizes, "node").withColumn("keys", F.slice("keys", F.lit(1), F.size("keys") - agree + 1)), "prefixes")
 
-    def likely(other: DataFrame):
-        """Different components, sizes and bits that allow the similarity; ``other`` has the told columns with an o before."""
-        same = F.lit(BIT_COORDINATES)
-        for i in range(BIT_COORDINATES // 64):
+    def likely(other: DataFrame, n: int):
+        """Different components, sizes and ``n`` bits that allow the similarity; ``other`` has the columns with an o before."""
+        same = F.lit(n)
+        for i in range(n // 64):
             same = same - F.bit_count(F.col(f"b{i}").bitwiseXOR(other[f"ob{i}"]))
-        return (F.col("comp") != other["ocomp"]) & (100 * F.least("size", other["osize"]) >= percent * F.greatest("size", other["osize"])) & (same >= alike)
+        return (F.col("comp") != other["ocomp"]) & (100 * F.least("size", other["osize"]) >= percent * F.greatest("size", other["osize"])) & (same >= least_agreement(n, (1 + percent / 100) / 2))
 
     links, comps = None, nodes.select("node", F.col("node").alias("comp"))
     for step in range(pivots + 1):
-        at = saved(posted.join(comps, "node"), "postings-now")
+        n_bits = PIVOT_BITS if step < pivots else BIT_COORDINATES
+        told = ["comp", "size", *[f"b{i}" for i in range(n_bits // 64)]]
+        # keys lie in one order for all nodes, so two nodes meet first at a key before which they share none
+        before = F.transform(F.slice("keys", F.lit(1), F.col("pos")), lambda x: F.hash(x))
+        at = held.join(comps, "node").select("node", "typical", *told, "keys", F.posexplode("keys").alias("pos", "key")).withColumn("keys", before).drop("pos")
+        at = saved(at if step == pivots else at.drop("keys"), "postings")
         first = [F.col("typical")] if not step else []
         lists = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct(*first, F.xxhash64("node", F.lit(step)).alias("h"), F.col("node").alias("pivot"), *[F.col(c).alias(f"o{c}") for c in told])).alias("p"), F.mode("comp").alias("most")).filter("lo <> hi")
         if step < pivots:
             other = lists.select("key", "p.pivot", *[f"p.o{c}" for c in told])
-            pairs = at.join(other, (at["key"] == other["key"]) & likely(other)).select("pivot", "node")
+            pairs = at.join(other, (at["key"] == other["key"]) & likely(other, n_bits)).select("pivot", "node")
         else:
             many = at.join(lists.select("key", "most"), "key")
-            other = many.filter("comp <> most").select(F.col("key").alias("okey"), F.col("node").alias("pivot"), *[F.col(c).alias(f"o{c}") for c in told])
-            pairs = many.join(other, (many["key"] == other["okey"]) & likely(other)).select("pivot", "node")
+            other = many.filter("comp <> most").select(F.col("key").alias("okey"), F.col("node").alias("pivot"), F.col("keys").alias("okeys"), *[F.col(c).alias(f"o{c}") for c in told])
+            pairs = many.join(other, (many["key"] == other["okey"]) & likely(other, n_bits) & ~F.arrays_overlap("keys", "okeys")).select("pivot", "node")
         pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         with_keys = pairs.join(nodes.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(nodes.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
         near = saved(with_keys.filter(F.size(F.array_intersect("ka", "kb")) >= agree).select("a", "b"), "pairs")
