@@ -83,3 +83,12 @@ def test_query_matches_its_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     text = lambda d: sorted(tuple("" if pd.isna(v) else v if isinstance(v, str) else f"{round(float(v), 6) + 0.0}" for v in r) for r in d[sorted(d.columns)].itertuples(index=False))
     assert text(got) == text(want)
+
+
+def test_dangling_ignores_molecules_without_a_condition_and_rekeying_moves_one_condition(spark):
+    m = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a")], "molecule_id int, condition_id string")
+    known = spark.createDataFrame([("b",)], "condition_id string")
+    assert sorted(r.molecule_id for r in curation.dangling(m, known).collect()) == [1, 4]
+    assert curation.dangling(m.limit(0), known).count() == 0
+    moved = curation.rekeyed(m, "a", "c")
+    assert {r.molecule_id: r.condition_id for r in moved.collect()} == {1: "c", 2: "b", 3: None, 4: "c"}
