@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import corrections, curation, population, select, spatial
+from ..operators import agreement, corrections, curation, kinetics, population, select, spatial
 from . import proxy
 
 BASE = """WITH f AS (SELECT user_id AS molecule_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame,
@@ -254,3 +254,75 @@ def u1_merged_labels(spark, sf):
 def f4_molecule_key(spark, sf):
     v = proxy.table(spark, sf, "embeddings")
     return v.select(F.col("vec_id").alias("id"), scalar.molecule_key(F.lit("movie"), F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")).alias("key"))
+
+
+@query(BASE + """, u AS (SELECT molecule_id, frame, CASE WHEN e IS NULL THEN -1 WHEN e < 0.3 THEN 0 WHEN e < 0.6 THEN 1 ELSE 2 END AS t, state AS r FROM p),
+g AS (SELECT molecule_id, count(DISTINCT r) FILTER (r <> -1) AS nr, count(DISTINCT t) FILTER (t <> -1) AS nt, count(*) FILTER (r <> -1 AND t <> -1) AS f, count(*) FILTER (r <> -1 AND r = t) AS s FROM u GROUP BY 1)
+SELECT round(avg((nr = nt)::INTEGER), 9) AS same_number, round(sum(s)::DOUBLE / sum(f), 9) AS same_state, sum(f)::BIGINT AS frames FROM g WHERE nr > 0 OR nt > 0""")
+def a28_path_agreement(spark, sf):
+    got = agreement.path_agreement(agreement.canonical(proxy.paths(spark, sf)), agreement.canonical(proxy.paths(spark, sf, 0.3, 0.6)))
+    return rounded(got, "same_number", "same_state")
+
+
+_CELLS = BASE + """, c AS (SELECT CAST(least(floor((t - 0.0) * 100 / 100.0), 99) AS INTEGER) AS tb, CAST(least(floor((e + 0.25) * 100 / 1.5), 99) AS INTEGER) AS bin, count(*) AS n FROM e WHERE e BETWEEN -0.25 AND 1.25 AND t BETWEEN 0 AND 100 GROUP BY 1, 2)"""
+
+
+@query(_CELLS + " SELECT tb, bin, n FROM c")
+def a15_cloud(spark, sf):
+    return agreement.cloud(proxy.efficiencies(spark, sf))
+
+
+@query(_CELLS + """, g AS (SELECT n, sum(n) AS m FROM c GROUP BY 1), s AS (SELECT n, (sum(m) OVER (ORDER BY n DESC))::DOUBLE / (sum(m) OVER ()) AS share FROM g)
+SELECT k.coverage::DOUBLE AS coverage, max(n)::BIGINT AS level FROM s JOIN (VALUES (0.5), (0.95)) k(coverage) ON share >= k.coverage - 1e-12 GROUP BY 1""")
+def a16_density_levels(spark, sf):
+    return agreement.density_levels(agreement.cloud(proxy.efficiencies(spark, sf)), "n", [0.5, 0.95])
+
+
+@query()
+def a3_bootstrap(spark, sf):
+    return rounded(agreement.bootstrap_histogram(proxy.efficiencies(spark, sf), resamples=200), "low", "high", "spread")
+
+
+_LAGS = """, x AS (SELECT molecule_id, frame, list(donor) OVER w AS ds, list(acceptor) OVER w AS ac, count(*) OVER w AS c, avg(donor) OVER w AS md, avg(acceptor) OVER w AS ma, stddev_pop(donor) OVER w * stddev_pop(acceptor) OVER w AS sd, corr(donor, acceptor) OVER w AS lag0
+FROM e WINDOW w AS (PARTITION BY molecule_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING)),
+y AS (SELECT molecule_id, frame AS start, lag0, abs(list_sum(list_transform(range(2, 16), lambda i: (ds[i] - md) * (ac[i - 1] - ma))) / (15 * sd)) AS lag1 FROM x WHERE c = 15 AND sd > 0)"""
+
+
+@query(BASE + _LAGS + """, h AS (SELECT *, start - row_number() OVER (PARTITION BY molecule_id ORDER BY start) AS g FROM y WHERE lag0 < 0 AND lag1 >= 0.5)
+SELECT molecule_id, min(start)::BIGINT AS start, (max(start) + 15)::BIGINT AS stop, count(*) AS windows, (arg_min(start, lag0) + 7)::BIGINT AS peak_frame, round(min(lag0), 6) AS peak, round(avg(lag0), 6) AS mean FROM h GROUP BY molecule_id, g""")
+def w4_anticorrelation_events(spark, sf):
+    got = rounded(agreement.anticorrelation(proxy.efficiencies(spark, sf)), "peak", "mean", digits=6)
+    return got.withColumns({c: F.col(c).cast("long") for c in ("start", "stop", "peak_frame")})
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 AND (doc_id % 40) / 100.0 <= 0.3 AND doc_id % 7 BETWEEN 1 AND 5 THEN 'corrected' ELSE 'apparent' END AS method FROM labels")
+def a20_correction_methods(spark, sf):
+    i = F.col("doc_id")
+    m = proxy.table(spark, sf, "labels").select(i.alias("molecule_id"), F.when(i % 5 != 0, (i % 40) / 100.0).alias("alpha"), (i % 7).cast("double").alias("gamma"))
+    return corrections.methods(m).withColumnRenamed("molecule_id", "id")
+
+
+@query("SELECT t::BIGINT AS t, round(0.7 * exp(-0.2 * t), 9) AS single, round(0.6 * exp(-0.5 * t) + 0.4 * exp(-0.05 * t), 9) AS double, round(0.9 * exp(-pow(0.1 * t, 0.6)), 9) AS stretched FROM range(50) g(t)")
+def f11_survival_forms(spark, sf):
+    t = F.col("id")
+    return rounded(spark.range(50).select(t.alias("t"), scalar.survival("single", t, 0.2, 0.7).alias("single"), scalar.survival("double", t, 0.5, 0.05, 0.6, 0.4).alias("double"), scalar.survival("stretched", t, 0.1, 0.6, 0.9).alias("stretched")), "single", "double", "stretched")
+
+
+def _values(spark, sf):
+    return proxy.efficiencies(spark, sf).select("molecule_id", "frame", F.col("e").alias("x"))
+
+
+@query()
+def i1_survival_fits(spark, sf):
+    return rounded(kinetics.fit_survival(population.survival(population.dwells(proxy.paths(spark, sf)))), "value", "error", "half_width", "r2", digits=6)
+
+
+@query()
+def i4_state_paths(spark, sf):
+    v = _values(spark, sf)
+    return kinetics.viterbi(v, kinetics.fit_hmm(v, 2, iterations=20))
+
+
+@query()
+def i6_level_curve(spark, sf):
+    return rounded(kinetics.level_curve(_values(spark, sf)), "rmse", digits=6)
