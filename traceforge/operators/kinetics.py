@@ -234,7 +234,8 @@ def elbow(ks: list[int], rmse: list[float]) -> int | None:
 def level_curve(values: DataFrame, most: int = 8, rounds: int = 60) -> DataFrame:
     """k, rmse, is_elbow of one-dimensional k-means for k up to ``most`` (or the number of distinct values).
 
-    Starts from quantiles; every round is one scan that serves all k and returns at most most * (most + 1) / 2 rows."""
+    Starts from quantiles; every round is one scan that serves all k, with at most most * (most + 1) / 2 rows of sums from a
+    task."""
     v = values.filter("x IS NOT NULL AND NOT isnan(x)").select(F.col("x").cast("double").alias("x")).persist()
     try:
         # distinct values are counted no further than matters
@@ -246,10 +247,17 @@ def level_curve(values: DataFrame, most: int = 8, rounds: int = 60) -> DataFrame
             q = v.agg(F.percentile("x", [(i + 0.5) / k for i in range(k)]).alias("q")).first()["q"]
             centres[k] = sorted(set(q))
         for _ in range(rounds):
-            place = lambda c: sum((F.when(F.col("x") > (a + b) / 2, 1).otherwise(0) for a, b in zip(c, c[1:])), F.lit(0))
-            near = lambda c: F.element_at(F.array(*map(F.lit, c)), place(c) + 1)
-            each = v.select("x", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), place(c).alias("c"), near(c).alias("m")) for k, c in centres.items()])).alias("z"))
-            got = each.groupBy("z.k", "z.c").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.sum((F.col("x") - F.col("z.m")) * (F.col("x") - F.col("z.m"))).alias("sq")).collect()
+
+            def step(batches: Iterator[pd.DataFrame], centres=centres) -> Iterator[pd.DataFrame]:
+                held = {k: np.zeros((3, len(c))) for k, c in centres.items()}
+                for d in batches:
+                    x = d["x"].to_numpy()
+                    for k, c in centres.items():
+                        at = np.searchsorted([(p + q) / 2 for p, q in zip(c, c[1:])], x)
+                        held[k] += [np.bincount(at, w, len(c)) for w in (None, x, (x - np.array(c)[at]) ** 2)]
+                yield pd.DataFrame([(k, i, *row) for k, h in held.items() for i, row in enumerate(h.T)], columns=["k", "c", "n", "s", "sq"])
+
+            got = v.mapInPandas(step, "k int, c int, n double, s double, sq double").groupBy("k", "c").agg(F.sum("n").alias("n"), (F.sum("s") / F.when(F.sum("n") > 0, F.sum("n"))).alias("mean"), F.sum("sq").alias("sq")).filter("n > 0").collect()
             new = {k: sorted(r["mean"] for r in got if r["k"] == k) for k in centres}
             error = {k: math.sqrt(sum(r["sq"] for r in got if r["k"] == k) / sum(r["n"] for r in got if r["k"] == k)) for k in centres}
             if all(len(new[k]) == len(centres[k]) and np.allclose(new[k], centres[k], rtol=0, atol=1e-9) for k in centres):
