@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from traceforge.functions import scalar
 from traceforge.operators import agreement, kinetics
 
 
@@ -39,6 +41,8 @@ def test_model_and_paths_recover_two_levels(spark):
     assert np.allclose(model["mean"], [0.2, 0.8], atol=0.02) and np.allclose(np.diag(model["trans"]), 0.9, atol=0.03)
     got = {(r.molecule_id, r.frame): r.state for r in kinetics.viterbi(v, model).collect()}
     assert set(got) == set(truth) and sum(got[k] == truth[k] for k in truth) >= 0.99 * len(truth)
+    rates = kinetics.rate_constants(v, 0.5).collect()
+    assert len(rates) == 2 and all(abs(r.k - 0.2) < 0.06 for r in rates)
     with pytest.raises(ValueError):
         kinetics.fit_hmm(v.filter("x IS NULL"))
 
@@ -79,3 +83,11 @@ def test_lags_equal_the_direct_sums(spark):
         den = 15 * x.std() * y.std()
         assert np.isclose(got[1, s].lag0, (x * y).sum() / den) and np.isclose(got[1, s].lag1, abs((x[1:] * y[:-1]).sum() / den))
     assert agreement.anticorrelation(f.limit(0)).count() == 0
+
+
+def test_window_bounds_end_with_the_trace(spark):
+    d = spark.createDataFrame([(10, 25, 20), (1, 5, 20), (19, 20, 20)], "a int, d int, n int")
+    tail = d.select(*scalar.tail_window(F.col("a"), F.col("d"), F.col("n"))).collect()
+    assert [tuple(r) for r in tail] == [(10, 20), (1, 5), (19, 20)]
+    around = d.select(*scalar.gamma_windows(F.col("a"), 3, F.col("n"))).collect()
+    assert [tuple(r) for r in around] == [(7, 10, 10, 13), (0, 1, 1, 4), (16, 19, 19, 20)]
