@@ -92,3 +92,11 @@ def test_dangling_ignores_molecules_without_a_condition_and_rekeying_moves_one_c
     assert curation.dangling(m.limit(0), known).count() == 0
     moved = curation.rekeyed(m, "a", "c")
     assert {r.molecule_id: r.condition_id for r in moved.collect()} == {1: "c", 2: "b", 3: None, 4: "c"}
+
+
+def test_similarity_skips_missing_features_and_breaks_ties_by_id(spark):
+    p = spark.createDataFrame([(1, 0.0, 5.0), (4, 2.0, 5.0), (3, 2.0, 5.0), (2, 4.0, 5.0), (5, None, 5.0)], "id int, x double, y double")
+    assert [r.id for r in spatial.similar(p, ["x", "y"], [1]).collect()] == [3, 4, 2]
+    assert [r.id for r in spatial.similar(p, ["x", "y"], [1, 2], 1).collect()] == [3]
+    with pytest.raises(KeyError):
+        spatial.similar(p, ["x"], [9])

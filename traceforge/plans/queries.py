@@ -326,3 +326,11 @@ def i4_state_paths(spark, sf):
 @query()
 def i6_level_curve(spark, sf):
     return rounded(kinetics.level_curve(_values(spark, sf)), "rmse", digits=6)
+
+
+@query("""WITH v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM v),
+z AS (SELECT id, (a - ma) / sa AS a, (b - mb) / sb AS b FROM v CROSS JOIN s), q AS (SELECT * FROM z WHERE id IN (1, 7))
+SELECT z.id, round(min(sqrt((z.a - q.a) * (z.a - q.a) + (z.b - q.b) * (z.b - q.b))), 7) AS distance FROM z CROSS JOIN q WHERE z.id NOT IN (1, 7) GROUP BY 1""")
+def j14_similar(spark, sf):
+    v = proxy.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
+    return rounded(spatial.similar(v, ["a", "b"], [1, 7]), "distance", digits=7)
