@@ -285,6 +285,21 @@ def test_html_against_hand_made_text(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_compares_texts_over_shapes(spark):
+    extra = ["<h2>head {n}</h2>", "<ul><li>item {n}</ul>", "<table><tr><td>cell {n}</table>"]
+    rows = [(n, f"http://a.com/{n}", f"<div id=top><p>Same on all</p></div><div id=content><h1>Head {n}</h1>{extra[n].format(n=n)}<blockquote>words of page {n}</blockquote></div>") for n in range(3)]
+    got = {r.page_id: r.text.split("\n") for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: [f"Head {n}", f"{('head', 'item', 'cell')[n]} {n}", f"words of page {n}"] for n in range(3)}
+    again = [(n, f"http://a.com/{n}", "<div><p>Same on all</p>" + extra[n % 3].format(n=n) + "</div>") for n in range(9)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(again, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"{('head', 'item', 'cell')[n % 3]} {n}" for n in range(9)}
+
+
+def test_html_template_is_written_and_read_again():
+    for shape in ("", "(a,)", "(a(b,c(d,)e,)f,)"):
+        assert html.write_shape(html.read_shape(shape)) == shape
+
+
 def test_tree_matching_counts_the_largest_match():
     a, b = html.read_shape("(a(b,c(d,)e,))"), html.read_shape("(a(c(d,x,)e,))")
     assert html.match(a, b, {}) == 5  # the root, a, c, d, e

@@ -36,6 +36,9 @@ NOT_CONTENT = frozenset("head nav header footer aside form script style noscript
 #: Words of a class, id or role that name something else than the article.
 NOT_CONTENT_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification alert pagination popup promo promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored sponsor subscribe subscription toolbar warning widget widgets".split())
 
+#: Shapes that are joined by broadcast at most.
+FEW = 4096
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -53,7 +56,7 @@ def label_of(tag: str, attrs: str) -> str:
 
 @dataclass
 class Node:
-    """A node of a collapsed tree or of a template; ``text`` sums up the node's own text over pages."""
+    """A node of a collapsed tree or of a template; the numbers sum up the node's own text over pages."""
 
     label: str
     children: list["Node"] = field(default_factory=list)
@@ -73,7 +76,7 @@ class Node:
 
     @property
     def fixed(self) -> bool:
-        """Template text: the same on more than half of at least three different pages."""
+        """Template text: the same on more than half of at least three different pages, whatever their shapes."""
         return self.pages >= 3 and 2 * self.same > self.pages
 
 
@@ -266,13 +269,9 @@ def table(a: Node, b: Node, memo: dict) -> list[list[int]]:
 
 
 def align(a: Node, b: Node, memo: dict | None = None) -> None:
-    """Merge tree ``b`` into the template ``a``: matched nodes add up, the others are put in between."""
+    """Merge tree ``b`` into the template ``a``: matched nodes share their paths, the others are put in between."""
     memo = {} if memo is None else memo
     a.paths += b.paths
-    a.pages += b.pages
-    a.same += b.same
-    a.chars += b.chars
-    a.linked += b.linked
     m = table(a, b, memo)
     i, j, out = len(a.children), len(b.children), []
     while i or j:
@@ -341,15 +340,13 @@ def nodes_by_path(root: Node) -> Iterator[tuple[str, Node]]:
         stack += [(f"{p}.{k}" if p else str(k), c) for k, c in enumerate(n.children)]
 
 
-def host_template(shapes: list[tuple[str, dict[str, tuple[int, int, int, int]]]]) -> Node:
-    """Align a host's shapes, given with their slots' (pages, pages with the commonest text, characters, linked)."""
+def host_template(shapes: list[str]) -> Node:
+    """Align a host's shapes; every node has the (shape, path) pairs that met in it."""
     root = None
-    for shape, slots in shapes:
+    for shape in shapes:
         tree = read_shape(shape)
         for p, n in nodes_by_path(tree):
             n.paths.append((shape, p))
-            if p in slots:
-                n.pages, n.same, n.chars, n.linked = slots[p]
         if root is None:
             root = tree
         else:
@@ -357,6 +354,25 @@ def host_template(shapes: list[tuple[str, dict[str, tuple[int, int, int, int]]]]
     return root
 
 
+def write_shape(root: Node) -> str:
+    """The text that read_shape reads."""
+    parts: list[str] = []
+    stack: list = [root]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            parts.append(n)
+            continue
+        if n is not root:
+            parts.append(n.label)
+        if n.children:
+            parts.append("(")
+            stack += [")", *n.children[::-1]]
+        elif n is not root:
+            parts.append(",")
+    return "".join(parts)
+
+
 _BLOCKS = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType()), T.StructField("linked", T.IntegerType())]))
 
 
@@ -379,32 +395,52 @@ def parsed(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep=
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, shape, paths: which slots of a shape hold content. Equal pages of a host count once.
 
-    Text statistics are summed before any shuffle, so a host's pages never meet in one task; what meets are its distinct
-    shapes, each with the sums of its slots.
+    A host's pages never meet in one task: its distinct shapes do, to be aligned into the template, and then the sums of
+    the template's slots. Texts are counted between the two, over all shapes that meet in a slot.
     """
     brief = F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("h"), F.length(b["text"]).alias("chars"), b["linked"].alias("linked")))
     distinct = pages.select("host", "shape", brief.alias("brief"), F.xxhash64("blocks").alias("page")).dropDuplicates(["host", "shape", "page"])
     slot = distinct.select("host", "shape", "page", F.explode("brief").alias("b")).groupBy("host", "shape", "page", F.col("b.path").alias("path"))
     texts = slot.agg(F.bit_xor("b.h").alias("h"), F.sum("b.chars").alias("chars"), F.sum("b.linked").alias("linked"))
-    each = texts.groupBy("host", "shape", "path", "h").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    stats = each.groupBy("host", "shape", "path").agg(F.sum("n").alias("pages"), F.max("n").alias("same"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    by_shape = stats.groupBy("host", "shape").agg(F.to_json(F.sort_array(F.collect_list(F.struct("path", "pages", "same", "chars", "linked")))).alias("slots"))
-    out = T.StructType([T.StructField("host", T.StringType()), T.StructField("shape", T.StringType()), T.StructField("paths", T.ArrayType(T.StringType()))])
+    each = saved(texts.groupBy("host", "shape", "path", "h").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")), "texts")
+    by_path = each.groupBy("host", "shape", "path").agg(F.sum("n").alias("pages"))
+    by_shape = by_path.groupBy("host", "shape").agg(F.max("pages").alias("pages"), F.collect_list("path").alias("own"))
 
     def induce(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["pages", "shape"], ascending=[False, True])
+        root = host_template(list(rows["shape"]))
+        own = {s: set(p) for s, p in zip(rows["shape"], rows["own"])}
+        slots: dict[str, dict[str, int]] = {s: {} for s in own}
+        for k, (_, n) in enumerate(nodes_by_path(root)):
+            for shape, path in n.paths:
+                if path in own[shape]:
+                    slots[shape][path] = k
+        return pd.DataFrame({"host": rows["host"].iloc[0], "shape": list(slots), "slots": list(slots.values()), "template": [write_shape(root)] + [None] * (len(slots) - 1)})
+
+    aligned = saved(by_shape.groupBy("host").applyInPandas(induce, "host string, shape string, slots map<string, int>, template string"), "aligned")
+    at = aligned.select("host", "shape", "slots")
+    placed = each.join(F.broadcast(at) if aligned.count() <= FEW else at, ["host", "shape"]).select("host", F.element_at("slots", F.col("path")).alias("slot"), "h", "n", "chars", "linked")
+    counted = placed.groupBy("host", "slot", "h").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "linked")])
+    stats = counted.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("same"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    by_host = stats.groupBy("host").agg(F.to_json(F.collect_list(F.struct("slot", "pages", "same", "chars", "linked"))).alias("sums"))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
 
-        rows = rows.sort_values("shape")
-        slots = [{s["path"]: (s["pages"], s["same"], s["chars"], s["linked"]) for s in json.loads(x)} for x in rows["slots"]]
-        order = sorted(range(len(rows)), key=lambda k: (-max((v[0] for v in slots[k].values()), default=0), rows["shape"].iloc[k]))
-        root = host_template([(rows["shape"].iloc[k], slots[k]) for k in order])
-        kept: dict[str, list[str]] = {s: [] for s in rows["shape"]}
-        for n in content_nodes(root):
-            for shape, path in n.paths:
-                kept[shape].append(path)
-        return pd.DataFrame({"host": rows["host"].iloc[0], "shape": list(kept), "paths": list(kept.values())})
+        for rows in batches:
+            kept = []
+            for template, sums in zip(rows["template"], rows["sums"]):
+                root = read_shape(template)
+                nodes = [n for _, n in nodes_by_path(root)]
+                number = {id(n): k for k, n in enumerate(nodes)}
+                for s in json.loads(sums):
+                    n = nodes[s["slot"]]
+                    n.pages, n.same, n.chars, n.linked = s["pages"], s["same"], s["chars"], s["linked"]
+                kept.append([number[id(n)] for n in content_nodes(root)])
+            yield pd.DataFrame({"host": rows["host"], "kept": kept})
 
-    return by_shape.groupBy("host").applyInPandas(induce, out)
+    chosen = aligned.filter("template IS NOT NULL").select("host", "template").join(by_host, "host").mapInPandas(choose, "host string, kept array<int>")
+    return at.join(chosen, "host").select("host", "shape", F.map_keys(F.map_filter("slots", lambda p, k: F.array_contains("kept", k))).alias("paths"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep=None) -> DataFrame:
@@ -417,8 +453,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
     keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in ("text", "n_chars", "host", "shape", "blocks")]
     read = saved(parsed(pages, url_col, html_col, keep), "pages")
     rules = saved(wrappers(read), "wrappers")
-    few = rules.count() <= 4096
-    joined = read.join(F.broadcast(rules) if few else rules, ["host", "shape"], "left")
+    joined = read.join(F.broadcast(rules) if rules.count() <= FEW else rules, ["host", "shape"], "left")
     text = F.array_join(F.transform(F.filter("blocks", lambda b: F.array_contains("paths", b["path"])), lambda b: b["text"]), "\n")
     done = joined.withColumn("text", F.coalesce(F.when(F.col("paths").isNotNull(), text), F.lit("")))
     return done.select(*[col(c) for c in keep], "text", F.length("text").cast("long").alias("n_chars"))
