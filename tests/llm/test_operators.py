@@ -295,6 +295,16 @@ def test_html_compares_texts_over_shapes(spark):
     assert got == {n: f"{('head', 'item', 'cell')[n % 3]} {n}" for n in range(9)}
 
 
+def test_html_labels_tell_all_words(spark):
+    many = "auto bg block border flex gray h hidden lg m mt overflow p"
+    assert html.Node(html.label_of("div", f' class="{many} sidebar"')).barred and not html.Node(html.label_of("div", f' class="{many} w"')).barred
+    assert "main" in html.label_of("div", ' class="a b c d e f g h i j k l m" id="main"').split(".")[1:]
+    assert html.label_of("div", f' class="{many} x"') != html.label_of("div", f' class="{many} y"') and html.label_of("p", ' class="b a"') == "p.a.b"
+    side = "sidebar hidden lg:block w-64 flex-shrink-0 border-r border-gray-200 bg-white overflow-y-auto px-4 py-6"
+    rows = [(n, "http://a.com/", f'<div class="{side}"><p>aside {n}</div><div><p>words {n} <span class="{side}">inline {n}</span></div>') for n in range(3)]
+    assert [r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()] == [f"words {n}" for n in range(3)]
+
+
 def test_html_template_is_written_and_read_again():
     for shape in ("", "(a,)", "(a(b,c(d,)e,)f,)"):
         assert html.write_shape(html.read_shape(shape)) == shape

@@ -45,13 +45,18 @@ _WORD = re.compile(r"[a-z]+")
 
 
 def label_of(tag: str, attrs: str) -> str:
-    """Tag and the words of its class, id and role (without digits), which is what nodes are compared by."""
+    """Tag and the words of its class, id and role (without digits), which is what nodes are compared by.
+
+    Of more than 12 words, those that tell the region stay, and a hash stands for the whole set."""
     words: list[str] = []
     tag = re.sub(r"[(),.]", "", tag)
     if "=" in attrs:
         for _, a, b, c in _ATTR.findall(attrs):
             words += _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", entities.unescape(a or b or c)).lower())
-    return ".".join([tag, *sorted(set(words))[:12]])
+    told = sorted(set(words))
+    if len(told) > 12:
+        told = [w for w in told if w == "main" or w in NOT_CONTENT_WORDS] + ["~" + xxhash.xxh64_hexdigest(" ".join(told))]
+    return ".".join([tag, *told])
 
 
 @dataclass
