@@ -91,3 +91,25 @@ def test_window_bounds_end_with_the_trace(spark):
     assert [tuple(r) for r in tail] == [(10, 20), (1, 5), (19, 20)]
     around = d.select(*scalar.gamma_windows(F.col("a"), 3, F.col("n"))).collect()
     assert [tuple(r) for r in around] == [(7, 10, 10, 13), (0, 1, 1, 4), (16, 19, 19, 20)]
+
+
+def test_registered_fits_do_the_whole_job(spark, monkeypatch):
+    import inspect
+
+    from traceforge.plans import queries
+
+    seen = {}
+    for module, name in ((kinetics, "fit_hmm"), (agreement, "bootstrap_histogram")):
+        whole = inspect.signature(getattr(module, name))
+
+        def asked(*a, whole=whole, name=name, **k):
+            b = whole.bind(*a, **k)
+            b.apply_defaults()
+            seen[name] = b.arguments
+            raise LookupError(name)
+
+        monkeypatch.setattr(module, name, asked)
+    for query in (queries.i4_state_paths, queries.a3_bootstrap):
+        with pytest.raises(LookupError):
+            query(spark, "/root/testdata/sf0.001")
+    assert seen["fit_hmm"]["iterations"] == 200 and seen["fit_hmm"]["tolerance"] == 1e-6 and seen["bootstrap_histogram"]["resamples"] == 1000

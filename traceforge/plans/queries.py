@@ -280,7 +280,7 @@ def a16_density_levels(spark, sf):
 
 @query()
 def a3_bootstrap(spark, sf):
-    return rounded(agreement.bootstrap_histogram(proxy.efficiencies(spark, sf), resamples=200), "low", "high", "spread")
+    return rounded(agreement.bootstrap_histogram(proxy.efficiencies(spark, sf)), "low", "high", "spread")
 
 
 _LAGS = """, x AS (SELECT molecule_id, frame, list(donor) OVER w AS ds, list(acceptor) OVER w AS ac, count(*) OVER w AS c, avg(donor) OVER w AS md, avg(acceptor) OVER w AS ma, stddev_pop(donor) OVER w * stddev_pop(acceptor) OVER w AS sd, corr(donor, acceptor) OVER w AS lag0
@@ -320,7 +320,7 @@ def i1_survival_fits(spark, sf):
 @query()
 def i4_state_paths(spark, sf):
     v = _values(spark, sf)
-    return kinetics.viterbi(v, kinetics.fit_hmm(v, 2, iterations=20))
+    return kinetics.viterbi(v, kinetics.fit_hmm(v))
 
 
 @query()
