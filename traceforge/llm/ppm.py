@@ -5,27 +5,35 @@ longest context by escape estimation (method C), with the symbols of longer cont
 symbol; contexts before the start are filled up. Beside it stands an add-one word model.
 
 No table grows into one task: texts are dealt into blocks, a block asks for the grams and words it has, the counts are
-summed and the probabilities computed once for each distinct gram, and each block gets back what it asked for.
+summed and the probabilities computed once for each distinct gram, and each block gets back what it asked for. What a
+block asks for travels in packed columns, one row for each of the buckets into which all grams are dealt.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, saved
+from ._common import col, saved, slices, tune
 
 #: Bytes that UTF-8 never has: the end symbol, and what stands before the start.
 END, START = 0xFF, 0xFE
 ORDER = 5
 SYMBOLS = 256
-#: Text bytes of a block.
-BLOCK_BYTES = 24 << 20
+#: Text bytes of a block (a longer single text is one block).
+BLOCK_BYTES = 16 << 20
+#: Grams that are sorted at once.
+SLICE = 1 << 20
+#: Tables of contexts of at most this order are broadcast: 256 ** 2 rows at most.
+SMALL = 2
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -49,49 +57,64 @@ def word_hashes(text: str, known: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
-def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _asked(rows: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """kind (0 gram, 1 word), key and training count of all grams and words of a block."""
-    kinds, keys, counts = [], [], []
-    known: dict[bytes, int] = {}
-    for kind in (0, 1):
-
-        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        size = 0
-        every: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> None:
-            for t in (True, False):
-                if held[t]:
-                    k, n = _counted(held[t])
-                    every.append((k, n if t else np.zeros(len(n), np.int64)))
-                    held[t].clear()
-
-        for text, train in rows:
-            x = text_grams(text) if kind == 0 else word_hashes(text, known)
-            held[train].append(x)
-            size += len(x)
-            if size >= 1 << 21:
-                flush()
-                size = 0
-        flush()
-        if every:
-            k = np.concatenate([a for a, _ in every])
-            n = np.concatenate([b for _, b in every])
-            u, at = np.unique(k, return_inverse=True)
-            keys.append(u)
-            counts.append(np.bincount(at, n, len(u)).astype(np.int64))
-            kinds.append(np.full(len(u), kind, np.int32))
-    if not keys:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(kinds), np.concatenate(keys), np.concatenate(counts)
+class Counts:
+    """Distinct keys of one block with their training counts, in ascending order; merged slice by slice."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        self.size = 0
+
+    def add(self, keys: np.ndarray, train: bool) -> None:
+        for i in range(0, len(keys), SLICE):
+            part = keys[i : i + SLICE]
+            self.held[train].append(part)
+            self.size += len(part)
+            if self.size >= SLICE:
+                self.merge()
+
+    def merge(self) -> None:
+        for train, parts in self.held.items():
+            if parts:
+                k, n = np.unique(np.concatenate(parts), return_counts=True)
+                self.keys, self.counts = summed(np.concatenate((self.keys, k)), np.concatenate((self.counts, n if train else np.zeros(len(n), np.int64))))
+                parts.clear()
+        self.size = 0
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    if not len(keys):
+        return keys, counts
+    first = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+
+
+def shut(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes: small ones and ascending ones (give their differences) take little room."""
+    return len(x).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def opened(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:4], "little")
+    raw = pa.decompress(b[4:], 8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<i8").ravel()
+
+
+def opened_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(opened(b))
 
 
 def gram_chances(grams: DataFrame) -> DataFrame:
-    """gram, lp: log10 probability of a gram's last byte after those before it, for every row of ``grams`` (gram, c).
+    """gram, lp: log10 probability of a gram's last byte after those before it, for every row of ``grams`` (gram, c, perhaps
+    others, which stay).
 
     c is the training count, 0 for grams that are only asked for. With n and d the total and the distinct symbols of a
     context, a symbol met there has c / (n + d) and the escape d / (n + d); after an escape the symbols of the longer
@@ -108,18 +131,20 @@ def gram_chances(grams: DataFrame) -> DataFrame:
         t = level[k]
         if k:
             low = level[k - 1].select(F.col("g").alias("s"), F.col("c").alias("m"))
-            t = t.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(low, "s")
+            t = t.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(F.broadcast(low) if k <= SMALL else low, "s")
         else:
             t = t.withColumn("m", F.lit(0).cast("long"))
         totals[k] = t.groupBy(F.shiftright("g", 8).alias(f"x{k}")).agg(F.sum("c").alias(f"n{k}"), F.count("*").alias(f"d{k}"), F.sum("m").alias(f"m{k}"))
         totals[k] = saved(totals[k], f"ppm-contexts-{k}")
-    out = grams.select("gram", F.col("c").alias(f"c{ORDER}"))
+    rest = [n for n in grams.columns if n not in ("gram", "c")]
+    out = grams.select("gram", *rest, F.col("c").alias(f"c{ORDER}"))
     for k in range(ORDER - 1, -1, -1):
         key = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        out = out.withColumn("g", key).join(level[k].select("g", F.col("c").alias(f"c{k}")), "g", "left").drop("g")
+        own = level[k].select("g", F.col("c").alias(f"c{k}"))
+        out = out.withColumn("g", key).join(F.broadcast(own) if k < SMALL else own, "g", "left").drop("g")
     for k in range(ORDER, -1, -1):
         key = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)) if k else F.lit(0).cast("long")
-        out = out.withColumn(f"x{k}", key).join(totals[k], f"x{k}", "left").drop(f"x{k}")
+        out = out.withColumn(f"x{k}", key).join(F.broadcast(totals[k]) if k <= SMALL else totals[k], f"x{k}", "left").drop(f"x{k}")
     out = out.fillna(0)
     lp, passed = F.lit(None).cast("double"), F.lit(0.0)
     for k in range(ORDER, -1, -1):
@@ -131,7 +156,53 @@ def gram_chances(grams: DataFrame) -> DataFrame:
         passed = passed + F.when(d > 0, F.log10(d / (n + d))).otherwise(0.0)
     left = F.lit(SYMBOLS) - F.col("d0")
     lp = F.coalesce(lp, passed - F.log10(left.cast("double")))
-    return out.select("gram", lp.alias("lp"))
+    return out.select("gram", *rest, lp.alias("lp"))
+
+
+def blocks_of(base: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
+    """The rows of ``base`` (doc_id, train, text) with their block, and what each block asks for, one row per kind and bucket:
+    kind (0 gram, 1 word), bucket, keys (ascending, as differences) and training counts. Blocks are dealt within a task."""
+    schema = "block long, doc_id long, train boolean, text string, kind int, bucket int, keys binary, counts binary"
+    names = ["block", "doc_id", "train", "text", "kind", "bucket", "keys", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+    def batch(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    def asked(block: int, found: list[Counts]) -> Iterator[pa.RecordBatch]:
+        for kind, own in enumerate(found):
+            own.merge()
+            at = bucket_of(own.keys, buckets)
+            order = np.argsort(at, kind="stable")
+            cuts = np.searchsorted(at[order], np.arange(buckets + 1))
+            met = [(q, order[i:j]) for q, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i]
+            for i in range(0, len(met), 64):
+                part = met[i : i + 64]
+                none = [None] * len(part)
+                yield batch([block] * len(part), none, none, none, [kind] * len(part), [q for q, _ in part], [shut(np.diff(own.keys[k], prepend=np.int64(0))) for _, k in part], [shut(own.counts[k]) for _, k in part])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, n, size = TaskContext.get().partitionId() << 32, 0, 0
+        found, known = [Counts(), Counts()], {}
+        for b in batches:
+            texts, train = b.column(2).to_pylist(), b.column(1).to_pylist()
+            for i, j in slices([len(t) for t in texts], 1 << 20):
+                none = pa.nulls(j - i)
+                part = b.slice(i, j - i)
+                yield batch([first | n] * (j - i), part.column(0), part.column(1), part.column(2), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary()))
+                for t, own in zip(texts[i:j], train[i:j]):
+                    found[0].add(text_grams(t), own)
+                    found[1].add(word_hashes(t, known), own)
+                    size += len(t) + 1
+                if len(known) > 400_000:
+                    known.clear()
+                if size >= block_bytes:
+                    yield from asked(first | n, found)
+                    found, n, size = [Counts(), Counts()], n + 1, 0
+        if size or n == 0:
+            yield from asked(first | n, found)
+
+    return base.select("doc_id", "train", "text").mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, train_flag, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -140,58 +211,87 @@ def score(docs: DataFrame, train_flag, id_col: str = "doc_id", text_col: str = "
     ``train_flag``: a boolean Column; rows where it is true are learned from (null counts as false). ``score`` is the
     log10 probability of the whole text and its end by the PPM model; ``base_score`` that of its words and one end token
     under add-one counts. Null text is empty: it has the end only. Repeated rows count each time; without any training
-    row the words' probability is 1 / (0 + 1 * (0 + 1)) and the bytes' 1 / 256. Other columns are not read.
+    row the words' probability is 1 / (0 + 1 * (0 + 1)) and the bytes' 1 / 256. Other columns are not read; an empty table
+    gives an empty result.
     """
+    tune(docs.sparkSession)
     base = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"), F.coalesce(train_flag, F.lit(False)).alias("train"))
     size = base.agg(F.sum(F.octet_length("text")).alias("b"), F.sum(F.col("train").cast("long")).alias("t")).first()
-    n_blocks, train_docs = max(24, -(-(size["b"] or 0) // block_bytes)), size["t"] or 0
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-
-    def ask(t: pa.Table) -> pa.Table:
-        kinds, keys, counts = _asked(list(zip(t.column("text").to_pylist(), t.column("train").to_pylist())))
-        block = np.full(len(keys), t.column("block")[0].as_py(), np.int32)
-        return pa.table({"block": block, "kind": kinds, "key": keys, "c": counts})
-
-    asked = dealt.groupBy("block").applyInArrow(ask, "block int, kind int, key long, c long")
-    # blocks that ask for a key: at most n_blocks numbers
-    summed = saved(asked.groupBy("kind", "key").agg(F.sum("c").alias("c"), F.collect_list("block").alias("blocks")), "ppm-asked")
-    words = summed.filter("kind = 1 AND c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    train_docs = size["t"] or 0
+    # a bucket's keys of all blocks meet in one task: some 64 MB of text to a bucket
+    buckets = max(16, -(-(size["b"] or 0) // (64 << 20)))
+    both = saved(blocks_of(base, block_bytes, buckets), "ppm-blocks")
+    texts, asked = both.filter("kind IS NULL").select("block", "doc_id", "train", "text"), both.filter("kind IS NOT NULL")
+
+    def merge(t: pa.Table) -> pa.Table:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, size = [], 0
+
+        def put() -> None:
+            nonlocal keys, counts, size
+            if held:
+                keys, counts = summed(np.concatenate([keys, *[k for k, _ in held]]), np.concatenate([counts, *[c for _, c in held]]))
+                held.clear()
+            size = 0
+
+        for k, c in zip(t.column("keys"), t.column("counts")):
+            held.append((opened_keys(k.as_py()), opened(c.as_py())))
+            size += len(held[-1][0])
+            if size >= SLICE:
+                put()
+        put()
+        n = len(keys)
+        return pa.table({"kind": np.full(n, t.column("kind")[0].as_py(), np.int32), "bucket": np.full(n, t.column("bucket")[0].as_py(), np.int32), "key": keys, "c": counts})
+
+    counted = asked.select("kind", "bucket", "keys", "counts").groupBy("kind", "bucket").applyInArrow(merge, "kind int, bucket int, key long, c long")
+    counted = saved(counted, "ppm-asked")
+    words = counted.filter("kind = 1 AND c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = (words["n"] or 0) + train_docs, words["v"] + (train_docs > 0)
-    chances = gram_chances(summed.filter("kind = 0").select(F.col("key").alias("gram"), "c"))
-    grams = summed.filter("kind = 0").select(F.col("key").alias("gram"), "blocks").join(chances, "gram").select(F.explode("blocks").alias("block"), F.lit(0).alias("kind"), F.col("gram").alias("key"), F.col("lp").cast("float").cast("double").alias("value"))
-    known = summed.filter("kind = 1 AND c > 0").select(F.explode("blocks").alias("block"), F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("value"))
-    # single precision for a gram and a count for a word: what the shuffle carries compresses to half
-    answers = grams.unionByName(known)
+    grams = counted.filter("kind = 0").select(F.col("key").alias("gram"), "c", "bucket")
+    chances = gram_chances(grams).select(F.lit(0).alias("kind"), "bucket", F.col("gram").alias("key"), F.col("lp").alias("value"))
+    values = chances.unionByName(counted.filter("kind = 1").select("kind", "bucket", "key", F.col("c").cast("double").alias("value")))
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        """What each block has asked for in this bucket, in the order of its keys."""
+        key, value = right.column("key").to_numpy(), right.column("value").to_numpy()
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        found = [value[np.searchsorted(key, opened_keys(k.as_py()))].astype("<f8").tobytes() for k in left.column("keys")]
+        return pa.table({"block": left.column("block"), "kind": left.column("kind"), "keys": left.column("keys"), "found": pa.array(found, pa.binary())})
+
+    answers = asked.select("block", "kind", "bucket", "keys").groupBy("kind", "bucket").cogroup(values.groupBy("kind", "bucket")).applyInArrow(answer, "block long, kind int, keys binary, found binary")
     unit = math.log10(total + 1 * (distinct + 1))
     end = math.log10(train_docs + 1)
 
     def give(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind, key, value = (right.column(n).to_numpy() for n in ("kind", "key", "value"))
         tables = []
-        for k in (0, 1):
-            on = kind == k
-            order = np.argsort(key[on])
-            tables.append((key[on][order], value[on][order]))
-        (gk, gv), (wk, wv) = tables
-        wv = np.log10(wv + 1)
+        for kind in (0, 1):
+            own = right.filter(pc.equal(right.column("kind"), kind))
+            key = np.concatenate([np.zeros(0, np.int64), *[opened_keys(k.as_py()) for k in own.column("keys")]])
+            value = np.concatenate([np.zeros(0), *[np.frombuffer(v.as_py(), "<f8") for v in own.column("found")]])
+            order = np.argsort(key)
+            tables.append((key[order], value[order]))
+        (gk, gv), (wk, wc) = tables
+        wv, wc = np.log10(wc + 1), wc > 0
         seen: dict[bytes, int] = {}
         out: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score")}
-        for text in left.column("text").to_pylist():
-            u, n = np.unique(text_grams(text), return_counts=True)
-            out["score"].append(float(n @ gv[np.searchsorted(gk, u)]))
-            w = word_hashes(text, seen)
-            u, n = np.unique(w, return_counts=True)
+        for text in left.column("text"):
+            text = text.as_py()
+            grams, total_lp = text_grams(text), 0.0
+            for i in range(0, len(grams), SLICE):
+                u, n = np.unique(grams[i : i + SLICE], return_counts=True)
+                total_lp += float(n @ gv[np.searchsorted(gk, u)])
+            out["score"].append(total_lp)
+            u, n = np.unique(word_hashes(text, seen), return_counts=True)
             at = np.searchsorted(wk, u)
-            hit = np.zeros(len(u), bool)
-            inside = at < len(wk)
-            hit[inside] = wk[at[inside]] == u[inside]
-            out["n_tokens"].append(len(w) + 1)
-            out["n_known"].append(int(n[hit].sum()) + (train_docs > 0))
-            out["base_score"].append(float(n[hit] @ wv[at[hit]]) + end - (len(w) + 1) * unit)
+            words = int(n.sum()) + 1
+            out["n_tokens"].append(words)
+            out["n_known"].append(int(n @ wc[at]) + (train_docs > 0))
+            out["base_score"].append(float(n @ wv[at]) + end - words * unit)
         rows = left.num_rows
         return pa.table({
             "doc_id": left.column("doc_id"), "trained": left.column("train"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
             "train_tokens": pa.array([total] * rows, pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64()),
         })
 
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(give, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(give, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
