@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import col, saved, slices, tune
@@ -32,6 +33,8 @@ SYMBOLS = 256
 BLOCK_BYTES = 16 << 20
 #: Grams that are sorted at once.
 SLICE = 1 << 20
+#: What log10 probabilities are rounded to.
+UNIT = 2.0**-34
 #: Tables of contexts of at most this order are broadcast: 256 ** 2 rows at most.
 SMALL = 2
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -120,54 +123,67 @@ def gram_chances(grams: DataFrame) -> DataFrame:
     context, a symbol met there has c / (n + d) and the escape d / (n + d); after an escape the symbols of the longer
     context are taken out of both. A context never met passes on; the last resort is uniform over what is left of 256.
     """
+    rest = [n for n in grams.columns if n not in ("gram", "c")]
     met = grams.filter("c > 0")
     # contexts as numbers: of order k the last k bytes before the symbol
     level = {ORDER: met.select(F.col("gram").alias("g"), "c")}
     for k in range(ORDER - 1, -1, -1):
         level[k] = level[k + 1].groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("g")).agg(F.sum("c").alias("c"))
         level[k] = saved(level[k], f"ppm-{k}")
-    totals = {}
+    # what was met in training needs its longest context only, which has 256 grams at most
+    around = W.partitionBy(F.shiftright("gram", 8))
+    done = [met.select("gram", *rest, F.log10(F.col("c") / (F.sum("c").over(around) + F.count("*").over(around))).alias("lp"))]
+    zero = F.lit(0).cast("long")
+    left = saved(grams.filter("c = 0").select("gram", *rest, F.lit(0.0).alias("passed"), zero.alias("out"), zero.alias("mass")), "ppm-left")
     for k in range(ORDER, -1, -1):
-        t = level[k]
-        if k:
+        small = (lambda t: F.broadcast(t)) if k <= SMALL else (lambda t: t)
+        x = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)) if k else zero
+        need = left.select(x.alias("x")).distinct()
+        own = level[k].withColumn("x", F.shiftright("g", 8)).join(small(need), "x", "left_semi")
+        if k:  # how often the context's symbols were met in the shorter one
             low = level[k - 1].select(F.col("g").alias("s"), F.col("c").alias("m"))
-            t = t.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(F.broadcast(low) if k <= SMALL else low, "s")
+            own = own.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(small(low), "s")
         else:
-            t = t.withColumn("m", F.lit(0).cast("long"))
-        totals[k] = t.groupBy(F.shiftright("g", 8).alias(f"x{k}")).agg(F.sum("c").alias(f"n{k}"), F.count("*").alias(f"d{k}"), F.sum("m").alias(f"m{k}"))
-        totals[k] = saved(totals[k], f"ppm-contexts-{k}")
-    rest = [n for n in grams.columns if n not in ("gram", "c")]
-    out = grams.select("gram", *rest, F.col("c").alias(f"c{ORDER}"))
-    for k in range(ORDER - 1, -1, -1):
-        key = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        own = level[k].select("g", F.col("c").alias(f"c{k}"))
-        out = out.withColumn("g", key).join(F.broadcast(own) if k < SMALL else own, "g", "left").drop("g")
-    for k in range(ORDER, -1, -1):
-        key = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)) if k else F.lit(0).cast("long")
-        out = out.withColumn(f"x{k}", key).join(F.broadcast(totals[k]) if k <= SMALL else totals[k], f"x{k}", "left").drop(f"x{k}")
-    out = out.fillna(0)
-    lp, passed = F.lit(None).cast("double"), F.lit(0.0)
-    for k in range(ORDER, -1, -1):
-        # what the longer context has taken out (nothing, if it was never met)
-        n = F.col(f"n{k}") - (F.col(f"m{k + 1}") if k < ORDER else F.lit(0))
-        d = F.col(f"d{k}") - (F.col(f"d{k + 1}") if k < ORDER else F.lit(0))
-        here = F.when(F.col(f"c{k}") > 0, passed + F.log10(F.col(f"c{k}") / (n + d)))
-        lp = F.coalesce(lp, here)
-        passed = passed + F.when(d > 0, F.log10(d / (n + d))).otherwise(0.0)
-    left = F.lit(SYMBOLS) - F.col("d0")
-    lp = F.coalesce(lp, passed - F.log10(left.cast("double")))
-    return out.select("gram", *rest, lp.alias("lp"))
+            own = own.withColumn("m", zero)
+        totals = own.groupBy("x").agg(F.sum("c").alias("n"), F.count("*").alias("d"), F.sum("m").alias("m"))
+        at = left.withColumn("x", x).join(small(totals), "x", "left").drop("x")
+        if k < ORDER:
+            here = level[k].select("g", F.col("c").alias("c"))
+            at = at.withColumn("g", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))).join(F.broadcast(here) if k < SMALL else here, "g", "left").drop("g")
+        else:
+            at = at.withColumn("c", zero)
+        at = at.fillna(0, ["n", "d", "m", "c"])
+        # less what the longer context has taken out (nothing, if it was never met)
+        n, d = F.col("n") - F.col("mass"), F.col("d") - F.col("out")
+        lp = F.when(F.col("c") > 0, F.col("passed") + F.log10(F.col("c") / (n + d)))
+        passed = F.col("passed") + F.when(d > 0, F.log10(d / (n + d))).otherwise(0.0)
+        at = saved(at.select("gram", *rest, lp.alias("lp"), passed.alias("passed"), F.col("d").alias("out"), F.col("m").alias("mass")), "ppm-left")
+        done.append(at.filter("lp IS NOT NULL").select("gram", *rest, "lp"))
+        left = at.filter("lp IS NULL").drop("lp")
+    done.append(left.select("gram", *rest, (F.col("passed") - F.log10((F.lit(SYMBOLS) - F.col("out")).cast("double"))).alias("lp")))
+    out = done[0]
+    for t in done[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(rows)
+    return sink.getvalue().to_pybytes()
 
 
 def blocks_of(base: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
-    """The rows of ``base`` (doc_id, train, text) with their block, and what each block asks for, one row per kind and bucket:
-    kind (0 gram, 1 word), bucket, keys (ascending, as differences) and training counts. Blocks are dealt within a task."""
-    schema = "block long, doc_id long, train boolean, text string, kind int, bucket int, keys binary, counts binary"
-    names = ["block", "doc_id", "train", "text", "kind", "bucket", "keys", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    """Blocks of the rows of ``base`` (doc_id, train, text), dealt within a task: their texts in packed slices (kind 2, in
+    ``keys``), and what the block asks for, one row per kind and bucket: kind (0 gram, 1 word), keys (ascending, as
+    differences) and training counts."""
+    schema = "block long, kind int, bucket int, keys binary, counts binary"
+    names = ["block", "kind", "bucket", "keys", "counts"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def batch(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     def asked(block: int, found: list[Counts]) -> Iterator[pa.RecordBatch]:
         for kind, own in enumerate(found):
@@ -178,18 +194,15 @@ def blocks_of(base: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
             met = [(q, order[i:j]) for q, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i]
             for i in range(0, len(met), 64):
                 part = met[i : i + 64]
-                none = [None] * len(part)
-                yield batch([block] * len(part), none, none, none, [kind] * len(part), [q for q, _ in part], [shut(np.diff(own.keys[k], prepend=np.int64(0))) for _, k in part], [shut(own.counts[k]) for _, k in part])
+                yield batch([block] * len(part), [kind] * len(part), [q for q, _ in part], [shut(np.diff(own.keys[k], prepend=np.int64(0))) for _, k in part], [shut(own.counts[k]) for _, k in part])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n, size = TaskContext.get().partitionId() << 32, 0, 0
         found, known = [Counts(), Counts()], {}
         for b in batches:
             texts, train = b.column(2).to_pylist(), b.column(1).to_pylist()
-            for i, j in slices([len(t) for t in texts], 1 << 20):
-                none = pa.nulls(j - i)
-                part = b.slice(i, j - i)
-                yield batch([first | n] * (j - i), part.column(0), part.column(1), part.column(2), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary()))
+            for i, j in slices([len(t) for t in texts], SLICE):
+                yield batch([first | n], [2], [None], [packed(b.slice(i, j - i))], [None])
                 for t, own in zip(texts[i:j], train[i:j]):
                     found[0].add(text_grams(t), own)
                     found[1].add(word_hashes(t, known), own)
@@ -199,7 +212,7 @@ def blocks_of(base: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
                 if size >= block_bytes:
                     yield from asked(first | n, found)
                     found, n, size = [Counts(), Counts()], n + 1, 0
-        if size or n == 0:
+        if size:
             yield from asked(first | n, found)
 
     return base.select("doc_id", "train", "text").mapInArrow(run, schema)
@@ -221,7 +234,7 @@ def score(docs: DataFrame, train_flag, id_col: str = "doc_id", text_col: str = "
     # a bucket's keys of all blocks meet in one task: some 64 MB of text to a bucket
     buckets = max(16, -(-(size["b"] or 0) // (64 << 20)))
     both = saved(blocks_of(base, block_bytes, buckets), "ppm-blocks")
-    texts, asked = both.filter("kind IS NULL").select("block", "doc_id", "train", "text"), both.filter("kind IS NOT NULL")
+    texts, asked = both.filter("kind = 2").select("block", F.col("keys").alias("rows")), both.filter("kind < 2")
 
     def merge(t: pa.Table) -> pa.Table:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -248,15 +261,16 @@ def score(docs: DataFrame, train_flag, id_col: str = "doc_id", text_col: str = "
     words = counted.filter("kind = 1 AND c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = (words["n"] or 0) + train_docs, words["v"] + (train_docs > 0)
     grams = counted.filter("kind = 0").select(F.col("key").alias("gram"), "c", "bucket")
-    chances = gram_chances(grams).select(F.lit(0).alias("kind"), "bucket", F.col("gram").alias("key"), F.col("lp").alias("value"))
-    values = chances.unionByName(counted.filter("kind = 1").select("kind", "bucket", "key", F.col("c").cast("double").alias("value")))
+    # log10 probabilities in units of UNIT, counts of words
+    chances = gram_chances(grams).select(F.lit(0).alias("kind"), "bucket", F.col("gram").alias("key"), F.round(F.col("lp") / UNIT).cast("long").alias("value"))
+    values = chances.unionByName(counted.filter("kind = 1").select("kind", "bucket", "key", F.col("c").alias("value")))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         """What each block has asked for in this bucket, in the order of its keys."""
         key, value = right.column("key").to_numpy(), right.column("value").to_numpy()
         order = np.argsort(key)
         key, value = key[order], value[order]
-        found = [value[np.searchsorted(key, opened_keys(k.as_py()))].astype("<f8").tobytes() for k in left.column("keys")]
+        found = [shut(value[np.searchsorted(key, opened_keys(k.as_py()))]) for k in left.column("keys")]
         return pa.table({"block": left.column("block"), "kind": left.column("kind"), "keys": left.column("keys"), "found": pa.array(found, pa.binary())})
 
     answers = asked.select("block", "kind", "bucket", "keys").groupBy("kind", "bucket").cogroup(values.groupBy("kind", "bucket")).applyInArrow(answer, "block long, kind int, keys binary, found binary")
@@ -268,29 +282,30 @@ def score(docs: DataFrame, train_flag, id_col: str = "doc_id", text_col: str = "
         for kind in (0, 1):
             own = right.filter(pc.equal(right.column("kind"), kind))
             key = np.concatenate([np.zeros(0, np.int64), *[opened_keys(k.as_py()) for k in own.column("keys")]])
-            value = np.concatenate([np.zeros(0), *[np.frombuffer(v.as_py(), "<f8") for v in own.column("found")]])
+            value = np.concatenate([np.zeros(0, np.int64), *[opened(v.as_py()) for v in own.column("found")]])
             order = np.argsort(key)
             tables.append((key[order], value[order]))
         (gk, gv), (wk, wc) = tables
         wv, wc = np.log10(wc + 1), wc > 0
         seen: dict[bytes, int] = {}
         out: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score")}
-        for text in left.column("text"):
+        docs = pa.concat_tables([pa.ipc.open_stream(r.as_py()).read_all() for r in left.column("rows")])
+        for text in docs.column("text"):
             text = text.as_py()
-            grams, total_lp = text_grams(text), 0.0
+            grams, total_lp = text_grams(text), 0
             for i in range(0, len(grams), SLICE):
                 u, n = np.unique(grams[i : i + SLICE], return_counts=True)
-                total_lp += float(n @ gv[np.searchsorted(gk, u)])
-            out["score"].append(total_lp)
+                total_lp += int(n @ gv[np.searchsorted(gk, u)])
+            out["score"].append(total_lp * UNIT)
             u, n = np.unique(word_hashes(text, seen), return_counts=True)
             at = np.searchsorted(wk, u)
             words = int(n.sum()) + 1
             out["n_tokens"].append(words)
             out["n_known"].append(int(n @ wc[at]) + (train_docs > 0))
             out["base_score"].append(float(n @ wv[at]) + end - words * unit)
-        rows = left.num_rows
+        rows = docs.num_rows
         return pa.table({
-            "doc_id": left.column("doc_id"), "trained": left.column("train"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
+            "doc_id": docs.column("doc_id"), "trained": docs.column("train"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
             "train_tokens": pa.array([total] * rows, pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64()),
         })
 
