@@ -7,11 +7,11 @@ the decoded vector; the best are ranked again by exact cosine on the original ve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,6 +21,10 @@ from pyspark.sql import types as T
 from ._common import col, saved, tune
 
 CODE_BLOCK, QUERY_BLOCK = 16_384, 512
+#: Query blocks that are broadcast together: 4 MB of queries with 64 dimensions.
+GROUP = 16
+#: Vectors up to which the rerank depth is as given.
+RERANK_ROWS = 50_000
 
 
 @dataclass
@@ -49,7 +53,7 @@ class AdditiveQuantiser:
         return np.einsum("qd,mkd->qmk", q, self.books)
 
 
-def fit(x: np.ndarray, books: int = 8, words: int = 256, rounds: int = 8, seed: int = 0) -> AdditiveQuantiser:
+def fit(x: np.ndarray, books: int = 16, words: int = 256, rounds: int = 8, seed: int = 0) -> AdditiveQuantiser:
     """Residual k-means, then least squares of all code words together for the codes that the beam search finds."""
     rng = np.random.default_rng(seed)
     words = max(1, min(words, len(x)))
@@ -67,15 +71,16 @@ def fit(x: np.ndarray, books: int = 8, words: int = 256, rounds: int = 8, seed:
     q = AdditiveQuantiser(np.array(out))
     codes = np.concatenate([q.encode(x[i : i + 1024])[0] for i in range(0, len(x), 1024)])
     at = codes.astype(int) + np.arange(books) * words
-    g = np.zeros((books * words, books * words))
-    b = np.zeros((books * words, x.shape[1]))
+    g = np.zeros((books * words, books * words), np.float32)
+    b = np.zeros((books * words, x.shape[1]), np.float32)
     for j in range(books):
         np.add.at(b, at[:, j], x)
         for i in range(books):
             np.add.at(g, (at[:, i], at[:, j]), 1.0)
-    ridge = 0.1
-    start = np.concatenate(out)
-    q.books = np.linalg.solve(g + ridge * np.eye(len(g)), b + ridge * start).reshape(books, words, -1)
+    ridge = np.float32(0.1)
+    b += ridge * np.concatenate(out)
+    g[np.diag_indices(len(g))] += ridge
+    q.books = np.linalg.solve(g, b).astype(float).reshape(books, words, -1)
     return q
 
 
@@ -93,35 +98,22 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 8192, books: int = 8, words: int = 256, beam: int = 8, rerank: int = 100) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 8192, books: int = 16, words: int = 256, beam: int = 8, rerank: int = 300) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found to each row of ``queries`` among ``vectors``.
 
     Nearness is cosine, exact in the result; ties go to the smaller id; a row with the query's own id is no candidate.
     Codebooks are fitted on at most about ``sample`` distinct vectors (those with the smallest hashes); every distinct
-    vector is encoded and scored, in blocks, against every query; the ``rerank`` best by table are ranked exactly. Equal
-    vectors are one class, of which the k + 1 smallest ids can be results, so copies don't crowd others out. Repeated
+    vector is encoded and scored against every query, in blocks of queries that are broadcast while the codes stay where
+    they are; the ``rerank`` best by table (up to 50,000 vectors; with the root of the number beyond) are ranked exactly.
+    Equal vectors are one class, of which the k + 1 smallest ids can be results, so copies don't crowd others out. Repeated
     ids count once. Null, zero, non-finite and odd-sized vectors take no part; an empty side gives an empty result.
     """
     spark = vectors.sparkSession
     tune(spark)
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     rows = usable(vectors, id_col, vec_col).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2"))
-    member_schema = "h1 long, h2 long, id long"
-
-    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k + 1 smallest ids of each class seen in this task."""
-        best: pd.DataFrame | None = None
-        for b in batches:
-            new = pa.Table.from_batches([b]).to_pandas()
-            best = new if best is None else pd.concat([best, new])
-            best = best.drop_duplicates().sort_values("id").groupby(["h1", "h2"], sort=False).head(k + 1)
-        if best is not None:
-            yield pa.RecordBatch.from_pandas(best[["h1", "h2", "id"]], preserve_index=False)
-
-
-
     order = W.partitionBy("h1", "h2").orderBy("id")
-    members = saved(rows.select("h1", "h2", "id").mapInArrow(smallest, member_schema).distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1), "ann-members")
+    members = saved(rows.select("h1", "h2", "id").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1), "ann-members")
     reps = members.filter("n = 1").select("id", "h1", "h2")
     classes = saved(rows.select("id", "v").join(reps, "id").dropDuplicates(["h1", "h2"]), "ann-classes")
     n = classes.count()
@@ -165,27 +157,36 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     blocks = -(-nq // QUERY_BLOCK)
     packed = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("qb").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
     coded = saved(classes.select("id", "v").mapInArrow(encode, "ids binary, codes binary, norms binary"), "ann-codes")
-    pairs = coded.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "qb").select("ids", "codes", "norms", "asked")
+    packed = saved(packed, "ann-query-blocks")
     m = model.books.shape[0]
-    depth = rerank
+    depth = rerank * max(1, math.ceil((n / RERANK_ROWS) ** 0.5))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ``depth`` best of the task for each query."""
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             for r in b.to_pylist():
                 ids, codes, norms = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["codes"], "<u2").reshape(-1, m).astype(np.int64), np.frombuffer(r["norms"], "<f8")
                 q = np.array([a["q"] for a in r["asked"]])
                 lut = model.tables(q / np.linalg.norm(q, axis=1, keepdims=True))
-                qs, vs, ss = [], [], []
                 for a, t in zip(r["asked"], lut):
                     s = t[0][codes[:, 0]]
                     for j in range(1, m):
                         s = s + t[j][codes[:, j]]
                     s = s / np.maximum(norms, 1e-12)
-                    top = np.argpartition(-s, depth - 1)[:depth] if len(s) > depth else np.arange(len(s))
-                    qs.append(np.full(len(top), a["query_id"])), vs.append(ids[top]), ss.append(s[top])
-                yield pa.RecordBatch.from_pydict({"query_id": np.concatenate(qs), "id": np.concatenate(vs), "s": np.concatenate(ss)})
-
-    found = pairs.mapInArrow(scan, "query_id long, id long, s double")
+                    vs, had = ids, best.get(a["query_id"])
+                    if had:
+                        vs, s = np.concatenate((had[0], vs)), np.concatenate((had[1], s))
+                    top = np.argpartition(-s, depth - 1)[:depth] if len(s) > depth else slice(None)
+                    best[a["query_id"]] = vs[top], s[top]
+        for k, (vs, s) in best.items():
+            yield pa.RecordBatch.from_pydict({"query_id": np.full(len(vs), k), "id": vs, "s": s})
+
+    found = None
+    for lo in range(0, blocks, GROUP):
+        own = packed.filter((F.col("qb") >= lo) & (F.col("qb") < lo + GROUP)).select("asked")
+        part = coded.crossJoin(F.broadcast(own)).mapInArrow(scan, "query_id long, id long, s double")
+        found = part if found is None else found.unionByName(part)
     best = found.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("s"), "id"))).filter(F.col("n") <= depth).select("query_id", "id")
     # the query's own class is always among the candidates; exact scores on the original vectors
     own = asked.select("query_id", F.xxhash64("q").alias("h1"), F.xxhash64("q", F.lit(1)).alias("h2")).join(members.filter("n = 1").select("h1", "h2", "id"), ["h1", "h2"]).select("query_id", "id")
