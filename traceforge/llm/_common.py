@@ -25,10 +25,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where none is named (tests)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where none is named and all runs on one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     import tempfile
 
     return f"file://{tempfile.gettempdir()}/traceforge-shared"

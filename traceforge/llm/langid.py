@@ -6,11 +6,11 @@ machine's margin is the mean of its weights over all n-gram positions of the who
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +26,7 @@ FAMILIES = {
 }
 UNDETERMINED = "und"
 BITS = 12
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def grams(data: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Token counts by overlap resynchronisation.
 
-Ordinary texts are counted piece by piece. A huge text is encoded by the library in overlapping chunks with offsets;
+Short texts are counted piece by piece. A long text, of more than a chunk, is encoded by the library in overlapping chunks with offsets;
 two neighbouring chunks are spliced at a boundary that both share and that is proven stable, and the overlap is widened
 while there is none.
 """
@@ -58,11 +58,12 @@ def common_boundary(left: Chunk, right: Chunk, margin: int, last: bool) -> tuple
     return None
 
 
-def count_by_chunks(library, text: str, chunk: int = 1 << 16, overlap: int = 1 << 10, margin: int = 64, collect: bool = False):
+def count_by_chunks(library, text: str, chunk: int = 1 << 13, overlap: int = 1 << 8, margin: int = 64, collect: bool = False):
     """Tokens of ``text`` as the library gives them whole: a count, or with ``collect`` the ids.
 
     ``chunk`` and ``overlap`` are in characters; the overlap is doubled, up to the chunk before it, until a stable
-    boundary is found; if there is none at all, both chunks become one.
+    boundary is found; if there is none at all, the chunk grows to twice its size (a stretch without any boundary, one
+    word for the tokenizer, has to be encoded as one).
     """
     ids: list[int] = []
     count = 0
@@ -72,8 +73,8 @@ def count_by_chunks(library, text: str, chunk: int = 1 << 16, overlap: int = 1 <
         wide, found, right = overlap, None, None
         while True:
             start = max(left.start, left.end - wide)
-            if start == left.start:  # no boundary in the whole chunk: join it with the next
-                left = encode_chunk(library, text, left.start, min(n, left.end + chunk))
+            if start == left.start:  # no boundary in the whole chunk: join it with as much again, so that the work stays linear
+                left = encode_chunk(library, text, left.start, min(n, left.end + max(chunk, left.end - left.start)))
                 break
             right = encode_chunk(library, text, start, min(n, max(left.end, start) + chunk))
             found = common_boundary(left, right, margin, right.end == n)
@@ -89,7 +90,7 @@ def count_by_chunks(library, text: str, chunk: int = 1 << 16, overlap: int = 1 <
     return ids + left.ids if collect else count + len(left.ids)
 
 
-def token_counts(docs: DataFrame, json_path: str, text_col: str = "text", limit: int = 1024, huge: int = 1 << 17, chunk: int = 1 << 16, overlap: int = 1 << 10, keep=None) -> DataFrame:
+def token_counts(docs: DataFrame, json_path: str, text_col: str = "text", limit: int = 1024, huge: int = 1 << 13, chunk: int = 1 << 13, overlap: int = 1 << 8, keep=None) -> DataFrame:
     """Append n_bytes (UTF-8), n_tokens and over_limit (n_tokens > ``limit``) for each text; no shuffle.
 
     Null counts as the empty text: 0 bytes, 0 tokens. Equal rows give equal results; columns of the added names are
