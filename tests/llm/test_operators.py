@@ -297,6 +297,16 @@ def test_html_compares_texts_over_shapes(spark):
     assert got == {n: f"{('head', 'item', 'cell')[n % 3]} {n}" for n in range(9)}
 
 
+def test_html_keeps_headings_of_near_copies_and_deep_pages(spark):
+    frame = "<nav><p>Home</p></nav><article><h1>{h}</h1><p>Long words of the article number {a} that go on for a while.</p><p>{t}</p></article><footer><p>Same foot</p></footer>"
+    rows = [(1, "http://a.com", frame.format(h="One", a=1, t="first")), (2, "http://a.com", frame.format(h="One", a=1, t="edited")), (3, "http://a.com", frame.format(h="Two", a=2, t="third"))]
+    deep = "<div>" * 5000 + "<p>down here</p>" + "</div>" * 5000
+    rows += [(4, None, deep), (5, None, deep.replace("here", "there"))]
+    got = {r.page_id: r.text.split("\n") for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[n][0] for n in (1, 2, 3)] == ["One", "One", "Two"] and [got[n][2] for n in (1, 2, 3)] == ["first", "edited", "third"]
+    assert got[4] == ["down here"] and got[5] == ["down there"]
+
+
 def test_html_labels_tell_all_words(spark):
     many = "auto bg block border flex gray h hidden lg m mt overflow p"
     assert html.Node(html.label_of("div", f' class="{many} sidebar"')).barred and not html.Node(html.label_of("div", f' class="{many} w"')).barred

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +37,8 @@ NOT_CONTENT = frozenset("head nav header footer aside form script style noscript
 #: Words of a class, id or role that name something else than the article.
 NOT_CONTENT_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification alert pagination popup promo promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored sponsor subscribe subscription toolbar warning widget widgets".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 #: Shapes that are joined by broadcast at most.
 FEW = 4096
 
@@ -70,6 +73,7 @@ class Node:
     same: int = 0
     chars: int = 0
     linked: int = 0
+    mass: int = 0
 
     @property
     def tag(self) -> str:
@@ -84,6 +88,11 @@ class Node:
         """Template text: the same on more than half of at least three different pages, whatever their shapes."""
         return self.pages >= 3 and 2 * self.same > self.pages
 
+    @property
+    def certain(self) -> bool:
+        """Template text even inside an article: no heading, and the same on nine in ten of at least ten different pages."""
+        return self.pages >= 10 and 10 * self.same >= 9 * self.pages and self.tag not in HEADINGS
+
 
 class Page:
     """Parses one page: ``shape`` (the collapsed tree as text) and ``blocks`` in page order: (path, text, linked characters)."""
@@ -98,6 +107,15 @@ class Page:
         paths: dict[int, str] = {0: ""}
         self.shape = self.write(0, "", paths)
         self.out = [(paths[k], t, n) for k, t, n in self.blocks]
+        self.about = max((t for k, t, _ in self.blocks if not self.outside(k)), key=lambda t: (len(t), t), default="")
+
+    def outside(self, node: int) -> bool:
+        """Whether a node that can't be content holds this one."""
+        while node:
+            if Node(self.labels[node]).barred:
+                return True
+            node = self.up[node]
+        return False
 
     def write(self, node: int, path: str, paths: dict[int, str]) -> str:
         """Children in document order are already runs: equal neighbours share one node."""
@@ -293,50 +311,59 @@ def align(a: Node, b: Node, memo: dict | None = None) -> None:
     a.children = out[::-1]
 
 
-def mass(n: Node) -> int:
-    """Varying text below a node that isn't mostly links."""
-    if n.barred:
-        return 0
-    own = 0 if n.fixed or 2 * n.linked > n.chars else n.chars
-    return own + sum(map(mass, n.children))
+def weigh(root: Node) -> None:
+    """Set each node's mass: the varying text below it that isn't mostly links, none below a barred node."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack += n.children
+    for n in reversed(order):  # children come before their parents
+        own = 0 if n.fixed or 2 * n.linked > n.chars else n.chars
+        n.mass = 0 if n.barred else own + sum(c.mass for c in n.children)
 
 
 def content_nodes(root: Node) -> list[Node]:
-    """The slots of the main region: of the article or main elements, else of the deepest node with most of the varying text."""
-    named: list[Node] = []
+    """The slots of the main region: of the article or main elements, else of the deepest node with most of the varying text.
 
-    def find(n: Node) -> None:
+    An element that says itself that it is the article loses a slot only if that is certain to be template."""
+    weigh(root)
+    named: list[Node] = []
+    stack = [root]
+    while stack:
+        n = stack.pop()
         if n.barred:
-            return
+            continue
         if n.tag in ("article", "main") or "main" in n.label.split(".")[1:]:
-            if mass(n):
+            if n.mass:
                 named.append(n)
-            return
-        for c in n.children:
-            find(c)
-
-    find(root)
+            continue
+        stack += n.children[::-1]
     trusted = bool(named)
     if not named:
-        n, total = root, mass(root)
-        while total and (best := max(n.children, key=mass, default=None)) and 2 * mass(best) > total and best.children:
+        n = root
+        while root.mass and (best := max(n.children, key=lambda c: c.mass, default=None)) and 2 * best.mass > root.mass and best.children:
             n = best
-        named = [n] if total else []
+        named = [n] if root.mass else []
     out: list[Node] = []
-
-    def take(n: Node) -> None:
+    stack = named[::-1]
+    while stack:
+        n = stack.pop()
         if n.barred:
-            return
-        if n.chars and not n.fixed and (trusted or 2 * n.linked <= n.chars):
+            continue
+        if n.chars and (not n.certain if trusted else not n.fixed and 2 * n.linked <= n.chars):
             out.append(n)
-        for c in n.children:
-            take(c)
-
-    for n in named:
-        take(n)
+        stack += n.children[::-1]
     return out
 
 
+def depth(root: Node) -> int:
+    deep, level = 0, [root]
+    while level:
+        deep, level = deep + 1, [c for n in level for c in n.children]
+    return deep
+
+
 def nodes_by_path(root: Node) -> Iterator[tuple[str, Node]]:
     stack = [("", root)]
     while stack:
@@ -347,9 +374,13 @@ def nodes_by_path(root: Node) -> Iterator[tuple[str, Node]]:
 
 def host_template(shapes: list[str]) -> Node:
     """Align a host's shapes; every node has the (shape, path) pairs that met in it."""
-    root = None
+    root, most = None, sys.getrecursionlimit()
     for shape in shapes:
         tree = read_shape(shape)
+        # matching recurses by two frames of Python a level, which take no room on the machine's own stack
+        most = max(most, 4 * depth(tree) + 1000)
+        if most > sys.getrecursionlimit():
+            sys.setrecursionlimit(most)
         for p, n in nodes_by_path(tree):
             n.paths.append((shape, p))
         if root is None:
@@ -378,34 +409,36 @@ def write_shape(root: Node) -> str:
     return "".join(parts)
 
 
+OWN = ("host", "shape", "about", "blocks")
 _BLOCKS = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType()), T.StructField("linked", T.IntegerType())]))
 
 
 def parsed(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep=None) -> DataFrame:
-    """Append host (lower case, empty if none), shape and blocks."""
+    """Append host (lower case, empty if none), shape, about (hash of the longest block that may be content) and blocks."""
     keep = pages.columns if keep is None else keep
 
     def make():
         def run(texts):
             got = [Page(t or "") for t in texts]
-            return {"shape": [g.shape for g in got], "blocks": [[{"path": p, "text": t, "linked": n} for p, t, n in g.out] for g in got]}
+            return {"shape": [g.shape for g in got], "about": [xxhash.xxh64_intdigest(g.about) - (1 << 63) for g in got], "blocks": [[{"path": p, "text": t, "linked": n} for p, t, n in g.out] for g in got]}
 
         return run
 
     host = F.coalesce(F.lower(F.regexp_extract(col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     named = without(pages, ["host"]).withColumn("host", host)
-    return append_columns(named, html_col, make, [T.StructField("shape", T.StringType()), T.StructField("blocks", _BLOCKS)], [*[k for k in keep if k.lower() not in ("host", "shape", "blocks")], "host"], most=2 << 20)
+    return append_columns(named, html_col, make, [T.StructField("shape", T.StringType()), T.StructField("about", T.LongType()), T.StructField("blocks", _BLOCKS)], [*[k for k in keep if k.lower() not in OWN], "host"], most=2 << 20)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, shape, paths: which slots of a shape hold content. Equal pages of a host count once.
+    """host, shape, paths: which slots of a shape hold content. Pages of a host and shape that share their longest block, as
+    copies and near copies do, count once.
 
     A host's pages never meet in one task: its distinct shapes do, to be aligned into the template, and then the sums of
     the template's slots. Texts are counted between the two, over all shapes that meet in a slot.
     """
     brief = F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("h"), F.length(b["text"]).alias("chars"), b["linked"].alias("linked")))
-    distinct = pages.select("host", "shape", brief.alias("brief"), F.xxhash64("blocks").alias("page")).dropDuplicates(["host", "shape", "page"])
-    slot = distinct.select("host", "shape", "page", F.explode("brief").alias("b")).groupBy("host", "shape", "page", F.col("b.path").alias("path"))
+    one = pages.select("host", "shape", "about", brief.alias("brief"), F.xxhash64("blocks").alias("page")).groupBy("host", "shape", "about").agg(F.min(F.struct("page", "brief")).alias("p"))
+    slot = one.select("host", "shape", "about", F.explode("p.brief").alias("b")).groupBy("host", "shape", "about", F.col("b.path").alias("path"))
     texts = slot.agg(F.bit_xor("b.h").alias("h"), F.sum("b.chars").alias("chars"), F.sum("b.linked").alias("linked"))
     each = saved(texts.groupBy("host", "shape", "path", "h").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")), "texts")
     by_path = each.groupBy("host", "shape", "path").agg(F.sum("n").alias("pages"))
@@ -453,9 +486,10 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
 
     Null html is empty and gives an empty text; null or odd urls share the host "". Pages of a host with fewer than
     three different pages have no fixed nodes: the element names and the region alone decide. Repeated pages give
-    repeated rows; columns named text or n_chars are replaced, ones named host, shape or blocks are dropped.
+    repeated rows; columns named text or n_chars are replaced, ones named host, shape, about or blocks are dropped. Elements
+    may be nested without a bound.
     """
-    keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in ("text", "n_chars", "host", "shape", "blocks")]
+    keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in ("text", "n_chars", *OWN)]
     read = saved(parsed(pages, url_col, html_col, keep), "pages")
     rules = saved(wrappers(read), "wrappers")
     joined = read.join(F.broadcast(rules) if rules.count() <= FEW else rules, ["host", "shape"], "left")
