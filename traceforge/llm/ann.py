@@ -162,7 +162,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     depth = rerank * max(1, math.ceil((n / RERANK_ROWS) ** 0.5))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ``depth`` best of the task for each query."""
+        """The ``depth`` best of the task for each query, in one row."""
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             for r in b.to_pylist():
@@ -180,14 +180,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                     top = np.argpartition(-s, depth - 1)[:depth] if len(s) > depth else slice(None)
                     best[a["query_id"]] = vs[top], s[top]
         for k, (vs, s) in best.items():
-            yield pa.RecordBatch.from_pydict({"query_id": np.full(len(vs), k), "id": vs, "s": s})
+            yield pa.RecordBatch.from_pydict({"query_id": [k], "ids": [vs.astype("<i8").tobytes()], "scores": [s.astype("<f8").tobytes()]})
+
+    def merge(t: pa.Table) -> pa.Table:
+        """The ``depth`` best of a query over all tasks; ties go to the smaller id."""
+        ids, s = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(n)]) for n, kind in (("ids", "<i8"), ("scores", "<f8")))
+        top = np.lexsort((ids, -s))[:depth]
+        return pa.table({"query_id": np.full(len(top), t.column("query_id")[0].as_py()), "id": ids[top]})
 
     found = None
     for lo in range(0, blocks, GROUP):
         own = packed.filter((F.col("qb") >= lo) & (F.col("qb") < lo + GROUP)).select("asked")
-        part = coded.crossJoin(F.broadcast(own)).mapInArrow(scan, "query_id long, id long, s double")
+        part = coded.crossJoin(F.broadcast(own)).mapInArrow(scan, "query_id long, ids binary, scores binary")
         found = part if found is None else found.unionByName(part)
-    best = found.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("s"), "id"))).filter(F.col("n") <= depth).select("query_id", "id")
+    best = found.groupBy("query_id").applyInArrow(merge, "query_id long, id long")
     # the query's own class is always among the candidates; exact scores on the original vectors
     own = asked.select("query_id", F.xxhash64("q").alias("h1"), F.xxhash64("q", F.lit(1)).alias("h2")).join(members.filter("n = 1").select("h1", "h2", "id"), ["h1", "h2"]).select("query_id", "id")
     best = best.unionByName(own).distinct().join(asked, "query_id").join(classes.select("id", "v", "h1", "h2"), "id")
