@@ -85,8 +85,8 @@ def sliding_lags(frames: DataFrame, window: int = 15) -> DataFrame:
     """molecule_id, start, lag0, lag1 (magnitude) of every full window; null where a channel is flat.
 
     Lag 1 is the biased correlation of the donor with the acceptor one frame before, by the window's own means."""
-    if window < 3:
-        raise ValueError("window must be at least 3")
+    if window < 2:
+        raise ValueError("window must be at least 2")
     w, late, early = (by_frame().rowsBetween(a, b) for a, b in ((0, window - 1), (1, window - 1), (0, window - 2)))
     x = frames.withColumn("p", F.col("donor") * F.lag("acceptor").over(by_frame()))
     md, ma = F.avg("donor").over(w), F.avg("acceptor").over(w)

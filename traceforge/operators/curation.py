@@ -45,13 +45,29 @@ def rekeyed(molecules: DataFrame, source, target) -> DataFrame:
     return molecules.withColumn("condition_id", F.when(F.col("condition_id") == source, F.lit(target)).otherwise(F.col("condition_id")))
 
 
+#: Parts into which rankings and running sums are cut, by approximate quantiles: no part grows with the spread of the values.
+PARTS = 256
+
+
+def parted(rows: DataFrame, value: str, parts: int = PARTS) -> DataFrame:
+    """``rows`` with ``part``: ascending ranges of ``value`` of about as many rows each, null for null."""
+    cuts = rows.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000).alias("q")).first()["q"] or []
+    cuts = sorted(set(cuts))
+    return rows.withColumn("part", F.when(F.col(value).isNotNull(), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)))
+
+
 def ranked(scores: DataFrame, descending: bool = True) -> DataFrame:
-    """rank from 1: missing scores last, ties by id. No row is dropped. Ranks are counted range by range of scores."""
-    key = [F.col("score").isNull(), F.col("score").desc() if descending else F.col("score"), F.col("id")]
-    s = scores.withColumn("score", F.when(~F.isnan("score"), F.col("score"))).withColumn("part", F.coalesce(F.floor(F.col("score") * (-1000 if descending else 1000)), F.lit((1 << 62))))
+    """rank from 1: missing scores last, ties by id. No row is dropped; infinite scores are refused. Ranks are counted range
+    by range of scores."""
+    bad = F.abs(F.col("score")) == float("inf")
+    s = scores.withColumn("score", F.when(bad, F.raise_error(F.lit("infinite score"))).when(~F.isnan("score"), F.col("score")))
+    s = parted(s, "score")
+    sign = F.col("part") * (-1 if descending else 1)
+    s = s.withColumn("part", F.coalesce(sign, F.lit(1 << 30)))
+    key = [F.col("score").desc() if descending else F.col("score"), F.col("id")]
     size = s.groupBy("part").agg(F.count("*").alias("c"))
     before = size.withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return s.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy(*key))).join(before, "part").select("id", "score", (F.col("before") + F.col("k")).alias("rank"))
+    return s.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy(*key))).join(F.broadcast(before), "part").select("id", "score", (F.col("before") + F.col("k")).alias("rank"))
 
 
 def precision_at_k(rank: DataFrame, good: DataFrame, k: int) -> DataFrame:
@@ -71,7 +87,8 @@ def next_to_label(scores: DataFrame, curated: DataFrame) -> DataFrame:
 def ks_statistic(samples: DataFrame) -> DataFrame:
     """One row, d: largest gap of the distributions of side 0 and side 1 (columns side, x); counts by value come first,
     and running sums are taken within ranges of values."""
-    by = samples.groupBy("x").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("b")).withColumn("part", F.floor("x"))
+    by = samples.groupBy("x").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("b"))
+    by = parted(by, "x")
     part = by.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
     o = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     part = part.select("part", F.coalesce(F.sum("pa").over(o), F.lit(0)).alias("ba"), F.coalesce(F.sum("pb").over(o), F.lit(0)).alias("bb"), F.sum("pa").over(W.partitionBy(F.lit(1))).alias("na"), F.sum("pb").over(W.partitionBy(F.lit(1))).alias("nb"))

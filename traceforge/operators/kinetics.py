@@ -222,11 +222,13 @@ def rate_constants(values: DataFrame, dt: float, states: int = 2) -> DataFrame:
 
 
 def elbow(ks: list[int], rmse: list[float]) -> int | None:
-    """The k farthest from the chord between the ends, both axes scaled to [0, 1]; None for fewer than three points."""
+    """The k farthest from the chord between the ends, both axes scaled to [0, 1]; None for fewer than three points and a flat curve."""
     if len(ks) < 3:
         return None
     x, y = np.array(ks, float), np.array(rmse, float)
-    x, y = (x - x[0]) / (x[-1] - x[0]), (y - y.min()) / (np.ptp(y) or 1)
+    if not (np.isfinite(y).all() and np.ptp(y) > 0):
+        return None
+    x, y = (x - x[0]) / (x[-1] - x[0]), (y - y.min()) / np.ptp(y)
     away = np.abs((y[-1] - y[0]) * x - (y - y[0]))
     return ks[1 + int(away[1:-1].argmax())]
 

@@ -97,10 +97,10 @@ def dwells(paths: DataFrame, include_first: bool = False) -> DataFrame:
 def survival(d: DataFrame) -> DataFrame:
     """state, tau, s: share of dwells longer than tau, tau from 0 below the longest. Works on distinct lengths."""
     by = d.groupBy("state", "length").agg(F.count("*").alias("c"))
-    top = by.groupBy("state").agg(F.max("length").alias("longest"), F.sum("c").alias("m"))
-    grid = top.withColumn("tau", F.explode(F.sequence(F.lit(0).cast("long"), F.col("longest") - 1)))
-    got = grid.join(by, "state").groupBy("state", "tau", "m").agg(F.sum(F.when(F.col("length") > F.col("tau"), F.col("c")).otherwise(0)).alias("k"))
-    return got.select("state", "tau", (F.col("k") / F.col("m")).alias("s"))
+    order = W.partitionBy("state").orderBy(F.desc("length"))
+    # from the longest: how many last longer than the length before, which holds from there up to this one
+    run = by.withColumn("k", F.sum("c").over(order)).withColumn("m", F.sum("c").over(W.partitionBy("state"))).withColumn("shorter", F.coalesce(F.lead("length").over(order), F.lit(0)))
+    return run.select("state", F.explode(F.sequence(F.col("shorter").cast("long"), F.col("length") - 1)).alias("tau"), (F.col("k") / F.col("m")).alias("s"))
 
 
 def exit_rates(d: DataFrame, dt: float) -> DataFrame:
@@ -121,20 +121,13 @@ def cross_correlation(frames: DataFrame, max_lag: int) -> DataFrame:
 
 def sliding_correlation(frames: DataFrame, window: int = 15) -> DataFrame:
     """molecule_id, start, lag0 of every full window of ``window`` frames; null for flat windows."""
-    if window < 3:
-        raise ValueError("window must be at least 3")
+    if window < 2:
+        raise ValueError("window must be at least 2")
     w = by_frame().rowsBetween(0, window - 1)
     x = frames.select("molecule_id", F.col("frame").alias("start"), F.covar_pop("donor", "acceptor").over(w).alias("cov"), (F.stddev_pop("donor").over(w) * F.stddev_pop("acceptor").over(w)).alias("sd"), F.count("*").over(w).alias("n"), (F.max("donor").over(w) == F.min("donor").over(w)).alias("fd"), (F.max("acceptor").over(w) == F.min("acceptor").over(w)).alias("fa"))
     return x.filter(F.col("n") == window).select("molecule_id", "start", F.when(~F.col("fd") & ~F.col("fa") & (F.col("sd") > 0), F.col("cov") / F.col("sd")).alias("lag0"))
 
 
-def anticorrelation_events(scan: DataFrame, window: int = 15, below: float = -0.5) -> DataFrame:
-    """molecule_id, start, stop, windows, peak: consecutive windows whose lag-0 correlation is at most ``below``, merged."""
-    o = W.partitionBy("molecule_id").orderBy("start")
-    hit = scan.filter(F.col("lag0") <= below).withColumn("g", F.col("start") - F.row_number().over(o))
-    return hit.groupBy("molecule_id", "g").agg(F.min("start").alias("start"), (F.max("start") + window).alias("stop"), F.count("*").alias("windows"), F.min("lag0").alias("peak")).drop("g")
-
-
 def trace_features(frames: DataFrame) -> DataFrame:
     """n_frames, total_intensity, snr, fret_mean, fret_var, anticorr_lag0 of each molecule (population variances)."""
     total = F.col("donor") + F.col("acceptor")
