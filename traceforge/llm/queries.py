@@ -66,5 +66,14 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_additive_neighbours, op4_byte_bpe, op5_wrapper_text, op6_token_counts, op7_attention_quality, op8_best_fit_packing, op9_minhash, op10_ppm_score)}
 
+_OP9 = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, list_aggregate(t[i : i + 4], 'string_agg', ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 4, least(len(t), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+c AS (SELECT doc_id AS root, doc_id FROM documents UNION SELECT c.root, e.b FROM c JOIN e ON e.a = c.doc_id),
+m AS (SELECT doc_id, min(root) AS component_id FROM c GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
 #: Queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_minhash": _OP9}
