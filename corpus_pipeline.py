@@ -14,7 +14,8 @@ from traceforge.llm import langid, minhash, packing, quality
 
 #: Documents whose quality score is lower are rejected.
 QUALITY_THRESHOLD = 0.3
-#: Documents whose language is undetermined or surer to be wrong than right are rejected.
+#: Documents whose language is undetermined, or whose score (product of two mean chances of at least one half each with two
+#: families of two languages) is near its least, are rejected.
 LANGUAGE_SCORE = 0.3
 
 
@@ -47,7 +48,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("quality classifier", quality_classifier), ("language ID", language_id), ("MinHash near-dedup", near_dedup), ("best-fit packing", best_fit_packing)]
 
-#: SQL can't train or tokenize; tests hold the stages against brute force.
+#: SQL can't train or tokenize; the operators' tests hold what the stages call against brute force or held-out labels.
 ORACLE_SQL = None
 
 
