@@ -115,6 +115,19 @@ def test_packing_levels_lose_nothing(spark):
     assert len(fill) <= 1.05 * sum(fill.values()) / 128
 
 
+def test_packing_pieces_of_over_half_never_meet_in_one_task(spark, monkeypatch):
+    tasks = []
+    level = packing._level
+    monkeypatch.setattr(packing, "_level", lambda k, *rest: tasks.append((k, *rest)) or level(k, *rest))
+    pieces = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(66).cast("long").alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+    rows = packing.pack(pieces, cap=129, rows_per_task=200, fan_in=8).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows) == 2000
+    # the third level is where pieces of over half are closed: it isn't the single last task
+    assert not any(last for k, _, _, last in tasks if k <= 3)
+    with pytest.raises(ValueError):
+        packing.pack(pieces, rows_per_task=1)
+
+
 def test_language_on_held_out_rows(spark, documents):
     got = {r.doc_id: r for r in queries.op1_language_id(spark, SF).collect()}
     rows = [r for r in documents.collect() if got[r.doc_id].held_out]

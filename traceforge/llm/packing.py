@@ -130,10 +130,13 @@ def pack(pieces: DataFrame, cap: int = 2048, rows_per_task: int = 50_000, fan_in
     """Add sequence_id and offset (gapless from 0 in each sequence) to pieces of at most ``cap`` tokens.
 
     Level 1 packs partitions of about ``rows_per_task`` pieces; a sequence with less than ``slack`` of its room free is
-    emitted. Each next level has ``fan_in`` times fewer groups and four times the slack, up to one half: as best fit
-    leaves at most one bin per group that is at most half full, what goes further up is bounded by the number of groups,
-    not by the rows. The last level emits everything. Pieces of length 0 or over ``cap`` are not allowed.
+    emitted. Each next level has ``fan_in`` times fewer groups, but no group of more than about ``rows_per_task`` sequences,
+    and four times the slack, up to one half: as best fit leaves at most one bin per group that is at most half full, what
+    goes further up is bounded by the number of groups then. The last level, one group, emits everything. Pieces of length 0
+    or over ``cap`` are not allowed.
     """
+    if rows_per_task < 2 or fan_in < 2:
+        raise ValueError("rows_per_task and fan_in must be at least 2")
     names = ("doc_id", "piece", "start", "length", "ids_crc32")
     flat = pieces.select(*names)
     groups = max(1, -(-flat.count() // rows_per_task))
@@ -148,11 +151,13 @@ def pack(pieces: DataFrame, cap: int = 2048, rows_per_task: int = 50_000, fan_in
         if last:
             done.append(packed)
             break
-        packed = saved(packed, f"packing-{level}")
+        packed, before = saved(packed, f"packing-{level}"), groups
         done.append(packed.filter("closed"))
-        groups = -(-groups // fan_in)
-        open_ = packed.filter("NOT closed").select("members", F.expr("sequence_id >> 32").alias("__at"))
-        level, free = level + 1, min(cap // 2, free * 4)
+        left = packed.filter("NOT closed")
+        groups = max(-(-groups // fan_in), -(-left.count() // rows_per_task))
+        # a group's open sequences stay together while there are fewer groups than before; where many are left they spread
+        open_ = left.select("members", (F.expr("sequence_id >> 32") if groups < before else F.col("sequence_id")).alias("__at"))
+        level, free = level + 1, min((cap + 1) // 2, free * 4)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
