@@ -133,7 +133,7 @@ def trace_features(frames: DataFrame) -> DataFrame:
     total = F.col("donor") + F.col("acceptor")
     return frames.withColumn("total", total).groupBy("molecule_id").agg(
         F.count("*").alias("n_frames"), F.avg("total").alias("total_intensity"), F.when(F.stddev_pop("total") > 0, F.avg("total") / F.stddev_pop("total")).alias("snr"),
-        F.avg("e").alias("fret_mean"), F.var_pop("e").alias("fret_var"), F.when((F.max("donor") > F.min("donor")) & (F.max("acceptor") > F.min("acceptor")), F.corr("donor", "acceptor")).alias("anticorr_lag0"),
+        F.avg("e").alias("fret_mean"), F.var_pop("e").alias("fret_var"), F.when((F.max("donor") > F.min("donor")) & (F.max("acceptor") > F.min("acceptor")), F.try_divide(F.covar_pop("donor", "acceptor"), F.stddev_pop("donor") * F.stddev_pop("acceptor"))).alias("anticorr_lag0"),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .matching import near_pairs
+
 
 def _apart(a: str, b: str):
     return F.sqrt(F.pow(F.col(f"{a}x") - F.col(f"{b}x"), F.lit(2.0)) + F.pow(F.col(f"{a}y") - F.col(f"{b}y"), F.lit(2.0)))
@@ -21,11 +23,10 @@ def nearest(points: DataFrame, radius: float = 3.0) -> DataFrame:
 
 def mutual_pairs(left: DataFrame, right: DataFrame, tol: float = 2.0) -> DataFrame:
     """a, b, distance: each the other's nearest in the group, at most ``tol`` apart."""
-    j = left.select("group_id", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")).join(right.select("group_id", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), "group_id")
-    j = j.select("a", "b", _apart("a", "b").alias("d"))
+    j = near_pairs(left, right, tol).withColumnRenamed("distance", "d")  # the nearest of all is the nearest of those within reach
     to_b = j.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b", F.col("m.d").alias("distance"))
     to_a = j.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("b", "m.a")
-    return to_b.join(to_a, ["a", "b"]).filter(F.col("distance") <= tol)
+    return to_b.join(to_a, ["a", "b"])
 
 
 def similar(features: DataFrame, names: list[str], seeds: list, k: int | None = None) -> DataFrame:
