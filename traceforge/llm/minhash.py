@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, saved, tune
+from ._common import col, saved, slices, tune
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -301,8 +301,10 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingler(width)
         for batch in batches:
-            found = [sets(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([one_bits(x, *two) for x in found], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["node", "size", "bits", "set"])
+            texts = batch.column(1).to_pylist()
+            for i, j in slices([len(t) for t in texts]):
+                found = [sets(t) for t in texts[i:j]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(x) for x in found], pa.int64()), pa.array([one_bits(x, *two) for x in found], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["node", "size", "bits", "set"])
 
     sets = saved(texts.mapInArrow(bits, "node string, size long, bits array<long>, set array<long>"), "candidate-sets")
     sizes = sets.select("node", "size", *[F.col("bits")[i].alias(f"b{i}") for i in range(BIT_COORDINATES // 64)])
