@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from traceforge.operators import curation, kinetics, population, stored
+from traceforge.operators import agreement, curation, kinetics, population, stored
 
 NAN = float("nan")
 
@@ -20,7 +20,11 @@ def test_levels_transitions_and_gaps(spark):
     pairs = stored.level_transitions(levels)
     assert sorted((r.initial, r.final) for r in pairs.collect()) == [(0.1, 0.5), (1.3, 0.1)]
     assert stored.transition_totals(pairs).first() == (2, 1, 1)
-    assert [(r.initial_bin, r.final_bin, r.n) for r in stored.transition_bins(pairs).collect()] == [(13, 30, 1)]
+    assert [(r.initial_bin, r.final_bin, r.n) for r in stored.transition_bins(pairs, 61, -0.2, 1.2, dense=False).collect()] == [(13, 30, 1)]
+    dense = stored.transition_bins(pairs).collect()
+    assert len(dense) == 101 * 101 and [(r.initial_bin, r.final_bin) for r in dense if r.n] == [(23, 50)]
+    assert round(sum(r.density for r in dense) * (1.5 / 101) ** 2, 9) == 1.0
+    assert {r.density for r in stored.transition_bins(pairs.filter("false"), 3).collect()} == {0.0}
     with pytest.raises(ValueError):
         stored.level_transitions(levels, 0)
 
@@ -39,11 +43,31 @@ LOG = "event_seq long, molecule_key string, labeler string, timestamp string, so
 def test_label_merge_and_verdicts(spark):
     own = spark.createDataFrame([(1, "a", "x", "t", "f", "human", 1, 5)], LOG)
     other = spark.createDataFrame([(1, "a", "x", "t", "f", "human", 1, None), (2, "b", "x", "t", "f", "human", -1, None), (3, "b", "x", "t", "f", "human", -1, None), (4, "c", "x", "t", "f", "human", 1, None), (5, "d", "x", "t", "f", "human", 1, None), (6, "b", "x", "t", "f", "model", 1, None)], LOG)
-    molecules = spark.createDataFrame([("a", 5, 0), ("b", 6, 1), ("c", 5, 0), ("c", 6, 0)], "molecule_key string, condition_id long, label int")
+    molecules = spark.createDataFrame([("a", 5, 1, 9), ("a", 5, 0, 2), ("b", 6, 1, 0), ("c", 5, 0, 0), ("c", 6, 0, 0), ("e", 7, 1, 0)], "molecule_key string, condition_id long, label int, store_ord int")
     got = stored.label_merge(own, other, molecules)
     assert [(r.event_seq, r.outcome, r.condition_id) for r in got.orderBy("event_seq").collect()] == [(1, "duplicate", None), (2, "appended", 6), (3, "duplicate", None), (4, "ambiguous", None), (5, "unmatched", None), (6, "skipped", None)]
     assert sorted(map(tuple, stored.label_verdicts(got, molecules).collect())) == [("a", 1, "adopted"), ("b", -1, "conflict")]
     assert stored.label_merge(own, other.filter("false"), molecules).count() == 0
+    # the last decision of e was withdrawn; a repeated event without a file is one event
+    more = spark.createDataFrame([(1, "e", "x", "t", None, "human", -1, None), (2, "e", "x", "t", None, "human", -1, None), (3, "e", "x", "u", "f", "human", 0, None)], LOG)
+    got = stored.label_merge(own, more, molecules)
+    assert [r.outcome for r in got.orderBy("event_seq").collect()] == ["appended", "duplicate", "appended"]
+    assert stored.label_verdicts(got, molecules).count() == 0
+    again = stored.label_merge(own.unionByName(more), more, molecules)
+    assert {r.outcome for r in again.collect()} == {"duplicate"}
+
+
+def test_only_seeds_are_provisional(spark):
+    seeds = list(stored.SEED_SOURCES)
+    log = spark.createDataFrame([(1, "a", seeds[0], 1), (2, "a", seeds[1], -1), (3, "a", "human", 1), (4, "b", "model", 1), (5, "c", seeds[0], 1), (6, "c", seeds[0], 0), (7, "d", "human", 1)], "event_seq long, molecule_key string, source string, label_value int")
+    assert [tuple(r) for r in stored.provisional_labels(log).collect()] == [("a", -1)]
+
+
+def test_canonical_by_the_models_means(spark):
+    paths = spark.createDataFrame([(1, t, s, e) for t, (s, e) in enumerate([(0, 0.1), (1, 0.9), (2, 0.5), (-1, None)])], "molecule_id long, frame int, state int, e double")
+    states = lambda df: [r.state for r in df.orderBy("frame").collect()]
+    assert states(agreement.canonical(paths)) == [0, 2, 1, -1]
+    assert states(agreement.canonical(paths, [0.8, 0.2, 0.2])) == [2, 0, 1, -1]
 
 
 def test_condition_text_quotes_and_ids(spark):

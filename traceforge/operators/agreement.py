@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,8 +12,13 @@ from ..functions.scalar import NO_STATE, bin_index
 from .population import by_frame
 
 
-def canonical(paths: DataFrame) -> DataFrame:
-    """States renumbered by the rank of their mean value (ties: the smaller state); gaps stay."""
+def canonical(paths: DataFrame, level_means: Sequence[float] | None = None) -> DataFrame:
+    """States renumbered by the rank of their mean (ties: the smaller state); gaps stay. ``level_means``: the fitted model's mean of
+    each state; without them the means are those of the frames' e."""
+    if level_means is not None:
+        order = sorted(range(len(level_means)), key=lambda k: level_means[k])
+        ranks = F.array(*[F.lit(order.index(k)) for k in range(len(level_means))])
+        return paths.withColumn("state", F.when(F.col("state") == NO_STATE, NO_STATE).otherwise(F.element_at(ranks, F.col("state").cast("int") + 1)))
     means = paths.filter(F.col("state") != NO_STATE).groupBy("state").agg(F.avg("e").alias("level"))
     rank = means.select("state", (F.row_number().over(W.orderBy("level", "state")) - 1).alias("rank"))
     return paths.join(F.broadcast(rank), "state", "left").withColumn("state", F.coalesce("rank", F.lit(NO_STATE))).drop("rank")

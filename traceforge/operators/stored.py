@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import parsed_names
+from ..functions.numbers import decimal_text
 from ..functions.scalar import NO_STATE, bin_index
 from .curation import IDENTITY
 from .population import by_frame
@@ -48,16 +50,20 @@ def level_transitions(levels: DataFrame, nskip: int = 2) -> DataFrame:
     return p.filter(F.col("initial").isNotNull() & F.col("final").isNotNull() & (F.col("__b") != F.col("initial"))).drop("__b")
 
 
-def transition_bins(pairs: DataFrame, bins: int = 61, low: float = -0.2, high: float = 1.2) -> DataFrame:
-    """initial_bin, final_bin, n, density; the last bins are closed, pairs out of range have no bin."""
+def transition_bins(pairs: DataFrame, bins: int = 101, low: float = -0.25, high: float = 1.25, dense: bool = True) -> DataFrame:
+    """initial_bin, final_bin, n, density; the last bins are closed, pairs out of range have no bin. All bins are there unless
+    ``dense`` is false, of density 0 if no pair has any bin."""
     b = lambda c: bin_index(F.col(c), low, high, bins).alias(f"{c}_bin")
     got = pairs.select(b("initial"), b("final")).dropna().groupBy("initial_bin", "final_bin").agg(F.count("*").alias("n"))
     total = got.agg(F.sum("n").alias("__t"))
     area = ((high - low) / bins) ** 2
-    return got.crossJoin(F.broadcast(total)).select("initial_bin", "final_bin", "n", (F.col("n") / (F.col("__t") * area)).alias("density"))
+    if dense:
+        each = pairs.sparkSession.range(bins * bins).select(F.floor(F.col("id") / bins).cast("int").alias("initial_bin"), (F.col("id") % bins).cast("int").alias("final_bin"))
+        got = each.join(got, ["initial_bin", "final_bin"], "left").fillna(0, ["n"])
+    return got.crossJoin(F.broadcast(total)).select("initial_bin", "final_bin", "n", F.coalesce(F.col("n") / (F.col("__t") * area), F.lit(0.0)).alias("density"))
 
 
-def transition_totals(pairs: DataFrame, low: float = -0.2, high: float = 1.2) -> DataFrame:
+def transition_totals(pairs: DataFrame, low: float = -0.25, high: float = 1.25) -> DataFrame:
     """One row: n_transitions and n_molecules over all pairs, n_outside of the range."""
     inside = F.col("initial").between(low, high) & F.col("final").between(low, high)
     return pairs.agg(F.count("*").alias("n_transitions"), F.countDistinct("molecule_id").alias("n_molecules"), F.count_if(~inside).alias("n_outside"))
@@ -95,30 +101,40 @@ def first_seen(rows: DataFrame, value: str, order: str) -> DataFrame:
     return rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("first"))
 
 
+#: The sources of labels that a first model starts from.
+SEED_SOURCES = ("deeplasi-provisional", "cross-condition-seed")
+
+
 def provisional_labels(log: DataFrame) -> DataFrame:
-    """molecule_key, label_value: the latest event that isn't human for each key; 0 takes the label away."""
-    last = log.filter("source <> 'human'").groupBy("molecule_key").agg(F.max_by("label_value", "event_seq").alias("label_value"))
+    """molecule_key, label_value: the latest event of a seed source for each key; 0 takes the label away. Events of people and of
+    any other source don't count."""
+    last = log.filter(F.col("source").isin(*SEED_SOURCES)).groupBy("molecule_key").agg(F.max_by("label_value", "event_seq").alias("label_value"))
     return last.filter("label_value <> 0")
 
 
 def label_merge(owner: DataFrame, other: DataFrame, molecules: DataFrame) -> DataFrame:
     """One row for each event of ``other`` with its outcome: skipped (not human), unmatched (no such key among the owner's
     ``molecules``), ambiguous (the key's rows have several conditions), duplicate (in the owner's log, or met before in
-    ``other``, by six-field identity) or appended, then with the owner's condition_id."""
-    keys = molecules.groupBy("molecule_key").agg(F.countDistinct(F.coalesce(F.col("condition_id").cast("string"), F.lit(""))).alias("__n"), F.first("condition_id").alias("condition_id"))
-    had = owner.select(*IDENTITY).distinct().withColumn("__had", F.lit(True))
-    nth = F.row_number().over(W.partitionBy(*IDENTITY).orderBy("event_seq"))
-    at = other.drop("condition_id").join(keys, "molecule_key", "left").withColumn("__k", nth).join(had, IDENTITY, "left")
-    outcome = F.when(F.col("source") != "human", "skipped").when(F.col("__n").isNull(), "unmatched").when(F.col("__n") > 1, "ambiguous").when(F.col("__had") | (F.col("__k") > 1), "duplicate").otherwise("appended")
-    return at.withColumn("outcome", outcome).withColumn("condition_id", F.when(F.col("outcome") == "appended", F.col("condition_id"))).drop("__n", "__had", "__k")
-
-
-def label_verdicts(merged: DataFrame, molecules: DataFrame) -> DataFrame:
-    """molecule_key, decision, verdict: the latest decision of the merged events that have a place, against the owner's label:
-    adopted (the owner has none), agreement or conflict (the owner's stays)."""
-    own = molecules.groupBy("molecule_key").agg(F.first("label").alias("__own"))
-    last = merged.filter("outcome IN ('appended', 'duplicate')").groupBy("molecule_key").agg(F.max_by("label_value", "event_seq").alias("decision"))
-    verdict = F.when(F.col("__own") == F.col("decision"), "agreement").when(F.col("__own") == 0, "adopted").otherwise("conflict")
+    ``other``, by six-field identity in which null equals null) or appended, then with the owner's condition_id."""
+    keys = molecules.groupBy("molecule_key").agg(F.countDistinct(F.coalesce(F.col("condition_id").cast("string"), F.lit(""))).alias("__n"), F.min("condition_id").alias("condition_id"))
+    # a field's text behind its presence, so that null is a value of its own
+    identity = F.struct(*[F.struct(F.col(c).isNull().alias("a"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("b")).alias(c) for c in IDENTITY])
+    had = owner.select(identity.alias("__id")).distinct().withColumn("__had", F.lit(True))
+    nth = F.row_number().over(W.partitionBy("__id").orderBy("event_seq"))
+    at = other.drop("condition_id").withColumn("__id", identity).join(keys, "molecule_key", "left")
+    told = F.when(F.col("source") != "human", "skipped").when(F.col("__n").isNull(), "unmatched").when(F.col("__n") > 1, "ambiguous")
+    at = at.withColumn("__told", told).withColumn("__k", nth).join(had, "__id", "left")
+    outcome = F.coalesce("__told", F.when(F.col("__had") | (F.col("__k") > 1), "duplicate").otherwise("appended"))
+    return at.withColumn("outcome", outcome).withColumn("condition_id", F.when(F.col("outcome") == "appended", F.col("condition_id"))).drop("__n", "__had", "__k", "__id", "__told")
+
+
+def label_verdicts(merged: DataFrame, molecules: DataFrame, order: str = "store_ord") -> DataFrame:
+    """molecule_key, decision, verdict: the latest decision of the merged events that have a place, against the owner's label, that
+    of the key's first row in store order: adopted (the owner has none), agreement or conflict (the owner's stays). A key whose
+    latest decision is 0 was withdrawn and has no verdict."""
+    own = molecules.groupBy("molecule_key").agg(F.min_by("label", order).alias("__own"))
+    last = merged.filter("outcome IN ('appended', 'duplicate')").groupBy("molecule_key").agg(F.max_by("label_value", "event_seq").alias("decision")).filter("decision <> 0")
+    verdict = F.when(F.col("__own") == 0, "adopted").when(F.col("__own") == F.col("decision"), "agreement").otherwise("conflict")
     return last.join(own, "molecule_key").select("molecule_key", "decision", verdict.alias("verdict"))
 
 
@@ -128,7 +144,7 @@ def canonical_condition(fields: dict[str, Column]) -> Column:
     for name, short in CONDITION_FIELDS:
         c = fields.get(name, F.lit(None))
         if name in ("ligand_concentration", "temperature_c", "laser_power"):
-            text = F.coalesce(c.cast("double").cast("string"), F.lit("null"))
+            text = F.coalesce(decimal_text(c, "NaN", "Infinity"), F.lit("null"))
         else:
             quoted = F.to_json(F.struct(F.coalesce(c.cast("string"), F.lit("")).alias("a")))
             text = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
@@ -145,15 +161,33 @@ def inconsistent_conditions(conditions: DataFrame) -> DataFrame:
     return conditions.filter(F.col("condition_id") != condition_id(canonical_condition({n: F.col(n) for n, _ in CONDITION_FIELDS if n in conditions.columns})))
 
 
+def condition_key(canonical: Column) -> Column:
+    """A struct of the fields of a condition from its canonical text; what is null there is null."""
+    numbers = ("ligand_concentration", "temperature_c", "laser_power")
+    got = F.from_json(canonical, ", ".join(f"{short} {'double' if name in numbers else 'string'}" for name, short in CONDITION_FIELDS))
+    return F.struct(*[got[short].alias(name) for name, short in CONDITION_FIELDS])
+
+
 def new_conditions(molecules: DataFrame, conditions: DataFrame) -> DataFrame:
-    """condition_id, source_filename: ids that no condition has yet, with the file of the first molecule in store order."""
-    lone = molecules.filter("condition_id IS NOT NULL").join(conditions.select("condition_id"), "condition_id", "left_anti")
-    return lone.groupBy("condition_id").agg(F.min_by("source_filename", "store_ord").alias("source_filename"))
+    """condition_id, source_filename and the fields of a condition: ids of molecules that no condition has yet, each with its first
+    faithful file in store order, whose name says the condition of that id. An id without one is unresolved: its file and fields
+    are null. Empty and null ids don't count."""
+    lone = molecules.filter("condition_id <> ''").join(conditions.select("condition_id"), "condition_id", "left_anti")
+    files = lone.groupBy("condition_id", "source_filename").agg(F.min("store_ord").alias("store_ord"))
+    parsed = parsed_names(files, "source_filename")
+    names = [n for n, _ in CONDITION_FIELDS]
+    fields = {n: F.col(n) if n in parsed.columns else F.lit(None).cast("double" if n in ("temperature_c", "laser_power") else "string") for n in names}
+    faithful = F.col("condition_id") == condition_id(canonical_condition(fields))
+    witness = F.struct("source_filename", *[c.alias(n) for n, c in fields.items()])
+    best = parsed.groupBy("condition_id").agg(F.min_by(F.when(faithful, witness), F.when(faithful, F.col("store_ord"))).alias("w"))
+    return best.select("condition_id", "w.*")
 
 
 def best_by_elbo(fits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """nstates, elbo of the fit with the largest bound; a missing one counts as minus infinity, ties go to fewer states."""
-    score = F.coalesce("elbo", F.lit(float("-inf")))
+    """nstates, elbo of the fit with the largest bound; one that is missing or not finite counts as minus infinity (and comes back
+    as it is), ties go to fewer states."""
+    fine = F.col("elbo").isNotNull() & ~F.isnan("elbo") & (F.abs("elbo") != float("inf"))
+    score = F.when(fine, F.col("elbo")).otherwise(float("-inf"))
     best = F.max_by(F.struct("nstates", "elbo"), F.struct(score, -F.col("nstates")))
     return fits.groupBy(*by).agg(best.alias("b")).select(*by, "b.nstates", "b.elbo")
 
@@ -180,19 +214,23 @@ def model_parity(paths: DataFrame, ref_means: Sequence[float], test_means: Seque
     return got.withColumn("passes", ok)
 
 
-def frozen_bounds(runs: DataFrame, margin: float = 0.5) -> DataFrame:
+def frozen_bounds(runs: DataFrame, margin: float = 0.5, percentile: float | None = None) -> DataFrame:
     """One row: for each measure the more permissive of the bound before and the worst of the ``runs``, widened by ``margin``; a
-    run with a missing or infinite value is the worst there is. Four digits."""
+    run with a missing or infinite value is the worst there is, and so are no runs at all (floors 0, ceilings infinite). Four
+    digits. With ``percentile`` (0 to 100) that percentile of the finite values follows, as <measure>_p; null without any."""
     out = []
     for name, bound in BOUNDS.items():
         c = F.col(name)
-        bad = F.max((c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))).cast("int")) == 1
+        fine = c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+        bad = (F.count(F.lit(1)) == 0) | (F.count_if(~fine) > 0)
         if name in FLOORS:
             worst = F.when(bad, 0.0).otherwise(F.min(c))
             out.append(F.round(F.least(F.lit(bound), F.greatest(F.lit(0.0), worst - margin * (1 - worst))), 4).alias(name))
         else:
-            worst = F.when(bad, float("inf")).otherwise(F.max(c))
-            out.append(F.round(F.greatest(F.lit(bound), worst * (1 + margin)), 4).alias(name))
+            worst = F.greatest(F.lit(bound), F.when(~bad, F.max(c)) * (1 + margin))
+            out.append(F.when(bad, float("inf")).otherwise(F.round(worst, 4)).alias(name))
+        if percentile is not None:
+            out.append(F.percentile(F.when(fine, c), percentile / 100).alias(f"{name}_p"))
     return runs.agg(*out)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbers import decimal_text
 from ..functions.scalar import ACCEPT, REJECT, UNCURATED, apparent_efficiency
 
 #: The columns of the molecule table.
@@ -54,9 +55,9 @@ def read_level_traces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def float_cell(x: Column) -> Column:
-    """A number as text, empty for null and what isn't finite; very small and large ones in the JVM's notation."""
+    """A number as the shortest text that reads back as the same double, empty for null and what isn't finite."""
     fine = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    return F.when(fine, x.cast("string")).otherwise("")
+    return F.when(fine, decimal_text(x)).otherwise("")
 
 
 def label_text(label: Column) -> Column:
@@ -64,12 +65,13 @@ def label_text(label: Column) -> Column:
 
 
 def efficiency_summary(molecules: DataFrame, frames: DataFrame, include_rejected: bool = True) -> DataFrame:
-    """Molecules with window_start, window_end (the analysis window w0, w1, or all n frames where it's empty) and
-    n_finite_frames, mean_apparent_e, median_apparent_e over it; null where no frame is defined. The median is exact and
-    taken within a molecule."""
+    """Molecules with window_start, window_end (the analysis window w0, w1; where it's empty the range frame_start, frame_end, or
+    all n frames without such columns) and n_finite_frames, mean_apparent_e, median_apparent_e over it; null where no frame is
+    defined. The median is exact and taken within a molecule."""
     m = molecules.filter(F.lit(include_rejected) | (F.col("label") != REJECT))
     unset = F.col("w1") <= F.col("w0")
-    m = m.withColumn("window_start", F.when(unset, 0).otherwise(F.col("w0"))).withColumn("window_end", F.when(unset, F.col("n")).otherwise(F.col("w1")))
+    start, end = (F.col("frame_start"), F.col("frame_end")) if {"frame_start", "frame_end"} <= set(m.columns) else (F.lit(0), F.col("n"))
+    m = m.withColumn("window_start", F.when(unset, start).otherwise(F.col("w0"))).withColumn("window_end", F.when(unset, end).otherwise(F.col("w1")))
     inside = frames.join(m.select("molecule_id", "window_start", "window_end"), "molecule_id").filter("frame >= window_start AND frame < window_end")
     e = apparent_efficiency(F.col("donor"), F.col("acceptor"))
     per = inside.select("molecule_id", F.when(~F.isnan(e), e).alias("e")).groupBy("molecule_id").agg(F.count("e").alias("n_finite_frames"), F.avg("e").alias("mean_apparent_e"), F.median("e").alias("median_apparent_e"))
