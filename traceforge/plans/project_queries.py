@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import state_of
-from ..operators import digests, population, select, stored
+from ..operators import digests, drift, population, select, stored
 from ..operators._tables import shared_dir
 from ..sources import project as store
 from . import proxy
@@ -121,3 +121,13 @@ def s7_stored_features(spark, sf):
 SELECT molecule_id::VARCHAR AS molecule_id, state, min(frame) AS start, count(*) AS length FROM c GROUP BY molecule_id, run, state HAVING state <> -1""")
 def w2_stored_runs(spark, sf):
     return population.runs(project(spark, sf).model("threshold")[1]).select("molecule_id", "state", F.col("start").cast("long").alias("start"), "length")
+
+
+@query(SINGLE + """, t AS (SELECT condition_id, molecule_id, avg(donor + acceptor) AS total_intensity, avg(e) AS fret_mean FROM e WHERE condition_id IN (1, 2) GROUP BY 1, 2),
+l AS (SELECT condition_id, 'total_intensity' AS feature, total_intensity AS x FROM t UNION ALL SELECT condition_id, 'fret_mean', fret_mean FROM t), sz AS (SELECT feature, count(x) FILTER (condition_id = 1) AS a, count(x) FILTER (condition_id = 2) AS z FROM l GROUP BY 1),
+g AS (SELECT l.feature, x, count(*) FILTER (condition_id = 1)::DOUBLE / any_value(a) AS u, count(*) FILTER (condition_id = 2)::DOUBLE / any_value(z) AS v FROM l JOIN sz ON sz.feature = l.feature WHERE x IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT feature, sum(u - v) OVER (PARTITION BY feature ORDER BY x) AS d FROM g) SELECT sz.feature, round(max(abs(d)), 9) AS statistic, any_value(a) AS n_source, any_value(z) AS n_target FROM c JOIN sz ON sz.feature = c.feature GROUP BY 1""")
+def j17_condition_drift(spark, sf):
+    p = project(spark, sf)
+    got = drift.between_conditions(p.features(), p.table("molecules"), p.feature_names(), "1", "2")
+    return rounded(got, "statistic").select("feature", "statistic", "n_source", "n_target")
