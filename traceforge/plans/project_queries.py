@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import state_of
-from ..operators import digests, drift, population, select, stored
+from ..operators import digests, drift, population, ranking, select, stored
 from ..operators._tables import shared_dir
 from ..sources import project as store
 from . import proxy
@@ -131,3 +131,39 @@ def j17_condition_drift(spark, sf):
     p = project(spark, sf)
     got = drift.between_conditions(p.features(), p.table("molecules"), p.feature_names(), "1", "2")
     return rounded(got, "statistic").select("feature", "statistic", "n_source", "n_target")
+
+
+def _training(spark, sf):
+    """Features of the molecules, and those with a label: people's on the rows, seeds' in a log of keys."""
+    p = project(spark, sf)
+    features = population.trace_features(select.with_efficiency(p.windowed()))
+    i = F.col("event_id")
+    source = F.when(i % 10 == 0, "model").when(i % 10 == 5, stored.SEED_SOURCES[0]).when(i % 10 == 3, stored.SEED_SOURCES[1]).otherwise("human")
+    log = proxy.table(spark, sf, "events").select(i.alias("event_seq"), F.concat(F.lit("k"), (F.col("user_id") % 97).cast("string")).alias("molecule_key"), source.alias("source"), (i % 3 - 1).cast("int").alias("label_value"))
+    return features, ranking.training_set(features, p.table("molecules"), log)
+
+
+@query(SINGLE + """, km AS (SELECT molecule_id, 'k' || (molecule_id % 97) AS key, condition_id AS c, label FROM m), hc AS (SELECT c, count(*) FILTER (label <> 0) AS n FROM km GROUP BY 1), kc AS (SELECT key, arg_max(c, molecule_id) AS c FROM km GROUP BY 1),
+sd AS (SELECT 'k' || (user_id % 97) AS key, arg_max(event_id % 3 - 1, event_id) AS v FROM events WHERE event_id % 10 IN (3, 5) GROUP BY 1)
+SELECT km.molecule_id::VARCHAR AS molecule_id, CASE WHEN label <> 0 THEN label = 1 ELSE v = 1 END AS good, round(CASE WHEN label <> 0 THEN 1.0 ELSE 0.3 / (1 + hc.n) END, 9)::DOUBLE AS weight
+FROM km JOIN kc ON kc.key = km.key JOIN hc ON hc.c = kc.c LEFT JOIN sd ON sd.key = km.key WHERE km.molecule_id IN (SELECT molecule_id FROM e) AND (label <> 0 OR (v IS NOT NULL AND v <> 0))""")
+def j7_training_weights(spark, sf):
+    return rounded(_training(spark, sf)[1].select("molecule_id", "good", "weight"), "weight")
+
+
+# trees have no SQL; tests hold them against a plain booster that looks at every row
+@query()
+def i9_learned_ranking(spark, sf):
+    features, training = _training(spark, sf)
+    return rounded(ranking.learned_ranking(features, training, ["n_frames", "total_intensity", "snr", "fret_mean", "fret_var", "anticorr_lag0"]), "score", digits=6)
+
+
+@query()
+def i10_prequential(spark, sf):
+    """Labelled rows in eight parts, each ranked by a model of the parts before it."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    share = lambda p: F.try_divide(F.regexp_count(text, F.lit(p)), F.length(text))
+    d = proxy.table(spark, sf, "documents").select("doc_id", F.length(text).cast("double").alias("length"), share(r"\s").alias("blank"), share(r"\d").alias("digits"), share(r"[A-Z]").alias("capitals"), share(r"[^\w\s]").alias("signs"))
+    i = F.col("doc_id")
+    rows = proxy.table(spark, sf, "labels").join(d, "doc_id").select(i.alias("id"), i.alias("store_ord"), (i % 8).alias("movie"), (i % 8).alias("movie_ord"), (F.col("quality") == 1).alias("good"), "length", "blank", "digits", "capitals", "signs")
+    return rounded(ranking.prequential(rows, ["length", "blank", "digits", "capitals", "signs"], 20), "precision", "baseline", "uplift")
