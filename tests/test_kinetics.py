@@ -113,3 +113,22 @@ def test_registered_fits_do_the_whole_job(spark, monkeypatch):
         with pytest.raises(LookupError):
             query(spark, "/root/testdata/sf0.001")
     assert seen["fit_hmm"]["iterations"] == 200 and seen["fit_hmm"]["tolerance"] == 1e-6 and seen["bootstrap_histogram"]["resamples"] == 1000
+
+
+def test_density_surface_against_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k % 7, int(t), float(e)) for k, (t, e) in enumerate(zip(rng.integers(0, 80, 500), rng.normal(0.5, 0.2, 500)))] + [(1, 3, float("nan")), (2, 90, 4.0), (3, 5, None)]
+    df = spark.createDataFrame(rows, "molecule_id long, t int, e double").repartition(3)
+    got = {(r.tb, r.bin): r.density for r in agreement.density_surface(df, 0.5, 12, 9).collect()}
+    own = np.array([(t * 0.5, e) for _, t, e in rows if e is not None and e == e and -0.25 <= e <= 1.25])
+    c = np.cov(own.T) * len(own) ** (-1 / 3)
+    top = max(t for _, t, e in rows if e is not None and e == e) * 0.5
+    at = np.array([((i + 0.5) * top / 12, -0.25 + (j + 0.5) * 1.5 / 9) for i in range(12) for j in range(9)])
+    d = at[:, None, :] - own[None]
+    want = np.exp(-0.5 * np.einsum("ijk,kl,ijl->ij", d, np.linalg.inv(c), d)).sum(1) / (len(own) * 2 * np.pi * np.sqrt(np.linalg.det(c)))
+    assert np.abs(np.array([got[i, j] for i in range(12) for j in range(9)]) - want).max() < 1e-12 * want.max()
+    assert tuple(agreement.cloud_totals(df, 0.5).first()) == (501, 1, 7)
+    for few in (df.filter("false"), df.limit(1), spark.createDataFrame([(1, t, 0.5) for t in range(9)], "molecule_id long, t int, e double"), spark.createDataFrame([(1, t, t / 10) for t in range(9)], "molecule_id long, t int, e double")):
+        assert agreement.density_surface(few, time_range=(0.0, 10.0)).count() == 0
+    with pytest.raises(ValueError):
+        agreement.density_surface(df, time_range=(1.0, 1.0))

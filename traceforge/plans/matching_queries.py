@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import drift, matching, registration, spatial
+from ..operators import drift, matching, registration, spatial, tracematch
 from ..sources import tables
 from . import proxy
 from .queries import _PTS, BASE, ORACLES, _points, query, rounded
@@ -149,3 +149,22 @@ def a31_feature_drift(spark, sf):
 @query()
 def a31_drift_report(spark, sf):
     return _drift(spark, sf)
+
+
+_BACK_AGAIN = BASE + """, rt AS (SELECT molecule_id + 1000 AS id, frame, donor + (frame % 2) * 5e-7::DOUBLE + CASE WHEN molecule_id % 15 = 0 AND frame = 2 THEN 1 ELSE 0 END AS donor, acceptor - (frame % 3) * 4e-7::DOUBLE AS acceptor FROM f WHERE molecule_id % 3 = 0),
+tt AS (SELECT least((SELECT max(frame) FROM rt), (SELECT max(frame) FROM f)) + 1 AS t), gr AS (SELECT unnest(range(t)) AS frame FROM tt),
+ra AS (SELECT id, g.frame, coalesce(any_value(donor), 0) AS d, coalesce(any_value(acceptor), 0) AS a FROM (SELECT DISTINCT id FROM rt) CROSS JOIN gr g LEFT JOIN rt USING (id, frame) GROUP BY 1, 2),
+sa AS (SELECT molecule_id, g.frame, coalesce(any_value(donor), 0) AS d, coalesce(any_value(acceptor), 0) AS a FROM (SELECT DISTINCT molecule_id FROM f) CROSS JOIN gr g LEFT JOIN f USING (molecule_id, frame) GROUP BY 1, 2),
+ls AS (SELECT molecule_id FROM f CROSS JOIN tt WHERE frame >= t AND (donor <> 0 OR acceptor <> 0) GROUP BY 1),
+pr AS (SELECT ra.id AS r, sa.molecule_id AS s FROM ra JOIN sa USING (frame) WHERE sa.molecule_id NOT IN (SELECT molecule_id FROM ls) GROUP BY 1, 2 HAVING bool_and(abs(ra.d - sa.d) <= 1e-6 AND abs(ra.a - sa.a) <= 1e-6))
+"""
+
+
+@query(_BACK_AGAIN + "SELECT i.id AS r, pr.s FROM (SELECT DISTINCT id FROM rt) i LEFT JOIN pr ON pr.r = i.id")
+def j12_returned_traces(spark, sf):
+    """Every third trace comes back a little off under another id, some of them with one frame changed."""
+    f = proxy.frames(spark, sf)
+    m, t = F.col("molecule_id"), F.col("frame")
+    changed = F.when((m % 15 == 0) & (t == 2), 1.0).otherwise(0.0)
+    back = f.filter("molecule_id % 3 = 0").select((m + 1000).alias("id"), "frame", (F.col("donor") + (t % 2) * 5e-7 + changed).alias("donor"), (F.col("acceptor") - (t % 3) * 4e-7).alias("acceptor"))
+    return tracematch.matched(back, f.withColumnRenamed("molecule_id", "id"))

@@ -272,6 +272,33 @@ def a15_cloud(spark, sf):
     return agreement.cloud(proxy.efficiencies(spark, sf))
 
 
+_SURFACE = BASE + """, pt AS (SELECT t * 0.2::DOUBLE AS t, e FROM e WHERE e IS NOT NULL), ti AS (SELECT max(t) AS t1 FROM pt), gi AS (SELECT t, e FROM pt WHERE e BETWEEN -0.25 AND 1.25),
+mo AS (SELECT count(*) AS n, var_samp(t) * pow(count(*), -1.0 / 3) AS tt, var_samp(e) * pow(count(*), -1.0 / 3) AS ee, covar_samp(t, e) * pow(count(*), -1.0 / 3) AS te FROM gi),
+ds AS (SELECT t, e, count(*) AS c FROM gi GROUP BY 1, 2), gr AS (SELECT a.i AS tb, b.j AS bin, (a.i + 0.5) * t1 / 60 AS gt, -0.25 + (b.j + 0.5) * (1.5 / 50) AS ge FROM range(60) a(i) CROSS JOIN range(50) b(j) CROSS JOIN ti),
+su AS (SELECT tb, bin, sum(c * exp(-0.5 * (ee * (gt - t) * (gt - t) - 2 * te * (gt - t) * (ge - e) + tt * (ge - e) * (ge - e)) / (tt * ee - te * te))) / any_value(n * 2 * pi() * sqrt(tt * ee - te * te)) AS density FROM gr CROSS JOIN ds CROSS JOIN mo GROUP BY 1, 2)
+"""
+
+
+def _surface(spark, sf):
+    return agreement.density_surface(proxy.efficiencies(spark, sf), dt=0.2, time_bins=60, bins=50)
+
+
+@query(_SURFACE + "SELECT tb::INTEGER AS tb, bin::INTEGER AS bin, round(density, 7) AS density FROM su")
+def a15_density_surface(spark, sf):
+    return rounded(_surface(spark, sf), "density", digits=7).drop("factor")
+
+
+@query(_SURFACE + """, dn AS (SELECT density, sum(density) OVER (ORDER BY density DESC) / sum(density) OVER () AS share FROM su)
+SELECT c.coverage::DOUBLE AS coverage, round(max(density), 7) AS level FROM dn CROSS JOIN (VALUES (0.5), (0.9)) c(coverage) WHERE share >= c.coverage - 1e-12 GROUP BY 1""")
+def a16_surface_levels(spark, sf):
+    return rounded(agreement.density_levels(_surface(spark, sf), "density", [0.5, 0.9]), "level", digits=7)
+
+
+@query(BASE + "SELECT count(*) AS n_samples, count(*) FILTER (e NOT BETWEEN 0.1 AND 0.9 OR t * 0.2::DOUBLE > 8) AS n_out_of_range, count(DISTINCT molecule_id) AS n_molecules FROM e WHERE e IS NOT NULL")
+def a15_cloud_totals(spark, sf):
+    return agreement.cloud_totals(proxy.efficiencies(spark, sf), 0.2, 0.1, 0.9, (0.0, 8.0))
+
+
 @query(_CELLS + """, g AS (SELECT n, sum(n) AS m FROM c GROUP BY 1), s AS (SELECT n, (sum(m) OVER (ORDER BY n DESC))::DOUBLE / (sum(m) OVER ()) AS share FROM g)
 SELECT k.coverage::DOUBLE AS coverage, max(n)::BIGINT AS level FROM s JOIN (VALUES (0.5), (0.95)) k(coverage) ON share >= k.coverage - 1e-12 GROUP BY 1""")
 def a16_density_levels(spark, sf):
