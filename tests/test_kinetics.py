@@ -132,3 +132,60 @@ def test_density_surface_against_all_pairs(spark):
         assert agreement.density_surface(few, time_range=(0.0, 10.0)).count() == 0
     with pytest.raises(ValueError):
         agreement.density_surface(df, time_range=(1.0, 1.0))
+
+
+def plain_expectations(x, start, trans, mean, var):
+    """By all paths of a short series."""
+    import itertools
+
+    k, n = len(mean), len(x)
+    b = np.exp(-((np.array(x)[:, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var)
+    total, occupation, moves, best = 0.0, np.zeros((n, k)), np.zeros((k, k)), (-1.0, None)
+    for path in itertools.product(range(k), repeat=n):
+        p = start[path[0]] * b[0, path[0]] * np.prod([trans[i, j] * b[t + 1, j] for t, (i, j) in enumerate(zip(path, path[1:]))])
+        total += p
+        best = max(best, (p, path), key=lambda z: z[0])
+        for t, s in enumerate(path):
+            occupation[t, s] += p
+        for i, j in zip(path, path[1:]):
+            moves[i, j] += p
+    g = occupation / total
+    return np.concatenate([g.sum(0), np.array(x) @ g, ((np.array(x)[:, None] - mean) ** 2 * g).sum(0), g[0], (moves / total).ravel(), [np.log(total)]]), best[1]
+
+
+def test_padded_series_against_all_paths(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    start, trans, mean, var = np.array([0.2, 0.5, 0.3]), np.array([[0.7, 0.2, 0.1], [0.3, 0.6, 0.1], [0.25, 0.25, 0.5]]), np.array([0.1, 0.5, 0.8]), np.array([0.02, 0.01, 0.03])
+    xs = [rng.normal(0.5, 0.3, n).tolist() for n in (1, 4, 2, 6, 6, 3, 1)]
+    want = [plain_expectations(x, start, trans, mean, var) for x in xs]
+    for together in (1, 12, 1 << 18):
+        monkeypatch.setattr(kinetics, "TOGETHER", together)
+        parts = list(kinetics.padded(xs))
+        assert sorted(np.concatenate([own for own, _, _ in parts]).tolist()) == list(range(7))
+        got = sum(kinetics.expectations(x, mask, start, trans, mean, var) for _, x, mask in parts)
+        assert np.allclose(got, sum(w for w, _ in want), rtol=1e-10)
+    v = spark.createDataFrame([(m, 10 + t, x) for m, s in enumerate(xs) for t, x in enumerate(s)], "molecule_id int, frame long, x double")
+    model = {"start": start.tolist(), "trans": trans.tolist(), "mean": mean.tolist(), "var": var.tolist()}
+    path = {}
+    for r in kinetics.viterbi(v, model).orderBy("molecule_id", "frame").collect():
+        path.setdefault(r.molecule_id, []).append(r.state)
+    assert path == {m: list(w[1]) for m, w in enumerate(want)}
+
+
+def test_level_curve_against_plain_rounds(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.05, 80) for c in (0.1, 0.45, 0.9)])
+    got = {r.k: r.rmse for r in kinetics.level_curve(spark.createDataFrame([(float(v),) for v in x], "x double"), 5).collect()}
+    s = np.sort(x)
+    for k in range(1, 6):
+        c = np.unique(s[np.ceil(np.array([(i + 0.5) / k for i in range(k)]) * len(s)).astype(int) - 1])
+        while True:
+            at = np.abs(s[:, None] - c).argmin(1)
+            new = np.array([s[at == i].mean() for i in range(len(c)) if (at == i).any()])
+            if len(new) == len(c) and np.allclose(new, c, rtol=0, atol=1e-12):
+                break
+            c = new
+        assert got[k] == pytest.approx(np.sqrt(((s - c[at]) ** 2).mean()), rel=1e-3)
+    few = [(0.5,), (0.5,), (2.0,), (None,)]
+    assert [r.k for r in kinetics.level_curve(spark.createDataFrame(few, "x double")).collect()] == [1, 2]
+    assert [(r.k, r.rmse) for r in kinetics.level_curve(spark.createDataFrame(few[:2], "x double")).collect()] == [(1, 0.0)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -119,39 +119,63 @@ def series(values: DataFrame) -> DataFrame:
     return s.select("molecule_id", F.col("s.frame").alias("frames"), F.col("s.x").alias("xs"))
 
 
+#: Values (frames of all series, padded) that are worked on at once.
+TOGETHER = 1 << 18
+
+
+def padded(xs: Sequence[Sequence[float]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The series, alike in length, as (places in ``xs``, values, mask) of arrays of at most TOGETHER values (a longer one alone)."""
+    lengths = np.array([len(x) for x in xs])
+    order = np.argsort(lengths, kind="stable")
+    i = 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and (j + 1 - i) * lengths[order[j]] <= TOGETHER:
+            j += 1
+        own = order[i:j]
+        out, mask = np.zeros((len(own), lengths[own[-1]])), np.zeros((len(own), lengths[own[-1]]), bool)
+        for k, at in enumerate(own):
+            out[k, : lengths[at]], mask[k, : lengths[at]] = xs[at], True
+        yield own, out, mask
+        i = j
+
+
 def emissions(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
-    return np.maximum(np.exp(-((x[:, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * math.pi * var), 1e-300)
+    return np.maximum(np.exp(-((x[..., None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * math.pi * var), 1e-300)
 
 
-def expectations(x: np.ndarray, start: np.ndarray, trans: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
-    """Occupation, value, squared deviation from the current mean and first frame of each state, transitions, likelihood."""
+def expectations(x: np.ndarray, mask: np.ndarray, start: np.ndarray, trans: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """Occupation, value, squared deviation from the current mean and first frame of each state, transitions, likelihood, summed over
+    the series that are the rows of ``x``; all series take a step at once."""
     b = emissions(x, mean, var)
-    n, k = b.shape
-    f, scale, back = np.empty((n, k)), np.empty(n), np.ones((n, k))
-    f[0] = start * b[0]
+    rows, n, k = b.shape
+    f, scale, back = np.empty_like(b), np.ones((rows, n)), np.ones_like(b)
     for t in range(n):
-        if t:
-            f[t] = (f[t - 1] @ trans) * b[t]
-        scale[t] = max(f[t].sum(), 1e-300)
-        f[t] /= scale[t]
+        now = (f[:, t - 1] @ trans if t else start) * b[:, t]
+        live = mask[:, t]
+        scale[live, t] = np.maximum(now[live].sum(1), 1e-300)
+        f[:, t] = np.where(live[:, None], now / scale[:, t, None], f[:, t - 1] if t else 0)
+    seen = b / scale[..., None]
     for t in range(n - 2, -1, -1):
-        back[t] = trans @ (b[t + 1] * back[t + 1]) / scale[t + 1]
+        back[:, t] = np.where(mask[:, t + 1, None], (seen[:, t + 1] * back[:, t + 1]) @ trans.T, 1.0)
     g = f * back
-    g /= g.sum(1, keepdims=True)
-    moves = trans * (f[:-1].T @ (b[1:] * back[1:] / scale[1:, None]))
-    return np.concatenate([g.sum(0), x @ g, ((x[:, None] - mean) ** 2 * g).sum(0), g[0], moves.ravel(), [np.log(scale).sum()]])
+    g *= (mask / g.sum(2))[..., None]
+    moves = trans * (f[:, :-1].reshape(-1, k).T @ (seen[:, 1:] * back[:, 1:] * mask[:, 1:, None]).reshape(-1, k))
+    flat, value = g.reshape(-1, k), x.reshape(-1)
+    return np.concatenate([flat.sum(0), value @ flat, ((value[:, None] - mean) ** 2 * flat).sum(0), g[:, 0].sum(0), moves.ravel(), [np.log(scale).sum()]])
 
 
 def fit_hmm(values: DataFrame, states: int = 2, iterations: int = 200, tolerance: float = 1e-6, floor: float = 1e-6) -> dict[str, list]:
     """One Gaussian model for all molecules of ``values`` (molecule_id, frame, x): start, trans, mean, var by rising mean.
 
-    Series are gathered once; each round sums statistics of fixed size, whatever the number of molecules."""
+    Series are gathered once; each round sums statistics of fixed size, whatever the number of molecules. Means start from
+    (approximate) quantiles."""
     if states < 1:
         raise ValueError("states must be positive")
     rows = series(values).persist()
     try:
         flat = rows.select(F.explode("xs").alias("x"))
-        first = flat.agg(F.percentile("x", [(k + 0.5) / states for k in range(states)]).alias("q"), F.stddev_pop("x").alias("s")).first()
+        first = flat.agg(F.percentile_approx("x", [(k + 0.5) / states for k in range(states)], 10_000).alias("q"), F.stddev_pop("x").alias("s")).first()
         if first["q"] is None:
             raise ValueError("no finite value")
         mean = np.array(first["q"], float)
@@ -166,7 +190,7 @@ def fit_hmm(values: DataFrame, states: int = 2, iterations: int = 200, tolerance
             now = (start, trans, mean, var)
 
             def step(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-                total = sum((expectations(np.asarray(x, float), *now) for d in batches for x in d["xs"]), 0)
+                total = sum((expectations(x, mask, *now) for d in batches for _, x, mask in padded(d["xs"])), 0)
                 if not np.isscalar(total):
                     yield pd.DataFrame({"k": range(len(total)), "v": total})
 
@@ -195,22 +219,29 @@ def viterbi(values: DataFrame, model: dict[str, list]) -> DataFrame:
     rows = series(values)
     kind = rows.schema["molecule_id"].dataType.simpleString()
 
-    def path(x: np.ndarray) -> list[int]:
+    def paths(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore"):
             ls, lt, lb = np.log(start), np.log(trans), np.log(emissions(x, mean, var))
-        score, came = ls + lb[0], np.zeros((len(x), len(mean)), int)
-        for t in range(1, len(x)):
-            each = score[:, None] + lt
-            came[t] = each.argmax(0)
-            score = each.max(0) + lb[t]
-        out = [int(score.argmax())]
-        for t in range(len(x) - 1, 0, -1):
-            out.append(int(came[t, out[-1]]))
-        return out[::-1]
+        score, came = ls + lb[:, 0], np.tile(np.arange(len(mean)), (*x.shape, 1))
+        for t in range(1, x.shape[1]):
+            each = score[:, :, None] + lt
+            live = mask[:, t, None]
+            came[:, t] = np.where(live, each.argmax(1), came[:, t])
+            score = np.where(live, each.max(1) + lb[:, t], score)
+        out = np.empty(x.shape, int)
+        out[:, -1] = score.argmax(1)
+        for t in range(x.shape[1] - 1, 0, -1):
+            out[:, t - 1] = came[np.arange(len(x)), t, out[:, t]]
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            yield pd.DataFrame({"molecule_id": d.molecule_id, "frames": d["frames"], "states": [path(np.asarray(x, float)) for x in d["xs"]]})
+            states: list = [None] * len(d)
+            for own, x, mask in padded(d["xs"]):
+                got = paths(x, mask)
+                for k, at in enumerate(own):
+                    states[at] = got[k, mask[k]]
+            yield pd.DataFrame({"molecule_id": d.molecule_id, "frames": d["frames"], "states": states})
 
     told = rows.mapInPandas(run, f"molecule_id {kind}, frames array<long>, states array<int>")
     return told.select("molecule_id", F.explode(F.arrays_zip("frames", "states")).alias("z")).select("molecule_id", F.col("z.frames").alias("frame"), F.col("z.states").alias("state"))
@@ -233,39 +264,37 @@ def elbow(ks: list[int], rmse: list[float]) -> int | None:
     return ks[1 + int(away[1:-1].argmax())]
 
 
-def level_curve(values: DataFrame, most: int = 8, rounds: int = 60) -> DataFrame:
-    """k, rmse, is_elbow of one-dimensional k-means for k up to ``most`` (or the number of distinct values).
-
-    Starts from quantiles; every round is one scan that serves all k, with at most most * (most + 1) / 2 rows of sums from a
-    task."""
-    v = values.filter("x IS NOT NULL AND NOT isnan(x)").select(F.col("x").cast("double").alias("x")).persist()
-    try:
-        # distinct values are counted no further than matters
-        most = min(most, len(v.select("x").distinct().limit(most).collect()))
-        if not most:
-            return values.sparkSession.createDataFrame([], "k int, rmse double, is_elbow boolean")
-        centres = {}
-        for k in range(1, most + 1):
-            q = v.agg(F.percentile("x", [(i + 0.5) / k for i in range(k)]).alias("q")).first()["q"]
-            centres[k] = sorted(set(q))
-        for _ in range(rounds):
-
-            def step(batches: Iterator[pd.DataFrame], centres=centres) -> Iterator[pd.DataFrame]:
-                held = {k: np.zeros((3, len(c))) for k, c in centres.items()}
-                for d in batches:
-                    x = d["x"].to_numpy()
-                    for k, c in centres.items():
-                        at = np.searchsorted([(p + q) / 2 for p, q in zip(c, c[1:])], x)
-                        held[k] += [np.bincount(at, w, len(c)) for w in (None, x, (x - np.array(c)[at]) ** 2)]
-                yield pd.DataFrame([(k, i, *row) for k, h in held.items() for i, row in enumerate(h.T)], columns=["k", "c", "n", "s", "sq"])
-
-            got = v.mapInPandas(step, "k int, c int, n double, s double, sq double").groupBy("k", "c").agg(F.sum("n").alias("n"), (F.sum("s") / F.when(F.sum("n") > 0, F.sum("n"))).alias("mean"), F.sum("sq").alias("sq")).filter("n > 0").collect()
-            new = {k: sorted(r["mean"] for r in got if r["k"] == k) for k in centres}
-            error = {k: math.sqrt(sum(r["sq"] for r in got if r["k"] == k) / sum(r["n"] for r in got if r["k"] == k)) for k in centres}
-            if all(len(new[k]) == len(centres[k]) and np.allclose(new[k], centres[k], rtol=0, atol=1e-9) for k in centres):
+#: Cells of equal width into which values are counted for the level curve.
+CELLS = 1 << 16
+
+
+def level_curve(values: DataFrame, most: int = 8) -> DataFrame:
+    """k, rmse, is_elbow of one-dimensional k-means for k up to ``most`` (or the number of distinct values), from quantiles, until
+    nothing moves.
+
+    Values are counted once, with their sums and squares, in CELLS cells of equal width between the least and the largest; all
+    rounds go over that bounded table. A cell goes to the centre nearest to its mean, so the curve is exact where every cell
+    has one value, and else a boundary may be off by a cell."""
+    v = values.filter("x IS NOT NULL AND NOT isnan(x)").select(F.col("x").cast("double").alias("x"))
+    ends = v.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if ends["lo"] is None:
+        return values.sparkSession.createDataFrame([], "k int, rmse double, is_elbow boolean")
+    width = (ends["hi"] - ends["lo"]) / CELLS or 1.0
+    cell = F.least(F.lit(CELLS - 1), F.floor((F.col("x") - ends["lo"]) / width))
+    got = v.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.coalesce(F.var_pop("x") * F.count("*"), F.lit(0.0)).alias("sq"), F.max("x").alias("top"), F.min("x").alias("low")).toPandas().sort_values("c")
+    n, m, own = got["n"].to_numpy(float), got["m"].to_numpy(), got["sq"].to_numpy().sum()
+    whole = (got["top"] == got["low"]).to_numpy()
+    upto = np.cumsum(n)
+    error = {}
+    for k in range(1, min(most, len(m) + int((~whole).sum())) + 1):
+        c = np.unique(m[np.searchsorted(upto, np.array([(i + 0.5) / k for i in range(k)]) * upto[-1])])
+        while True:
+            at = np.searchsorted((c[:-1] + c[1:]) / 2, m)
+            size = np.bincount(at, n, len(c))
+            new = np.bincount(at, n * m, len(c))[size > 0] / size[size > 0]
+            if len(new) == len(c) and np.allclose(new, c, rtol=0, atol=1e-12 * (abs(ends["lo"]) + abs(ends["hi"]) + width)):
                 break
-            centres = new
-    finally:
-        v.unpersist()
+            c = new
+        error[k] = math.sqrt((own + (n * (m - c[at]) ** 2).sum()) / upto[-1])
     best = elbow(list(error), list(error.values()))
     return values.sparkSession.createDataFrame([(k, e, k == best) for k, e in error.items()], "k int, rmse double, is_elbow boolean")
