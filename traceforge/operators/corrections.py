@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,39 +12,78 @@ def by_frame():
     return W.partitionBy("molecule_id").orderBy("frame")
 
 
-def photobleach(trace: DataFrame, value: str = "value", a: float = 1.0, b: float = 1.0, beta: float = 1.0, mu: float = 1000.0) -> DataFrame:
-    """molecule_id, bleach: the most likely single change from a signal to zero, the trace's length if there is none.
+def lgamma(x: Column) -> Column:
+    """Logarithm of the gamma function of positive numbers: Stirling's series eight steps up, good to some 1e-15 of its size."""
+    z = x + 8
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - 1 / (1680 * F.pow(z, F.lit(7.0)))
+    down = x
+    for i in range(1, 8):
+        down = down * (x + i)
+    return series - F.log(down)
+
 
-    Normal-inverse-gamma evidence of every split by running sums. lgamma, which SQL lacks, comes from a table of a
-    trace's length, which ends with the longest trace: too long for any doubt (over a million frames) it is refused."""
+def change_scores(trace: DataFrame, value: str = "value", a: float = 1.0, b: float = 1.0, beta: float = 1.0, mu: float = 1000.0) -> DataFrame:
+    """molecule_id, n, t, score: the log evidence of a change from a signal to zero behind t of a trace's n frames, by running sums
+    (normal-inverse-gamma prior). At t = n - 1 stands the whole trace as signal, at t = 0 none of it; NaN scores are minus infinity."""
     m = W.partitionBy("molecule_id")
     x = trace.select("molecule_id", "frame", F.col(value).cast("double").alias("x")).withColumn("i", F.row_number().over(by_frame())).withColumn("n", F.count("*").over(m))
-    top = x.agg(F.max("n")).first()[0] or 0
-    if top > 1_000_000:
-        raise ValueError("a trace has over a million frames")
-    gammas = trace.sparkSession.createDataFrame([(k, math.lgamma(a + k / 2)) for k in range(top + 1)], "k int, g double")
     s, q = F.sum("x").over(by_frame()), F.sum(F.col("x") * F.col("x")).over(by_frame())
     x = x.withColumn("s", s).withColumn("q", q).withColumn("all", F.sum(F.col("x") * F.col("x")).over(m))
-    # t frames of signal, n - t of background; at t = n - 1 stands the whole trace as signal, at t = 0 none of it
-    i = F.col("i")
-    own = x.select("molecule_id", "n", (i - 1).alias("t"), F.when(i == F.col("n"), i).otherwise(i - 1).alias("k0"), "i", "x", "s", "q", "all")
+    own = x.select("molecule_id", "n", (F.col("i") - 1).alias("t"), "s", "q", "all")
     own = own.withColumn("ps", F.lag("s").over(m.orderBy("t"))).withColumn("pq", F.lag("q").over(m.orderBy("t")))
     last = F.col("t") == F.col("n") - 1
     k = F.when(last, F.col("n")).otherwise(F.col("t"))
     ks, kq = F.when(last, F.col("s")).otherwise(F.coalesce("ps", F.lit(0.0))), F.when(last, F.col("q")).otherwise(F.coalesce("pq", F.lit(0.0)))
-    own = own.select("molecule_id", "n", "t", k.cast("int").alias("k"), (F.col("n") - k).cast("int").alias("r"), ks.alias("ks"), kq.alias("kq"), F.greatest(F.col("all") - kq, F.lit(0.0)).alias("rq"))
-    own = own.join(F.broadcast(gammas), "k").withColumnRenamed("g", "gk").join(F.broadcast(gammas.withColumnsRenamed({"k": "r", "g": "gr"})), "r")
+    own = own.select("molecule_id", "n", "t", k.cast("double").alias("k"), (F.col("n") - k).cast("double").alias("r"), ks.alias("ks"), kq.alias("kq"), F.greatest(F.col("all") - kq, F.lit(0.0)).alias("rq"))
     c0, two_pi = -math.lgamma(a) + a * math.log(b), math.log(2 * math.pi)
-    kd, rd = F.col("k").cast("double"), F.col("r").cast("double")
+    kd, rd = F.col("k"), F.col("r")
     mean = F.col("ks") / F.when(kd > 0, kd)
     spread = F.greatest(F.col("kq") - F.col("ks") * mean, F.lit(0.0))
-    signal = F.col("gk") + c0 - (a + kd / 2) * F.log(b + spread / 2 + beta * kd * F.pow(mean - mu, F.lit(2.0)) / (2 * (beta + kd))) + 0.5 * math.log(beta) - 0.5 * F.log(beta + kd) - kd / 2 * two_pi
-    dark = F.col("gr") + c0 - (a + rd / 2) * F.log(b + F.col("rq") / 2) - rd / 2 * two_pi
+    signal = lgamma(a + kd / 2) + c0 - (a + kd / 2) * F.log(b + spread / 2 + beta * kd * F.pow(mean - mu, F.lit(2.0)) / (2 * (beta + kd))) + 0.5 * math.log(beta) - 0.5 * F.log(beta + kd) - kd / 2 * two_pi
+    dark = lgamma(a + rd / 2) + c0 - (a + rd / 2) * F.log(b + F.col("rq") / 2) - rd / 2 * two_pi
     score = F.when(kd > 0, signal).otherwise(0.0) + F.when(rd > 0, dark).otherwise(0.0)
-    best = own.withColumn("score", score).groupBy("molecule_id", "n").agg(F.max_by(F.col("t"), F.struct("score", -F.col("t"))).alias("t"))
+    return own.select("molecule_id", "n", "t", F.when(F.isnan(score) | score.isNull(), float("-inf")).otherwise(score).alias("score"))
+
+
+def _best(scores: DataFrame, score: Column) -> DataFrame:
+    best = scores.groupBy("molecule_id", "n").agg(F.max_by(F.col("t"), F.struct(score, -F.col("t"))).alias("t"))
     return best.select("molecule_id", F.when((F.col("n") < 2) | (F.col("t") == F.col("n") - 1), F.col("n")).otherwise(F.col("t")).cast("int").alias("bleach"))
 
 
+def photobleach(trace: DataFrame, value: str = "value", a: float = 1.0, b: float = 1.0, beta: float = 1.0, mu: float = 1000.0) -> DataFrame:
+    """molecule_id, bleach: the most likely single change from a signal to zero, the trace's length if there is none."""
+    return _best(change_scores(trace, value, a, b, beta, mu), F.col("score"))
+
+
+def ensemble_photobleach(trace: DataFrame, value: str = "value", a: float = 1.0, b: float = 1.0, beta: float = 1.0, mu: float = 1000.0) -> DataFrame:
+    """molecule_id, bleach, rate: as photobleach, with a lifetime that all traces share: the posterior mean of each trace's change,
+    cut to a whole frame, gives one exponential rate, under which the likeliest change is taken again."""
+    scores = change_scores(trace, value, a, b, beta, mu)
+    top = scores.withColumn("top", F.max("score").over(W.partitionBy("molecule_id")))
+    w = F.exp(F.col("score") - F.col("top"))
+    first = top.groupBy("molecule_id").agg((F.sum(w * F.col("t")) / F.sum(w)).cast("long").alias("first"))
+    rate = first.agg(((1.0 + F.count("*")) / (1.0 + F.sum("first"))).alias("rate"))
+    r = rate.first()["rate"]
+    if r is None:
+        return _best(scores, F.col("score")).withColumn("rate", F.lit(None).cast("double"))
+    return _best(scores, F.col("score") + math.log(r) - r * F.col("t")).withColumn("rate", F.lit(r))
+
+
+def bleached_molecules(frames: DataFrame, molecules: DataFrame, **prior: float) -> DataFrame:
+    """``molecules`` (molecule_id, frame_start, frame_end, w0, w1, ...) with donor_bleach and acceptor_bleach, absolute frames of the change
+    within their own range, and with a window up to the change of the sum where it's still the whole range. A sum that is dark from
+    the first frame leaves the window, and molecules without frames keep -1."""
+    own = molecules.select("molecule_id", "frame_start", "frame_end")
+    inside = frames.join(own, "molecule_id").filter("frame >= frame_start AND frame < frame_end")
+    of = lambda c, name: photobleach(inside.select("molecule_id", "frame", c.alias("value")), **prior).withColumnRenamed("bleach", name)
+    got = of(F.col("donor"), "__d").join(of(F.col("acceptor"), "__a"), "molecule_id").join(of(F.col("donor") + F.col("acceptor"), "__s"), "molecule_id")
+    rows = molecules.drop("donor_bleach", "acceptor_bleach").join(got, "molecule_id", "left")
+    at = lambda n: F.coalesce(F.col("frame_start") + F.col(n), F.lit(-1)).cast("int")
+    whole = (F.col("w0") == F.col("frame_start")) & (F.col("w1") == F.col("frame_end")) & (F.col("__s") > 0)
+    rows = rows.withColumn("donor_bleach", at("__d")).withColumn("acceptor_bleach", at("__a"))
+    return rows.withColumn("w1", F.when(whole, F.col("frame_start") + F.col("__s")).otherwise(F.col("w1")).cast("int")).drop("__d", "__a", "__s")
+
+
 def leakage(frames: DataFrame, bleach: DataFrame, min_frames: int = 20, ceiling: float = 0.3) -> DataFrame:
     """molecule_id, alpha, reason: mean acceptor over mean donor in the donor-only tail [acceptor_bleach, donor_bleach)."""
     x = frames.join(bleach, "molecule_id")
@@ -73,6 +112,42 @@ def gamma(frames: DataFrame, bleach: DataFrame, alpha: float, half: int = 3, min
     return g.select("molecule_id", F.when(ok, ratio).alias("gamma"))
 
 
+def effective_gamma(own: DataFrame, least: int = 10) -> DataFrame:
+    """molecule_id, gamma: a molecule's own, else the dataset's median (null below ``least`` own values)."""
+    return own.crossJoin(F.broadcast(dataset_factor(own, "gamma", least))).select("molecule_id", F.coalesce("gamma", "factor").alias("gamma"))
+
+
+#: The methods a molecule can have.
+CORRECTED, MANUAL, UNAVAILABLE, TOGGLE = "corrected", "manual", "apparent-E (corrections unavailable)", "apparent-E (user toggle)"
+
+
+def chosen_methods(molecules: DataFrame, apparent_only: bool = False, alpha: float | None = None, gamma: float | None = None) -> DataFrame:
+    """molecule_id, method, confidence, alpha, gamma of ``molecules`` (molecule_id, alpha, gamma).
+
+    The toggle wins, then factors that can't be applied (leakage not finite, gamma not finite or not positive) make it apparent, then a
+    manual ``alpha`` or ``gamma`` stands in for the stored one, else it is corrected. Confidence is 1 where a correction is applied."""
+    if alpha is not None and not math.isfinite(alpha):
+        raise ValueError("alpha must be finite")
+    if gamma is not None and not (math.isfinite(gamma) and gamma > 0):
+        raise ValueError("gamma must be finite and positive")
+    a = F.lit(float(alpha)) if alpha is not None else F.col("alpha").cast("double")
+    g = F.lit(float(gamma)) if gamma is not None else F.col("gamma").cast("double")
+    fine = lambda c: F.coalesce(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
+    able = fine(a) & fine(g) & F.coalesce(g > 0, F.lit(False))
+    method = F.when(F.lit(apparent_only), TOGGLE).when(~able, UNAVAILABLE).when(F.lit(alpha is not None or gamma is not None), MANUAL).otherwise(CORRECTED)
+    got = molecules.select("molecule_id", method.alias("method"), F.col("alpha").alias("__a"), F.col("gamma").alias("__g"))
+    applied = F.col("method").isin(CORRECTED, MANUAL)
+    manual = F.col("method") == MANUAL
+    stored = lambda c, given: F.when(manual & F.lit(given is not None), F.lit(given)).otherwise(F.col(c)).cast("double")
+    return got.select("molecule_id", "method", applied.cast("double").alias("confidence"), stored("__a", alpha).alias("alpha"), stored("__g", gamma).alias("gamma"))
+
+
+def method_totals(chosen: DataFrame) -> DataFrame:
+    """One row: n_molecules, n_corrected, n_manual, n_apparent and total_failure (nothing is corrected, or there is no molecule)."""
+    n = lambda *names: F.count_if(F.col("method").isin(*names))
+    return chosen.agg(F.count("*").alias("n_molecules"), n(CORRECTED).alias("n_corrected"), n(MANUAL).alias("n_manual"), n(UNAVAILABLE, TOGGLE).alias("n_apparent"), (n(CORRECTED, MANUAL) == 0).alias("total_failure"))
+
+
 def methods(molecules: DataFrame, apparent_only: bool = False) -> DataFrame:
     """molecule_id, method: apparent if asked for or if a factor is missing or out of its range, else corrected."""
     ok = F.col("alpha").between(0, 0.3) & (F.col("gamma") > 0) & (F.col("gamma") <= 5)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,9 +38,44 @@ def histogram(e: DataFrame, bins: int = 151, low: float = -0.25, high: float = 1
     return dense.withColumn("density", F.when(total > 0, F.col("n") / (total * width)).otherwise(0.0))
 
 
-def time_heatmap(e: DataFrame, time_bins: int = 100, bins: int = 61, low: float = -0.2, high: float = 1.2) -> DataFrame:
-    """t, bin, n; the last bin is open at its end here."""
-    return e.filter(F.col("t") < time_bins).select("t", bin_index(F.col("e"), low, high, bins, closed=False).alias("bin")).filter("bin IS NOT NULL").groupBy("t", "bin").agg(F.count("*").alias("n"))
+def pooled_totals(e: DataFrame, low: float = -0.25, high: float = 1.25, by: list[str] | None = None) -> DataFrame:
+    """n_molecules with a finite value, n_samples (finite values) and n_in_range, by ``by`` if given."""
+    fine = e.filter(F.col("e").isNotNull() & ~F.isnan("e"))
+    return fine.groupBy(*(by or [])).agg(F.countDistinct("molecule_id").alias("n_molecules"), F.count("*").alias("n_samples"), F.count_if(F.col("e").between(low, high)).alias("n_in_range"))
+
+
+def condition_histograms(e: DataFrame, requested: Sequence, bins: int = 151, low: float = -0.25, high: float = 1.25, equal_weight: bool = False) -> DataFrame:
+    """ord, condition_id, bin, n, density, n_molecules: dense histograms on the same edges for the requested conditions, in that order;
+    those without a finite value are skipped, a repeated one counts once."""
+    kind = dict(e.dtypes)["condition_id"]
+    want = F.broadcast(e.sparkSession.createDataFrame([(c, i) for i, c in enumerate(dict.fromkeys(requested))], f"condition_id {kind}, ord int"))
+    own = e.filter(F.col("condition_id").isin(list(requested))).filter(F.col("e").isNotNull() & ~F.isnan("e"))
+    met = own.groupBy("condition_id").agg(F.countDistinct("molecule_id").alias("n_molecules")).join(want, "condition_id")
+    grid = met.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    got = histogram(own, bins, low, high, equal_weight, ["condition_id"])
+    return grid.join(got, ["condition_id", "bin"], "left").fillna(0.0, ["n", "density"]).select("ord", "condition_id", "bin", "n", "density", "n_molecules")
+
+
+def _weighted(rows: DataFrame, equal_weight: bool) -> DataFrame:
+    """Finite rows with w: 1, or 1 / finite frames of the molecule."""
+    fine = rows.filter(F.col("e").isNotNull() & ~F.isnan("e"))
+    return fine.withColumn("w", 1 / F.count("*").over(W.partitionBy("molecule_id")) if equal_weight else F.lit(1.0))
+
+
+def _surface(cells: DataFrame, keys: tuple[str, str], area: float, density: bool) -> DataFrame:
+    if not density:
+        return cells
+    return cells.crossJoin(F.broadcast(cells.agg(F.sum("n").alias("__t")))).select(*keys, (F.col("n") / (F.col("__t") * area)).alias("n"))
+
+
+def time_heatmap(e: DataFrame, time_bins: int = 100, bins: int = 61, low: float = -0.2, high: float = 1.2, equal_weight: bool = False, density: bool = False, dt: float = 1.0) -> DataFrame:
+    """t, bin, n; the last bin is open at its end here. With ``equal_weight`` a frame weighs 1 / finite frames of its molecule, with
+    ``density`` n is a density over time (frames of ``dt``) and value; only cells that were met."""
+    if time_bins < 1 or bins < 1 or not high > low or not 0 < dt < float("inf"):
+        raise ValueError("bins and dt must be positive and the range ascending")
+    rows = _weighted(e, equal_weight).filter(F.col("t") < time_bins).select("t", bin_index(F.col("e"), low, high, bins, closed=False).alias("bin"), "w").filter("bin IS NOT NULL")
+    n = F.sum("w") if equal_weight or density else F.count("*")
+    return _surface(rows.groupBy("t", "bin").agg(n.alias("n")), ("t", "bin"), dt * (high - low) / bins, density)
 
 
 def jumps(paths: DataFrame) -> DataFrame:
@@ -46,16 +84,30 @@ def jumps(paths: DataFrame) -> DataFrame:
     return j.select("molecule_id", F.col("frame").alias("at"), "from_state", F.col("state").alias("to_state"), F.lag("frame").over(by_frame()).alias("prev"), F.lead("frame").over(by_frame()).alias("next"))
 
 
-def transition_sync(paths: DataFrame, before: int = 50, time_bins: int = 100, bins: int = 61, low: float = -0.2, high: float = 1.2) -> DataFrame:
-    """dt, bin, n: frames around every jump, aligned at the last frame before it, from the start of the dwell before to
-    (not including) the last frame of the dwell after; -before <= dt <= time_bins - before."""
+def transition_sync(
+    paths: DataFrame, before: int = 50, time_bins: int = 100, bins: int = 61, low: float = -0.2, high: float = 1.2, from_state: int | None = None, to_state: int | None = None, single_dwell: bool = True, density: bool = False, dt: float = 1.0,
+) -> DataFrame:
+    """dt, bin, n: frames around every jump, aligned at the last frame before it; -before <= dt <= time_bins - before.
+
+    Only jumps from ``from_state`` and to ``to_state``, if given. With ``single_dwell`` from the start of the dwell before to (not
+    including) the last frame of the dwell after, as all jumps, chosen or not, bound them; else all frames of the window, which
+    may count for several jumps. With ``density`` n is a density over time (frames of ``dt``) and value."""
+    if not 0 <= before <= time_bins or time_bins < 1 or bins < 1 or not high > low or not 0 < dt < float("inf"):
+        raise ValueError("bins and dt must be positive, the range ascending, and the jump inside the columns")
     length = paths.groupBy("molecule_id").agg(F.count("*").alias("len"))
     span = jumps(paths.withColumn("frame", F.col("t"))).join(length, "molecule_id").withColumn("sync", F.col("at") - 1)
-    a = F.greatest(F.coalesce("prev", F.lit(0)), F.col("sync") - before)
-    b = F.least(F.coalesce(F.col("next") - 1, F.col("len") - 1) - 1, F.col("sync") + time_bins - before)
+    for name, given in (("from_state", from_state), ("to_state", to_state)):
+        if given is not None:
+            span = span.filter(F.col(name) == given)
+    a, b = F.col("sync") - before, F.col("sync") + time_bins - before
+    if single_dwell:
+        a, b = F.greatest(F.coalesce("prev", F.lit(0)), a), F.least(F.coalesce(F.col("next") - 1, F.col("len") - 1) - 1, b)
+    else:
+        a, b = F.greatest(F.lit(0), a), F.least(F.col("len") - 1, b)
     each = span.withColumn("a", a.cast("long")).withColumn("b", b.cast("long")).filter("a <= b").withColumn("t", F.explode(F.sequence("a", "b")))
     got = each.select("molecule_id", "sync", "t").join(paths.select("molecule_id", F.col("t").cast("long").alias("t"), "e"), ["molecule_id", "t"])
-    return got.select((F.col("t") - F.col("sync")).alias("dt"), bin_index(F.col("e"), low, high, bins, closed=False).alias("bin")).filter("bin IS NOT NULL").groupBy("dt", "bin").agg(F.count("*").alias("n"))
+    cells = got.select((F.col("t") - F.col("sync")).alias("dt"), bin_index(F.col("e"), low, high, bins, closed=False).alias("bin")).filter("bin IS NOT NULL").groupBy("dt", "bin").agg(F.count("*").alias("n"))
+    return _surface(cells, ("dt", "bin"), dt * (high - low) / bins, density)
 
 
 def transition_density(paths: DataFrame, nskip: int = 2) -> DataFrame:
@@ -74,6 +126,37 @@ def transition_probability(paths: DataFrame, init: int, final: int) -> DataFrame
     return p.groupBy("molecule_id").agg(F.when(den > 0, F.sum((out & (F.col("b") == final)).cast("int")) / den).alias("p"))
 
 
+def probability_density(paths: DataFrame, init: int, final: int, states: int, bins: int = 25, low: float = -0.05, high: float = 1.05) -> DataFrame:
+    """bin, n, density of the molecules' transition probabilities, all bins. ValueError for states that the model hasn't."""
+    if not (0 <= init < states and 0 <= final < states):
+        raise ValueError(f"states must lie from 0 to {states - 1}")
+    p = transition_probability(paths, init, final).filter("p IS NOT NULL")
+    got = p.select(bin_index(F.col("p"), low, high, bins).alias("bin")).filter("bin IS NOT NULL").groupBy("bin").agg(F.count("*").cast("double").alias("n"))
+    dense = filled(got, "bin", bins)
+    total = F.sum("n").over(W.partitionBy(F.lit(0)))  # as many rows as bins
+    return dense.withColumn("density", F.when(total > 0, F.col("n") / (total * ((high - low) / bins))).otherwise(0.0))
+
+
+def dwell_summary(d: DataFrame, means: Sequence[float], dt: float = 1.0) -> DataFrame:
+    """state, level (its mean), n_dwells, mean_dwell (in units of ``dt``) of every state with a dwell."""
+    level = F.element_at(F.array(*map(F.lit, means)), F.col("state").cast("int") + 1)
+    return d.groupBy("state").agg(F.count("*").alias("n_dwells"), (F.avg("length") * dt).alias("mean_dwell")).select("state", level.alias("level"), "n_dwells", "mean_dwell")
+
+
+def dwell_histogram(d: DataFrame, bins: int = 51, dt: float = 1.0) -> DataFrame:
+    """state, bin, left, n, density of each state's dwells from its shortest to its longest, all bins; a state whose dwells are all alike
+    has half a unit of room on both sides."""
+    x = F.col("length") * dt
+    by = d.groupBy("state", "length").agg(F.count("*").alias("n"))
+    ends = by.groupBy("state").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum("n").alias("total"))
+    ends = ends.select("state", F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"), "total")
+    at = F.least(F.lit(bins - 1), F.floor((x - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))).cast("int")
+    got = by.join(ends, "state").groupBy("state", at.alias("bin")).agg(F.sum("n").alias("n"))
+    grid = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    width = (F.col("hi") - F.col("lo")) / bins
+    return grid.join(got, ["state", "bin"], "left").fillna(0, ["n"]).select("state", "bin", (F.col("lo") + F.col("bin") * width).alias("left"), "n", (F.col("n") / (F.col("total") * width)).alias("density"))
+
+
 def state_number(paths: DataFrame) -> DataFrame:
     n = paths.filter(F.col("state") != NO_STATE).groupBy("molecule_id").agg(F.countDistinct("state").alias("states"))
     return n.groupBy("states").agg(F.count("*").alias("n"))
@@ -107,6 +190,39 @@ def exit_rates(d: DataFrame, dt: float) -> DataFrame:
     return d.groupBy("state").agg((1 / (F.avg("length") * dt)).alias("k"), F.count("*").alias("n"))
 
 
+def pooled_cross_correlation(frames: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """lag, r, molecules: as cross_correlation, over the lags that all molecules have: up to the shortest usable trace's length less one,
+    or ``max_lag`` if that is less. Usable are molecules of two frames and more, all of them finite; ValueError without any.
+
+    Traces are correlated whole in their task, whatever the number of lags; what is shuffled are sums by lag."""
+    if max_lag is not None and max_lag < 0:
+        raise ValueError("max_lag must not be negative")
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    pair = F.struct("frame", F.col("donor").cast("double").alias("d"), F.col("acceptor").cast("double").alias("a"))
+    rows = frames.groupBy("molecule_id").agg(F.count("*").alias("n"), F.bool_or(bad("donor") | bad("acceptor")).alias("bad"), F.array_sort(F.collect_list(pair)).alias("v")).filter("n >= 2 AND NOT bad")
+    rows = rows.select("n", F.transform("v", lambda s: s["d"]).alias("d"), F.transform("v", lambda s: s["a"]).alias("a"))
+    common = rows.agg(F.min("n").alias("n")).first()["n"]
+    if common is None:
+        raise ValueError("no molecule has two finite frames")
+    k = min(common - 1, max_lag) if max_lag is not None else common - 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, count = np.zeros(2 * k + 1), 0
+        for f in batches:
+            for d, a in zip(f["d"], f["a"]):
+                d, a = np.asarray(d) - np.mean(d), np.asarray(a) - np.mean(a)
+                sd, sa = d.std(), a.std()
+                if not (np.ptp(d) > 0 and np.ptp(a) > 0):
+                    continue
+                mid = len(d) - 1
+                total += np.correlate(d, a, "full")[mid - k : mid + k + 1] / (len(d) * sd * sa)
+                count += 1
+        yield pd.DataFrame({"lag": np.arange(-k, k + 1), "s": total, "m": count})
+
+    got = rows.select("d", "a").mapInPandas(run, "lag int, s double, m long").groupBy("lag").agg(F.sum("s").alias("s"), F.sum("m").alias("molecules"))
+    return got.select("lag", F.try_divide("s", "molecules").alias("r"), "molecules")
+
+
 def cross_correlation(frames: DataFrame, max_lag: int) -> DataFrame:
     """lag, r, molecules: mean over molecules of the biased Pearson correlation; flat channels are skipped."""
     m = W.partitionBy("molecule_id")

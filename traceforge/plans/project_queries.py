@@ -47,7 +47,9 @@ def project(spark: SparkSession, sf: str) -> store.Project:
     now = current_digests(made)
     keys = made.table("molecules").select("molecule_id", "molecule_key")
     paths = e.join(now, "molecule_id").join(keys, "molecule_id").select("molecule_id", "molecule_key", F.col("hash").alias("input_hash"), "frame", state_of(F.col("e"), *proxy.CUTS).alias("state"))
-    made.write_model("threshold", paths, MEANS, quantity="corrected")
+    spread = {r["state"]: r for r in e.select(state_of(F.col("e"), *proxy.CUTS).alias("state"), "e").filter("state >= 0").groupBy("state").agg(F.var_pop("e").alias("v"), F.count("*").alias("n")).collect()}
+    seen = [spread[k] for k in range(len(MEANS))]
+    made.write_model("threshold", paths, MEANS, quantity="corrected", variances=[r["v"] for r in seen], frac=[r["n"] / sum(x["n"] for x in seen) for r in seen])
     features = population.trace_features(e).join(keys, "molecule_id")
     made.write_features(features, ["total_intensity", "fret_mean"])
     _built[key] = made
@@ -167,3 +169,11 @@ def i10_prequential(spark, sf):
     i = F.col("doc_id")
     rows = proxy.table(spark, sf, "labels").join(d, "doc_id").select(i.alias("id"), i.alias("store_ord"), (i % 8).alias("movie"), (i % 8).alias("movie_ord"), (F.col("quality") == 1).alias("good"), "length", "blank", "digits", "capitals", "signs")
     return rounded(ranking.prequential(rows, ["length", "blank", "digits", "capitals", "signs"], 20), "precision", "baseline", "uplift")
+
+
+@query(SINGLE + """, st AS (SELECT state, var_pop(e) AS v, count(*)::DOUBLE / sum(count(*)) OVER () AS f, CASE state WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 0.55::DOUBLE ELSE 0.85::DOUBLE END AS m FROM p WHERE state <> -1 GROUP BY 1)
+SELECT k, round(sum(f / sqrt(2 * pi() * v) * exp(-(-0.25 + k * 0.0015 - m) * (-0.25 + k * 0.0015 - m) / (2 * v))), 7) AS y FROM range(1001) g(k) CROSS JOIN st GROUP BY 1""")
+def a7_stored_overlay(spark, sf):
+    """The overlay of the stored model: its means, and the variances and shares of its states' frames."""
+    row, _ = project(spark, sf).model("threshold")
+    return rounded(population.gaussian_overlay(spark, row["means"], row["variances"], row["frac"]), "y", digits=7)

@@ -67,6 +67,68 @@ def a5_time_heatmap(spark, sf):
     return population.time_heatmap(proxy.efficiencies(spark, sf)).select(F.col("t").cast("long").alias("t"), "bin", "n")
 
 
+@query(BASE + "SELECT condition_id, count(DISTINCT molecule_id) AS n_molecules, count(*) AS n_samples, count(*) FILTER (e BETWEEN -0.25 AND 0.6) AS n_in_range FROM e WHERE e IS NOT NULL GROUP BY 1")
+def a2_pooled_totals(spark, sf):
+    return population.pooled_totals(proxy.efficiencies(spark, sf), high=0.6, by=["condition_id"])
+
+
+@query(BASE + f""", rq AS (SELECT * FROM (VALUES (0, 3), (1, 0), (3, 2)) v(ord, condition_id)), hc AS (SELECT condition_id, {BIN} AS bin, count(*) AS n FROM e WHERE e BETWEEN -0.25 AND 1.25 GROUP BY 1, 2), mc AS (SELECT condition_id, count(DISTINCT molecule_id) AS n_molecules FROM e WHERE e IS NOT NULL GROUP BY 1)
+SELECT rq.ord::INTEGER AS ord, rq.condition_id::BIGINT AS condition_id, g.bin::INTEGER AS bin, coalesce(hc.n, 0)::DOUBLE AS n, round(coalesce(hc.n, 0) / ((sum(coalesce(hc.n, 0)) OVER (PARTITION BY rq.condition_id)) * (1.5 / 151)), 9) AS density, n_molecules
+FROM rq JOIN mc ON mc.condition_id = rq.condition_id CROSS JOIN range(151) g(bin) LEFT JOIN hc ON hc.condition_id = rq.condition_id AND hc.bin = g.bin""")
+def a4_requested_conditions(spark, sf):
+    """Conditions in the order they're asked for, of which one isn't there and one is asked for twice."""
+    return rounded(population.condition_histograms(proxy.efficiencies(spark, sf), [3, 0, 77, 2, 3]), "density")
+
+
+@query(BASE + f""", wf AS (SELECT t, e, 1.0::DOUBLE / count(*) OVER (PARTITION BY molecule_id) AS w FROM e WHERE e IS NOT NULL), ct AS (SELECT t, {BIN2} AS bin, sum(w) AS n FROM wf WHERE t < 100 AND e >= -0.2 AND e < 1.2 GROUP BY 1, 2)
+SELECT t, bin, round(n / ((SELECT sum(n) FROM ct) * 0.5 * 1.4 / 61), 9) AS n FROM ct""")
+def a5_equal_weight_density(spark, sf):
+    got = population.time_heatmap(proxy.efficiencies(spark, sf), equal_weight=True, density=True, dt=0.5)
+    return rounded(got.select(F.col("t").cast("long").alias("t"), "bin", "n"), "n")
+
+
+@query(BASE + f""", j AS (SELECT molecule_id, t - 1 AS sync FROM nx WHERE state = 1 AND s0 = 0), l AS (SELECT molecule_id, count(*) AS len FROM p GROUP BY 1)
+SELECT p.t - j.sync AS dt, {BIN2} AS bin, count(*) AS n FROM j JOIN l USING (molecule_id) JOIN p ON p.molecule_id = j.molecule_id AND p.t BETWEEN greatest(0, sync - 10) AND least(len - 1, sync + 20) WHERE e >= -0.2 AND e < 1.2 GROUP BY 1, 2""")
+def a6_fixed_windows(spark, sf):
+    """Fixed windows around jumps from state 0 to state 1."""
+    return population.transition_sync(proxy.paths(spark, sf), 10, 30, from_state=0, to_state=1, single_dwell=False)
+
+
+@query(BASE + f""", j0 AS (SELECT molecule_id, state, s0, t - 1 AS sync, lag(t) OVER w AS pv, lead(t) OVER w AS nt FROM nx WHERE state <> -1 AND s0 <> -1 AND s0 <> state WINDOW w AS (PARTITION BY molecule_id ORDER BY t)), j AS (SELECT * FROM j0 WHERE s0 = 2),
+l AS (SELECT molecule_id, count(*) AS len FROM p GROUP BY 1),
+ct AS (SELECT p.t - j.sync AS dt, {BIN2} AS bin, count(*) AS n FROM j JOIN l USING (molecule_id) JOIN p ON p.molecule_id = j.molecule_id AND p.t >= coalesce(pv, 0) AND p.t < coalesce(nt, len) - 1 AND p.t BETWEEN sync - 50 AND sync + 50 WHERE e >= -0.2 AND e < 1.2 GROUP BY 1, 2)
+SELECT dt, bin, round(n / ((SELECT sum(n) FROM ct) * 0.2 * 1.4 / 61), 9) AS n FROM ct""")
+def a6_density_from_state(spark, sf):
+    return rounded(population.transition_sync(proxy.paths(spark, sf), from_state=2, density=True, dt=0.2), "n")
+
+
+@query(BASE + """, v AS (SELECT CASE WHEN count(*) FILTER (state = 1 AND s1 <> -1) > 0 THEN count(*) FILTER (state = 1 AND s1 = 2)::DOUBLE / count(*) FILTER (state = 1 AND s1 <> -1) END AS p FROM nx GROUP BY molecule_id),
+h AS (SELECT CAST(least(floor((p + 0.05) * 25 / (1.05 - -0.05)), 24) AS INTEGER) AS bin, count(*) AS n FROM v WHERE p IS NOT NULL GROUP BY 1)
+SELECT g.bin::INTEGER AS bin, coalesce(n, 0)::DOUBLE AS n, round(coalesce(n, 0) / ((SELECT sum(n) FROM h) * (1.1::DOUBLE / 25)), 9) AS density FROM range(25) g(bin) LEFT JOIN h ON h.bin = g.bin""")
+def a9_probability_density(spark, sf):
+    return rounded(population.probability_density(proxy.paths(spark, sf), 1, 2, 3), "density")
+
+
+@query(BASE + "SELECT state, CASE state WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 0.4::DOUBLE ELSE 0.8::DOUBLE END AS level, count(*) AS n_dwells, round(avg(length) * 0.2, 9) AS mean_dwell FROM d GROUP BY 1")
+def a13_dwell_levels(spark, sf):
+    return rounded(population.dwell_summary(population.dwells(proxy.paths(spark, sf)), [0.2, 0.4, 0.8], 0.2), "mean_dwell")
+
+
+@query(BASE + """, x AS (SELECT state, min(length)::DOUBLE AS lo, max(length)::DOUBLE AS hi, count(*) AS total FROM d GROUP BY 1), y AS (SELECT state, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi, total FROM x),
+c AS (SELECT d.state, least(50, floor((length - lo) * 51 / (hi - lo)))::INTEGER AS bin, count(*) AS n FROM d JOIN y ON y.state = d.state GROUP BY 1, 2)
+SELECT y.state, g.bin::INTEGER AS bin, round(lo + g.bin * (hi - lo) / 51, 9) AS left, coalesce(n, 0) AS n, round(coalesce(n, 0) / (total * (hi - lo) / 51), 9) AS density FROM y CROSS JOIN range(51) g(bin) LEFT JOIN c ON c.state = y.state AND c.bin = g.bin""")
+def a13_dwell_histogram(spark, sf):
+    return rounded(population.dwell_histogram(population.dwells(proxy.paths(spark, sf))), "left", "density")
+
+
+@query(BASE + """, c AS (SELECT *, donor - avg(donor) OVER w AS d0, acceptor - avg(acceptor) OVER w AS a0, count(*) OVER w AS n, stddev_pop(donor) OVER w AS sd, stddev_pop(acceptor) OVER w AS sa FROM e WINDOW w AS (PARTITION BY molecule_id)),
+h AS (SELECT least(min(n) - 1, 12) AS h FROM c WHERE n >= 2), k AS (SELECT unnest(range(-h, h + 1)) AS lag FROM h),
+z AS (SELECT x.molecule_id, k.lag, sum(x.d0 * y.a0) / any_value(x.n * x.sd * x.sa) AS r FROM c x CROSS JOIN k JOIN c y ON y.molecule_id = x.molecule_id AND y.frame = x.frame - k.lag WHERE x.n >= 2 AND x.sd > 0 AND x.sa > 0 GROUP BY 1, 2)
+SELECT CAST(lag AS INTEGER) AS lag, round(avg(r), 7) AS r, count(*) AS molecules FROM z GROUP BY 1""")
+def a14_common_lags(spark, sf):
+    return rounded(population.pooled_cross_correlation(proxy.efficiencies(spark, sf), 12), "r", digits=7)
+
+
 @query(BASE + f""", j AS (SELECT molecule_id, t - 1 AS sync, lag(t) OVER w AS pv, lead(t) OVER w AS nt FROM nx WHERE state <> -1 AND s0 <> -1 AND s0 <> state WINDOW w AS (PARTITION BY molecule_id ORDER BY t)),
 l AS (SELECT molecule_id, count(*) AS len FROM p GROUP BY 1)
 SELECT p.t - j.sync AS dt, {BIN2} AS bin, count(*) AS n FROM j JOIN l USING (molecule_id) JOIN p ON p.molecule_id = j.molecule_id AND p.t >= coalesce(pv, 0) AND p.t < coalesce(nt, len) - 1 AND p.t BETWEEN sync - 50 AND sync + 50
@@ -169,11 +231,25 @@ def a18_dataset_median(spark, sf):
     return rounded(corrections.dataset_factor(e, "v"), "factor")
 
 
-@query()
+_SCORES = BASE + """, px AS (SELECT molecule_id, row_number() OVER w - 1 AS t, count(*) OVER (PARTITION BY molecule_id) AS n, sum(x) OVER w AS s, sum(x * x) OVER w AS q, sum(x * x) OVER (PARTITION BY molecule_id) AS al, x FROM (SELECT molecule_id, frame, acceptor AS x FROM f) WINDOW w AS (PARTITION BY molecule_id ORDER BY frame)),
+pk AS (SELECT molecule_id, n, t, (CASE WHEN t = n - 1 THEN n ELSE t END)::DOUBLE AS k, CASE WHEN t = n - 1 THEN s ELSE s - x END AS ks, CASE WHEN t = n - 1 THEN q ELSE q - x * x END AS kq, al FROM px),
+sc AS (SELECT molecule_id, n, t, CASE WHEN k > 0 THEN lgamma(1 + k / 2) - lgamma(1::DOUBLE) - (1 + k / 2) * ln(1 + greatest(kq - ks * ks / k, 0) / 2 + k * pow(ks / k - 1000, 2) / (2 * (1 + k))) - 0.5 * ln(1 + k) - k / 2 * ln(2 * pi()) ELSE 0 END
+ + CASE WHEN n > k THEN lgamma(1 + (n - k) / 2) - lgamma(1::DOUBLE) - (1 + (n - k) / 2) * ln(1 + greatest(al - kq, 0) / 2) - (n - k) / 2 * ln(2 * pi()) ELSE 0 END AS score FROM pk)
+"""
+
+
+@query(_SCORES.replace("acceptor AS x", "20 * acceptor AS x") + "SELECT molecule_id, (CASE WHEN n < 2 OR t = n - 1 THEN n ELSE t END)::INTEGER AS bleach FROM sc QUALIFY row_number() OVER (PARTITION BY molecule_id ORDER BY score DESC, t) = 1")
 def i3_photobleach(spark, sf):
     return corrections.photobleach(proxy.frames(spark, sf).select("molecule_id", "frame", (20 * F.col("acceptor")).alias("value")))
 
 
+@query(_SCORES + """, ft AS (SELECT molecule_id, trunc(sum(exp(score - top) * t) / sum(exp(score - top))) AS v FROM (SELECT *, max(score) OVER (PARTITION BY molecule_id) AS top FROM sc) GROUP BY 1), rt AS (SELECT (1.0 + count(*)) / (1.0 + sum(v)) AS r FROM ft)
+SELECT molecule_id, (CASE WHEN n < 2 OR t = n - 1 THEN n ELSE t END)::INTEGER AS bleach, round(r, 9) AS rate FROM sc CROSS JOIN rt QUALIFY row_number() OVER (PARTITION BY molecule_id ORDER BY score + ln(r) - r * t DESC, t) = 1""")
+def i3_ensemble_photobleach(spark, sf):
+    f = proxy.frames(spark, sf)
+    return rounded(corrections.ensemble_photobleach(f.withColumn("value", F.col("acceptor"))), "rate")
+
+
 @query(BASE + ", h AS (SELECT condition_id, count(*) FILTER (label <> 0) AS c FROM m GROUP BY 1) SELECT molecule_id, round(CASE WHEN label <> 0 THEN 1.0 ELSE 0.3 / (1 + c) END, 9) AS weight FROM m JOIN h USING (condition_id)")
 def f12_label_weights(spark, sf):
     return rounded(curation.weights(proxy.molecules(proxy.frames(spark, sf))), "weight")
@@ -322,6 +398,26 @@ def w4_anticorrelation_events(spark, sf):
     return got.withColumns({c: F.col(c).cast("long") for c in ("start", "stop", "peak_frame")})
 
 
+_FACTORS = "(SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'inf'::DOUBLE ELSE doc_id % 40 / 100.0::DOUBLE END AS alpha, CASE WHEN doc_id % 5 = 0 THEN 'nan'::DOUBLE WHEN doc_id % 13 = 0 THEN -1.0 ELSE doc_id % 60 / 10.0::DOUBLE END AS gamma FROM labels)"
+
+
+def _factors(spark, sf):
+    i = F.col("doc_id")
+    alpha = F.when(i % 11 == 0, float("inf")).otherwise(i % 40 / 100.0)
+    return proxy.table(spark, sf, "labels").select(i.alias("molecule_id"), F.when(i % 7 != 0, alpha).alias("alpha"), F.when(i % 5 == 0, float("nan")).when(i % 13 == 0, -1.0).otherwise(i % 60 / 10.0).alias("gamma"))
+
+
+@query(f"SELECT id AS molecule_id, CASE WHEN isfinite(alpha) AND isfinite(gamma) AND gamma > 0 THEN 'corrected' ELSE 'apparent-E (corrections unavailable)' END AS method, (alpha IS NOT NULL AND isfinite(alpha) AND isfinite(gamma) AND gamma > 0)::INTEGER::DOUBLE AS confidence FROM {_FACTORS}")
+def a20_chosen_methods(spark, sf):
+    return corrections.chosen_methods(_factors(spark, sf)).select("molecule_id", "method", "confidence")
+
+
+@query(f"SELECT count(*) AS n_molecules, 0::BIGINT AS n_corrected, count(*) FILTER (isfinite(alpha)) AS n_manual, count(*) FILTER (alpha IS NULL OR NOT isfinite(alpha)) AS n_apparent, FALSE AS total_failure FROM {_FACTORS}")
+def a20_manual_totals(spark, sf):
+    """A manual gamma makes up for the missing ones, not for missing leakage."""
+    return corrections.method_totals(corrections.chosen_methods(_factors(spark, sf), gamma=1.5))
+
+
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 AND (doc_id % 40) / 100.0 <= 0.3 AND doc_id % 7 BETWEEN 1 AND 5 THEN 'corrected' ELSE 'apparent' END AS method FROM labels")
 def a20_correction_methods(spark, sf):
     i = F.col("doc_id")
