@@ -15,7 +15,7 @@ def by_frame():
 def lgamma(x: Column) -> Column:
     """Logarithm of the gamma function of positive numbers: Stirling's series eight steps up, good to some 1e-15 of its size."""
     z = x + 8
-    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - 1 / (1680 * F.pow(z, F.lit(7.0)))
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - 1 / (1680 * F.pow(z, F.lit(7.0))) + 1 / (1188 * F.pow(z, F.lit(9.0))) - 691 / (360360 * F.pow(z, F.lit(11.0)))
     down = x
     for i in range(1, 8):
         down = down * (x + i)
