@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from traceforge.llm import fim, sharding, whitening
+from traceforge.llm import fim, html, sharding, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -196,3 +196,38 @@ def test_fill_in_middle_query(spark):
     for r in __spark_entry__.queries()["op13_fill_in_middle"](spark, SF).collect():
         n, form, p, m, output = brute_fim(r["doc_id"], docs[r["doc_id"]])
         assert tuple(r)[1:] == (n, form, p, m, sha(output), sha(docs[r["doc_id"]] or ""))
+
+
+def texts(spark, pages):
+    rows = [(k, "http://h.example/", p) for k, p in enumerate(pages)]
+    return [r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_bars_do_not_reach_into_the_article(spark):
+    words = [f"First sentence {k} of this page. Another one {k * k}." for k in range(4)]
+    for around in (
+        '<div class="layout with-sidebar"><article><p>{0}</p></article><div class="sidebar"><p>Side</p></div></div>', "<form action=/x><article><p>{0}</p></article><input name=q></form>",
+        '<div class="page-container has-nav"><nav>Menu</nav><main><p>{0}</p></main></div>', '<form><div class="site with-toolbar"><main><p>{0}</p></main></div></form>',
+    ):
+        assert texts(spark, [f"<html><body>{around.format(w)}</body></html>" for w in words]) == words
+    head = "<body><header><h1>Site</h1></header><article><header><h1>About {0}</h1></header><p>{1}</p><footer>Posted</footer></article></body>"
+    assert texts(spark, [head.format(k, w) for k, w in enumerate(words)]) == [f"About {k}\n{w}" for k, w in enumerate(words)]
+    # a header without a heading, readers' comments, related cards and a sidebar of its own stay out, articles or not
+    out = '<body><article><header>By someone</header><p>{0}</p></article><div class="comments"><article><p>Nice {0}</p></article></div><div class="sidebar"><article><p>Card {0}</p></article></div><aside class="page with-cards"><article><p>More {0}</p></article></aside><form class="comment-form layout"><main>Reply {0}</main></form></body>'
+    assert texts(spark, [out.format(w) for w in words]) == words
+
+
+def test_paths_are_places_in_document_order():
+    page = html.Page("<body><div><p>a</p><ul><li>b</li></ul></div><p>c</p>d<table><tr><td>e</td></tr></table></body>")
+    tree = dict(html.nodes_by_path(html.read_shape(page.shape)))
+    assert [(tree[p].tag, t) for p, t, _ in page.out] == [("p", "a"), ("li", "b"), ("p", "c"), ("body", "d"), ("td", "e")]
+
+
+def test_deep_pages_need_memory_for_their_nodes_only():
+    import tracemalloc
+
+    tracemalloc.start()
+    page = html.Page("<div>x" * 50_000)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(page.out) == 50_000 and peak < 60 << 20

@@ -38,6 +38,10 @@ NOT_CONTENT = frozenset("head nav header footer aside form script style noscript
 NOT_CONTENT_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification alert pagination popup promo promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored sponsor subscribe subscription toolbar warning widget widgets".split())
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+REGIONS = frozenset(("article", "main"))
+#: Words that bar a region, but name a layout beside words such as MARKS ("layout with-sidebar").
+LAYOUT_WORDS = frozenset("banner footer header menu nav navbar navigation sidebar toolbar".split())
+MARKS = frozenset("body container content grid has layout page site with without wrapper".split())
 
 #: Shapes that are joined by broadcast at most.
 FEW = 4096
@@ -74,6 +78,7 @@ class Node:
     chars: int = 0
     linked: int = 0
     mass: int = 0
+    lifted: bool = False
 
     @property
     def tag(self) -> str:
@@ -81,7 +86,14 @@ class Node:
 
     @property
     def barred(self) -> bool:
-        return self.tag in NOT_CONTENT or (self.tag not in ("html", "body") and not NOT_CONTENT_WORDS.isdisjoint(self.label.split(".")[1:]))
+        return not self.lifted and (self.tag in NOT_CONTENT or (self.tag not in ("html", "body") and not NOT_CONTENT_WORDS.isdisjoint(self.label.split(".")[1:])))
+
+    @property
+    def layout(self) -> bool:
+        """Barred, but only as a form around the page or by words that describe its layout."""
+        words = set(self.label.split(".")[1:])
+        told = words & NOT_CONTENT_WORDS
+        return told <= LAYOUT_WORDS and (self.tag == "form" or (self.tag not in NOT_CONTENT and bool(told) and not MARKS.isdisjoint(words)))
 
     @property
     def fixed(self) -> bool:
@@ -104,37 +116,37 @@ class Page:
         self.run_at, self.run_linked = 0, 0
         self.parse(source)
         self.flush()
-        paths: dict[int, str] = {0: ""}
-        self.shape = self.write(0, "", paths)
-        self.out = [(paths[k], t, n) for k, t, n in self.blocks]
-        self.about = max((t for k, t, _ in self.blocks if not self.outside(k)), key=lambda t: (len(t), t), default="")
-
-    def outside(self, node: int) -> bool:
-        """Whether a node that can't be content holds this one."""
-        while node:
-            if Node(self.labels[node]).barred:
-                return True
-            node = self.up[node]
-        return False
-
-    def write(self, node: int, path: str, paths: dict[int, str]) -> str:
-        """Children in document order are already runs: equal neighbours share one node."""
-        parts = []
-        stack: list = [(node, path, 0)]
+        number = [0] * len(self.labels)
+        self.shape = self.write(number)
+        self.out = [(str(number[k]), t, n) for k, t, n in self.blocks]
+        out = self.outside()
+        self.about = max((t for k, t, _ in self.blocks if not out[k]), key=lambda t: (len(t), t), default="")
+
+    def outside(self) -> list[bool]:
+        """Whether a node that can't be content holds each node, below the nearest article or main element."""
+        out = [False] * len(self.labels)
+        for k in range(1, len(out)):  # parents come before their children
+            own = Node(self.labels[k])
+            out[k] = own.barred or (own.tag not in REGIONS and out[self.up[k]])
+        return out
+
+    def write(self, number: list[int]) -> str:
+        """The shape; ``number`` gets the place of each node in it, from 1 in document order, which is its path."""
+        parts: list[str] = []
+        stack, met = [0], 0
         while stack:
-            n, p, done = stack.pop()
-            if done:
+            n = stack.pop()
+            if n < 0:
                 parts.append(")")
                 continue
-            if n != node:
-                paths[n] = p
+            if n:
+                met += 1
+                number[n] = met
                 parts.append(self.labels[n])
             if self.kids[n]:
                 parts.append("(")
-                stack.append((n, p, 1))
-                for k in range(len(self.kids[n]) - 1, -1, -1):
-                    stack.append((self.kids[n][k], f"{p}.{k}" if p else str(k), 0))
-            elif n != node:
+                stack += [-1, *self.kids[n][::-1]]
+            elif n:
                 parts.append(",")
         return "".join(parts)
 
@@ -323,10 +335,35 @@ def weigh(root: Node) -> None:
         n.mass = 0 if n.barred else own + sum(c.mass for c in n.children)
 
 
+def lift(root: Node) -> None:
+    """Lifts bars that can't be meant for the article: of a layout or a form around it, and of the header, with a heading, inside it."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack += n.children
+    holds: set[int] = set()  # nodes that hold an article or main element, or a heading (negative)
+    for n in reversed(order):  # children come before their parents
+        bar = n.barred
+        if n.tag in HEADINGS or any(-id(c) in holds for c in n.children):
+            holds.add(-id(n))
+        if any(id(c) in holds for c in n.children):
+            n.lifted = bar and n.layout
+            bar = bar and not n.lifted
+            if not bar:
+                holds.add(id(n))
+        if n.tag in REGIONS and not bar:
+            holds.add(id(n))
+            for c in n.children:
+                if c.barred and -id(c) in holds and set(c.label.split(".")[1:]) & NOT_CONTENT_WORDS <= {"header"} and (c.tag == "header" or c.tag not in NOT_CONTENT):
+                    c.lifted = True
+
+
 def content_nodes(root: Node) -> list[Node]:
     """The slots of the main region: of the article or main elements, else of the deepest node with most of the varying text.
 
     An element that says itself that it is the article loses a slot only if that is certain to be template."""
+    lift(root)
     weigh(root)
     named: list[Node] = []
     stack = [root]
@@ -365,11 +402,13 @@ def depth(root: Node) -> int:
 
 
 def nodes_by_path(root: Node) -> Iterator[tuple[str, Node]]:
-    stack = [("", root)]
+    """Each node with its path: its place in document order."""
+    stack, k = [root], 0
     while stack:
-        p, n = stack.pop()
-        yield p, n
-        stack += [(f"{p}.{k}" if p else str(k), c) for k, c in enumerate(n.children)]
+        n = stack.pop()
+        yield str(k), n
+        k += 1
+        stack += n.children[::-1]
 
 
 def host_template(shapes: list[str]) -> Node:
@@ -487,7 +526,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
     Null html is empty and gives an empty text; null or odd urls share the host "". Pages of a host with fewer than
     three different pages have no fixed nodes: the element names and the region alone decide. Repeated pages give
     repeated rows; columns named text or n_chars are replaced, ones named host, shape, about or blocks are dropped. Elements
-    may be nested without a bound.
+    may be nested without a bound. A bar on a form or a layout around an article or main element doesn't reach into it, and a
+    header with a heading inside one is its own.
     """
     keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in ("text", "n_chars", *OWN)]
     read = saved(parsed(pages, url_col, html_col, keep), "pages")
