@@ -100,3 +100,13 @@ def test_maps_against_least_squares(spark):
     at = registration.registration(df.filter("g = 'poly'")).select(x.alias("x"), y.alias("y")).first()
     flat = spark.range(1).select(*[matching.quadratic(F.lit(1.5), F.lit(2.5), c).alias(n) for c, n in zip(registration.plain_coefficients(got["poly"].forward), "xy")]).first()
     assert (at.x, at.y) == pytest.approx((flat.x, flat.y))
+
+
+def test_maps_are_stored_and_read(spark, tmp_path):
+    rows = [(k, float(k), float(k * k % 7), 2.0 * k, float(k * k % 7)) for k in range(9)]
+    maps = registration.registration(spark.createDataFrame(rows, "k int, ax double, ay double, bx double, by double"))
+    registration.save_maps(maps, f"{tmp_path}/maps")
+    assert registration.load_maps(spark, f"{tmp_path}/maps").collect() == maps.collect()
+    spark.range(1).write.parquet(f"{tmp_path}/odd")
+    with pytest.raises(ValueError):
+        registration.load_maps(spark, f"{tmp_path}/odd")

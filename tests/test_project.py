@@ -136,3 +136,56 @@ def test_models_features_and_logs(spark, project):
     assert {r.condition_id: (r.key.construct_variant, r.key.laser_power) for r in project.condition_keys().collect()} == {"x": ("ab", None), "y": ("cd", 600.0)}
     with pytest.raises(ValueError):
         project.append("frames", log, "x")
+
+
+def test_subsets(spark, project, tmp_path):
+    for k in range(2):
+        project.append_movies(*extraction(spark, f"m{k}"), settings={"radius": 3.0})
+    rejected = project.table("molecules").filter("molecule_id = 'm0-1'")
+    assert rejected.count() == 1
+    m = project.table("molecules")
+    paths = project.windowed().join(m.select("molecule_id", "molecule_key"), "molecule_id").select("molecule_id", "molecule_key", F.lit("h").alias("input_hash"), "frame", F.lit(0).alias("state"))
+    project.write_model("fine", paths, [0.5], quantity="corrected")
+    project.write_model("of raw", paths, [0.5], quantity="raw")
+    project.write_features(m.select("molecule_id", "molecule_key", "alpha"), ["alpha"])
+    project.append("labels", spark.createDataFrame([(1, "key m0-0", 1), (2, "key m1-2", 1)], "event_seq long, molecule_key string, label_value int"), "log")
+    project.append("conditions", spark.createDataFrame([("c1",)], "condition_id string"), "log")
+    got = store.export_subset(project, f"file://{tmp_path}/part", ["key m0-0", "key m0-1"])
+    got = store.open_project(spark, got.path)
+    assert sorted(r.molecule_id for r in got.table("molecules").collect()) == ["m0-0", "m0-1"]
+    assert [r.movie_id for r in got.table("movies").collect()] == ["m0"]
+    f = got.table("frames").agg(F.count("*").alias("n"), F.count("donor_raw").alias("raw"), F.count("donor_corrected").alias("c")).first()
+    assert tuple(f) == (12, 0, 12) and got.models() == ["fine"] and got.model("fine")[1].count() == 8
+    assert [r.molecule_key for r in got.table("labels").collect()] == ["key m0-0"] and got.table("conditions").count() == 1 and got.settings() == {"radius": "3.0"}
+    assert got.features().count() == 2
+    whole = store.export_subset(project, f"file://{tmp_path}/whole", include_raw=True)
+    assert whole.table("molecules").count() == 6 and whole.models() == ["fine", "of raw"] and whole.table("frames").filter("donor_raw IS NULL").isEmpty()
+    with pytest.raises(KeyError):
+        store.export_subset(project, f"file://{tmp_path}/none", ["key z"])
+    with pytest.raises(FileExistsError):
+        store.export_subset(project, whole.path)
+
+
+def test_traces_without_a_movie_and_rebuilt_movies(spark, project):
+    traces = spark.createDataFrame([(m, t, 1.0 + m, 2.0) for m in range(3) for t in range(5)], "molecule long, frame int, donor double, acceptor double")
+    windows = spark.createDataFrame([(0, -2, 3), (1, 4, 99), (2, 4, 2)], "molecule long, w0 int, w1 int")
+    assert store.import_traces(project, traces, "a.txt", "c9", windows) == "a.txt"
+    got = {r.store_ord: r for r in project.table("molecules").collect()}
+    assert {k: (r.w0, r.w1) for k, r in got.items()} == {0: (0, 3), 1: (4, 5), 2: (0, 5)}
+    assert (got[0].movie_id, got[0].tags, got[0].condition_id, got[0].correction_confidence) == ("", [store.NO_COORDINATES], "c9", 0.0) and got[0].donor_x != got[0].donor_x
+    assert project.table("frames").filter("donor_raw IS NOT NULL").isEmpty() and project.windowed().count() == 9
+    for bad in ((traces, "a.txt"), (traces.filter("false"), "b.txt")):
+        with pytest.raises(ValueError):
+            store.import_traces(project, *bad)
+    xy = spark.createDataFrame([(m, 10.0 * m, 5.0, 10.0 * m + 1, 6.0) for m in range(3)], "molecule long, donor_x double, donor_y double, acceptor_x double, acceptor_y double")
+    movie = store.Row(movie_id="mov", sha256="ff", n_frames=5)
+    store.with_coordinates(project, traces, xy, movie, (0.1, 1.2), "c1")
+    rows = {r.molecule_id: r for r in project.table("molecules").filter("movie_id = 'mov'").collect()}
+    assert len(rows) == 3 and (rows["mov#1"].store_ord, rows["mov#1"].alpha, rows["mov#1"].correction_method, rows["mov#1"].acceptor_x) == (4, 0.1, "corrected", 11.0)
+    assert len({r.molecule_key for r in rows.values()}) == 3
+    other = store.Row(movie_id="two", sha256="fe", n_frames=5)
+    store.with_coordinates(project, traces, xy, other, (0.1, -1.0))
+    assert {r.correction_method for r in project.table("molecules").filter("movie_id = 'two'").collect()} == {"apparent-E (corrections unavailable)"}
+    for t, c, m in ((traces, xy.filter("molecule > 0"), store.Row(movie_id="x", sha256="", n_frames=5)), (traces, xy, store.Row(movie_id="x", sha256="", n_frames=6))):
+        with pytest.raises(ValueError):
+            store.with_coordinates(project, t, c, m)

@@ -64,6 +64,24 @@ def tail_window(acceptor_bleach: Column, donor_bleach: Column, n: Column) -> tup
     return acceptor_bleach, F.least(donor_bleach, n)
 
 
+def active(frame: Column, bleach: Column) -> Column:
+    """Whether a frame lies before the bleach."""
+    return frame < bleach
+
+
+def basename(path: Column) -> Column:
+    """What stands behind the last slash or backslash."""
+    return F.regexp_extract(path, r"[^/\\]*$", 0)
+
+
+def reference_status(movie: Column, reference: Column) -> Column:
+    """Whether a movie's file is the one that an export names, by the file's name without case: confirmed, mismatch, movie_absent (there
+    is no movie) or no_reference (nothing is named)."""
+    named = F.coalesce(reference, F.lit("")) != ""
+    same = F.lower(basename(movie)) == F.lower(basename(reference))
+    return F.when(~named, "no_reference").when(F.coalesce(movie, F.lit("")) == "", "movie_absent").when(same, "confirmed").otherwise("mismatch")
+
+
 def gamma_windows(step: Column, half: int, n: Column) -> tuple[Column, Column, Column, Column]:
     """Half-open frames before and after the step."""
     at = F.least(step, n)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._tables import numbered_rows
+
 def by_frame():
     return W.partitionBy("molecule_id").orderBy("frame")
 
@@ -95,8 +98,12 @@ def leakage(frames: DataFrame, bleach: DataFrame, min_frames: int = 20, ceiling:
 
 
 def dataset_factor(values: DataFrame, value: str, least: int = 10) -> DataFrame:
-    """One row: n and the exact median, withheld (null) below ``least`` qualifying traces."""
-    return values.agg(F.count(value).alias("n"), F.median(value).alias("m")).select("n", F.when(F.col("n") >= least, F.col("m")).alias("factor"))
+    """One row: n and the exact median, withheld (null) below ``least`` qualifying traces. The middle values are found by their places
+    in a range shuffle, so no task holds all."""
+    placed = numbered_rows(values.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(value).cast("double").alias("v")), ["v"], "k")
+    n = placed.agg(F.count("*").alias("n"))
+    mid = placed.crossJoin(F.broadcast(n)).filter((F.col("k") == F.floor((F.col("n") - 1) / 2)) | (F.col("k") == F.floor(F.col("n") / 2)))
+    return n.crossJoin(mid.agg(F.avg("v").alias("m"))).select("n", F.when(F.col("n") >= least, F.col("m")).alias("factor"))
 
 
 def gamma(frames: DataFrame, bleach: DataFrame, alpha: float, half: int = 3, min_frames: int = 20, ceiling: float = 5.0) -> DataFrame:
@@ -152,3 +159,17 @@ def methods(molecules: DataFrame, apparent_only: bool = False) -> DataFrame:
     """molecule_id, method: apparent if asked for or if a factor is missing or out of its range, else corrected."""
     ok = F.col("alpha").between(0, 0.3) & (F.col("gamma") > 0) & (F.col("gamma") <= 5)
     return molecules.select("molecule_id", F.when(F.lit(not apparent_only) & F.coalesce(ok, F.lit(False)), "corrected").otherwise("apparent").alias("method"))
+
+
+def remapped_factors(rows: DataFrame, alpha: str = "legacy_alpha", beta: str = "legacy_beta", gamma: str = "legacy_gamma") -> DataFrame:
+    """``rows`` with the factors of an older naming under ours: its beta is the leakage alpha, gamma stays, delta is 0; its alpha, the
+    direct excitation, is kept as direct_excitation for the record only."""
+    return rows.withColumns({"alpha": F.col(beta), "gamma": F.col(gamma), "delta": F.lit(0.0), "direct_excitation": F.col(alpha)}).drop(alpha, beta, gamma)
+
+
+def median_deviation(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """The median of the distances from the median, by ``by``: exact, each group's values counted before they are sorted."""
+    counts = rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    mid = counts.groupBy(*by).agg(F.percentile(value, 0.5, F.col("__n")).alias("__m"))
+    both = counts.join(mid, list(by)) if by else counts.crossJoin(F.broadcast(mid))
+    return both.groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("__m")), 0.5, F.col("__n")).alias("mad"))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import informativeness, label_weight
+from ._tables import numbered_rows
+from .drift import ks_by_feature
 
 IDENTITY = ["molecule_key", "labeler", "timestamp", "source_file", "source", "label_value"]
 
@@ -17,6 +19,33 @@ def current_labels(log: DataFrame, source: str = "human") -> DataFrame:
     return last.filter("label_value <> 0")
 
 
+def label_of(log: DataFrame, key: str, source: str = "human") -> int:
+    """The current label of one key, 0 without any."""
+    got = current_labels(log.filter(F.col("molecule_key") == key), source).first()
+    return got["label_value"] if got else 0
+
+
+def store_order(molecules: DataFrame, id_col: str = "molecule_id", order: str = "store_ord") -> DataFrame:
+    """id, score, rank: the order of the store as a ranking without scores."""
+    got = numbered_rows(molecules.select(F.col(id_col).alias("id"), order), [order, "id"], "__k")
+    return got.select("id", F.lit(None).cast("double").alias("score"), (F.col("__k") + 1).alias("rank"))
+
+
+def first_ranked(rank: DataFrame, k: int) -> DataFrame:
+    """The first k of a ranking, in order."""
+    if k < 0:
+        raise ValueError("k must not be negative")
+    return rank.filter(F.col("rank") <= k).orderBy("rank")
+
+
+def rank_of(rank: DataFrame, id_) -> int:
+    """The rank of one id, from 1; KeyError without it."""
+    got = rank.filter(F.col("id") == id_).select("rank").first()
+    if not got:
+        raise KeyError(id_)
+    return got["rank"]
+
+
 def merge_labels(owner: DataFrame, other: DataFrame) -> DataFrame:
     """The owner's log and the other's events that it lacks (by six-field identity), each once: merging again adds nothing."""
     new = other.dropDuplicates(IDENTITY).join(owner.select(*IDENTITY), IDENTITY, "left_anti")
@@ -45,29 +74,13 @@ def rekeyed(molecules: DataFrame, source, target) -> DataFrame:
     return molecules.withColumn("condition_id", F.when(F.col("condition_id") == source, F.lit(target)).otherwise(F.col("condition_id")))
 
 
-#: Parts into which rankings and running sums are cut, by approximate quantiles: no part grows with the spread of the values.
-PARTS = 256
-
-
-def parted(rows: DataFrame, value: str, parts: int = PARTS) -> DataFrame:
-    """``rows`` with ``part``: ascending ranges of ``value`` of about as many rows each, null for null."""
-    cuts = rows.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    return rows.withColumn("part", F.when(F.col(value).isNotNull(), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)))
-
-
 def ranked(scores: DataFrame, descending: bool = True) -> DataFrame:
-    """rank from 1: missing scores last, ties by id. No row is dropped; infinite scores are refused. Ranks are counted range
-    by range of scores."""
+    """rank from 1: missing scores last, ties by id. No row is dropped; infinite scores are refused. Ranks are places in a range
+    shuffle by score and id, so neither a common score nor an uneven spread of them meets in one task."""
     bad = F.abs(F.col("score")) == float("inf")
-    s = scores.withColumn("score", F.when(bad, F.raise_error(F.lit("infinite score"))).when(~F.isnan("score"), F.col("score")))
-    s = parted(s, "score")
-    sign = F.col("part") * (-1 if descending else 1)
-    s = s.withColumn("part", F.coalesce(sign, F.lit(1 << 30)))
-    key = [F.col("score").desc() if descending else F.col("score"), F.col("id")]
-    size = s.groupBy("part").agg(F.count("*").alias("c"))
-    before = size.withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return s.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy(*key))).join(F.broadcast(before), "part").select("id", "score", (F.col("before") + F.col("k")).alias("rank"))
+    s = scores.select("id", F.when(bad, F.raise_error(F.lit("infinite score"))).when(~F.isnan("score"), F.col("score")).alias("score"))
+    s = s.withColumn("__none", F.col("score").isNull()).withColumn("__key", -F.col("score") if descending else F.col("score"))
+    return numbered_rows(s, ["__none", "__key", "id"], "__k").select("id", "score", (F.col("__k") + 1).alias("rank"))
 
 
 def precision_at_k(rank: DataFrame, good: DataFrame, k: int) -> DataFrame:
@@ -85,13 +98,5 @@ def next_to_label(scores: DataFrame, curated: DataFrame) -> DataFrame:
 
 
 def ks_statistic(samples: DataFrame) -> DataFrame:
-    """One row, d: largest gap of the distributions of side 0 and side 1 (columns side, x); counts by value come first,
-    and running sums are taken within ranges of values."""
-    by = samples.groupBy("x").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("b"))
-    by = parted(by, "x")
-    part = by.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
-    o = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    part = part.select("part", F.coalesce(F.sum("pa").over(o), F.lit(0)).alias("ba"), F.coalesce(F.sum("pb").over(o), F.lit(0)).alias("bb"), F.sum("pa").over(W.partitionBy(F.lit(1))).alias("na"), F.sum("pb").over(W.partitionBy(F.lit(1))).alias("nb"))
-    r = W.partitionBy("part").orderBy("x")
-    run = by.withColumn("ca", F.sum("a").over(r)).withColumn("cb", F.sum("b").over(r)).join(part, "part")
-    return run.agg(F.max(F.abs((F.col("ba") + F.col("ca")) / F.col("na") - (F.col("bb") + F.col("cb")) / F.col("nb"))).alias("d"))
+    """One row, d: largest gap of the distributions of side 0 and side 1 (columns side, x)."""
+    return ks_by_feature(samples.withColumn("feature", F.lit("x"))).select(F.col("statistic").alias("d"))

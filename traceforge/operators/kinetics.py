@@ -252,6 +252,19 @@ def rate_constants(values: DataFrame, dt: float, states: int = 2) -> DataFrame:
     return exit_rates(dwells(viterbi(values, fit_hmm(values, states))), dt)
 
 
+def active_levels(reference: DataFrame) -> DataFrame:
+    """The levels of a benchmark whose oracle is active."""
+    return reference.filter("oracle = 'active'")
+
+
+def within_band(rates: DataFrame, truth: DataFrame, band: float) -> DataFrame:
+    """state, k, truth, deviation (relative), within: advisory comparison of exit rates (state, k) with known ones (state, truth); a rate
+    that is missing isn't within."""
+    both = truth.join(rates.select("state", "k"), "state", "left")
+    off = F.abs(F.col("k") - F.col("truth")) / F.col("truth")
+    return both.select("state", "k", "truth", off.alias("deviation"), F.coalesce(off <= band, F.lit(False)).alias("within"))
+
+
 def elbow(ks: list[int], rmse: list[float]) -> int | None:
     """The k farthest from the chord between the ends, both axes scaled to [0, 1]; None for fewer than three points and a flat curve."""
     if len(ks) < 3:

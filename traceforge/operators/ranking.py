@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.scalar import ACCEPT, UNCURATED, label_weight
 from . import boosting
 from ._tables import cut
-from .curation import ranked
+from .curation import current_labels, ranked
 from .stored import provisional_labels, uplift
 
 
+def ranking_data(features: DataFrame, log: DataFrame, key: str = "molecule_id") -> DataFrame:
+    """All columns of ``features`` with label_value, for the molecules that have a label of a person now."""
+    now = current_labels(log).select(F.col("molecule_key").alias("__key"), "label_value")
+    return features.join(now, F.col(key).cast("string") == F.col("__key")).drop("__key")
+
+
 def training_set(features: DataFrame, molecules: DataFrame, log: DataFrame, w0: float = 0.3) -> DataFrame:
     """All columns of ``features`` (molecule_id, ...) with good and weight, for the molecules that have a label.
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Points from which a map has degree two; fewer, at least two, give a similarity.
@@ -115,3 +115,17 @@ def plain_coefficients(m) -> tuple[list[float], list[float]]:
         ]
 
     return of(m["a"]), of(m["b"])
+
+
+def save_maps(maps: DataFrame, path: str) -> None:
+    """Writes fitted maps (see registration) as Parquet; an existing folder is an error."""
+    maps.write.parquet(path)
+
+
+def load_maps(spark: SparkSession, path: str) -> DataFrame:
+    """The maps that save_maps wrote; ValueError if the folder holds something else."""
+    got = spark.read.parquet(path)
+    missing = sorted({"forward", "back", "degree", "n_points", "rms"} - set(got.columns))
+    if missing:
+        raise ValueError(f"not a table of maps: {missing} missing")
+    return got

@@ -50,6 +50,39 @@ def query_molecules(molecules: DataFrame, condition_ids: Sequence | None = None,
     return out
 
 
+def conditions_by_key(conditions: DataFrame, key: dict) -> DataFrame:
+    """condition_id of the ``conditions`` that agree with every given field of the identity; None asks for a missing one (null, NaN or
+    empty). ValueError for a field that the identity hasn't."""
+    from .stored import CONDITION_FIELDS
+
+    unknown = sorted(set(key) - {n for n, _ in CONDITION_FIELDS})
+    if unknown:
+        raise ValueError(f"no such fields: {unknown}")
+    kinds, out = dict(conditions.dtypes), conditions
+    for name, value in key.items():
+        c = F.col(name)
+        missing = c.isNull() | (F.isnan(name) if kinds[name] == "double" else c == "")
+        out = out.filter(missing if value is None else c == F.lit(value))
+    return out.select("condition_id")
+
+
+def molecules_of_key(molecules: DataFrame, conditions: DataFrame, key: dict | None = None, **others) -> DataFrame:
+    """query_molecules with a partial ``key`` of conditions as a further predicate; an empty key is inactive."""
+    got = query_molecules(molecules, **others)
+    return got.join(conditions_by_key(conditions, key), "condition_id", "left_semi") if key else got
+
+
+def in_store_order(rows: DataFrame, keys: Sequence[str] | None = None, include_rejected: bool = False) -> DataFrame:
+    """All rows of the given keys (all keys, if none are given) sorted by store_ord; KeyError if a key has no row at all."""
+    if keys is not None:
+        want = rows.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keys)], "molecule_key string")
+        lost = want.join(rows.select("molecule_key"), "molecule_key", "left_anti").limit(1).collect()
+        if lost:
+            raise KeyError(lost[0]["molecule_key"])
+        rows = rows.join(F.broadcast(want), "molecule_key", "left_semi")  # the caller's list
+    return rows.filter(kept(F.col("label"), include_rejected)).orderBy("store_ord")
+
+
 def stale_keys(stored: DataFrame, current: DataFrame) -> DataFrame:
     """Keys of which any fitted row's hash is gone or has changed: ``stored`` (molecule_id, molecule_key, hash) against ``current`` (molecule_id, hash)."""
     now = current.select("molecule_id", F.col("hash").alias("now"))
@@ -57,5 +90,11 @@ def stale_keys(stored: DataFrame, current: DataFrame) -> DataFrame:
     return stored.join(now, "molecule_id", "left").filter(bad).select("molecule_key").distinct()
 
 
+def chosen_live_keys(stored: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """molecule_key, ord: the caller's keys that are live, in the caller's order (a repeated one counts once)."""
+    want = stored.sparkSession.createDataFrame([(k, i) for i, k in enumerate(dict.fromkeys(keys))], "molecule_key string, ord int")
+    return live_keys(stored, current).join(F.broadcast(want), "molecule_key").select("molecule_key", "ord").orderBy("ord")
+
+
 def live_keys(stored: DataFrame, current: DataFrame) -> DataFrame:
     return stored.select("molecule_key").distinct().join(stale_keys(stored, current), "molecule_key", "left_anti")

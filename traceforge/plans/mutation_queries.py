@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import mutations, windows
+from ..functions import scalar
+from ..operators import batch, corrections, curation, mutations, select, windows
 from ..sources.project import TABLES
 from . import proxy
 from .queries import BASE, query, rounded
@@ -79,3 +80,54 @@ def i12_model_windows(spark, sf):
     got = windows.model_windows(e, labels, 40)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double")).alias(c)
     return rounded(got.select("molecule_id", total("donor"), total("acceptor"), "valid", F.size("mask").alias("slots"), "y"), "donor", "acceptor", digits=5)
+
+
+_RUN = """WITH ev AS (SELECT event_id AS seq, 'm' || (user_id % 23) AS movie, CASE event_type WHEN 'view' THEN 'extract' WHEN 'click' THEN 'correct' WHEN 'purchase' THEN 'idealize' ELSE event_type END AS stage, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status FROM events),
+ls AS (SELECT movie, stage, arg_max(status, seq) AS status, min(seq) AS seq FROM ev GROUP BY 1, 2), mv AS (SELECT movie, min(seq) AS queued, count(*) FILTER (status = 'failed') = 0 AS ok FROM ls GROUP BY 1)
+"""
+
+
+def _run(spark, sf):
+    """Stage events of movies made of the events' users and types."""
+    i, t = F.col("event_id"), F.col("event_type")
+    stage = F.when(t == "view", "extract").when(t == "click", "correct").when(t == "purchase", "idealize").otherwise(t)
+    return proxy.table(spark, sf, "events").select(i.alias("seq"), F.concat(F.lit("m"), (F.col("user_id") % 23).cast("string")).alias("movie"), stage.alias("stage"), F.when(i % 3 == 0, "failed").otherwise("ok").alias("status"), F.when(i % 9 == 0, F.concat(F.lit("e"), i % 5)).alias("error"))
+
+
+@query(_RUN + "SELECT count(*) AS n_movies, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed FROM mv")
+def a34_run_summary(spark, sf):
+    return batch.batch_summary(batch.movie_results(_run(spark, sf)))
+
+
+@query(_RUN + """, er AS (SELECT ls.*, CASE WHEN (SELECT max(seq) FROM ev WHERE ev.movie = ls.movie AND ev.stage = ls.stage) % 9 = 0 THEN 'e' || ((SELECT max(seq) FROM ev WHERE ev.movie = ls.movie AND ev.stage = ls.stage) % 5) END AS error FROM ls)
+SELECT mv.movie, queued, CASE WHEN ok THEN 'ok  ' ELSE 'FAIL' END || '  ' || mv.movie || '  ' || string_agg(stage || '=' || status || CASE WHEN status = 'failed' AND error IS NOT NULL THEN '(' || error || ')' ELSE '' END, ' ' ORDER BY CASE stage WHEN 'extract' THEN 1 WHEN 'correct' THEN 2 WHEN 'idealize' THEN 3 ELSE 4 END, stage) AS line
+FROM mv JOIN er ON er.movie = mv.movie GROUP BY mv.movie, queued, ok""")
+def a34_report_lines(spark, sf):
+    return batch.report_lines(batch.movie_results(_run(spark, sf)))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 11 <> 0 AND p_brand || '-' || (p_size % 5) IN (SELECT DISTINCT p_brand || '-' || (p_size % 5) FROM part WHERE p_size % 5 = 3 AND p_brand = 'Brand#12')")
+def p5_molecules_of_key(spark, sf):
+    p = proxy.table(spark, sf, "part")
+    cond = F.concat("p_brand", F.lit("-"), F.col("p_size") % 5)
+    conditions = p.select(cond.alias("condition_id"), F.col("p_brand").alias("construct_variant"), (F.col("p_size") % 5).cast("double").alias("temperature_c"), F.lit("").alias("dye")).distinct()
+    m = p.select("p_partkey", F.when(F.col("p_partkey") % 11 != 0, cond).alias("condition_id"))
+    return select.molecules_of_key(m, conditions, {"construct_variant": "Brand#12", "temperature_c": 3.0, "dye": None}).select("p_partkey")
+
+
+@query("SELECT c_custkey AS id, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS rank FROM customer")
+def t2_store_order(spark, sf):
+    return curation.store_order(proxy.table(spark, sf, "customer"), "c_custkey", "c_nationkey").select("id", "rank")
+
+
+@query("SELECT c_mktsegment, round(mad(c_acctbal), 6) AS mad FROM customer GROUP BY 1")
+def f16_median_deviation(spark, sf):
+    return rounded(corrections.median_deviation(proxy.table(spark, sf, "customer"), "c_acctbal", ["c_mktsegment"]), "mad", digits=6)
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'movie_absent' ELSE 'no_reference' END AS status FROM part")
+def s20_movie_references(spark, sf):
+    k, name = F.col("p_partkey"), F.col("p_name")
+    movie = F.when(k % 4 != 2, F.concat(F.lit("/a/"), F.upper(name), F.lit(".tif")))
+    reference = F.when(k % 4 == 0, F.concat(F.lit("D:\\x\\"), name, F.lit(".TIF"))).when(k % 4 == 1, F.concat(name, F.lit("2.tif"))).when(k % 4 == 2, name)
+    return proxy.table(spark, sf, "part").select("p_partkey", scalar.reference_status(movie, reference).alias("status"))

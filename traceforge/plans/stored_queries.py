@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import state_of
-from ..operators import agreement, curation, population, select, stored
+from ..operators import agreement, curation, population, ranking, select, stored
 from . import proxy
 from .queries import BASE, BIN, query, rounded
 
@@ -109,8 +109,7 @@ def s5_rejected_keys(spark, sf):
 SELECT molecule_id, total_intensity, v AS label_value FROM t JOIN c ON user_id = molecule_id WHERE v <> 0""")
 def j6_ranking_dataset(spark, sf):
     x = population.trace_features(proxy.efficiencies(spark, sf)).select("molecule_id", "total_intensity")
-    now = curation.current_labels(_log(spark, sf)).select(F.col("molecule_key").cast("long").alias("molecule_id"), "label_value")
-    return rounded(x.join(now, "molecule_id"), "total_intensity", digits=6)
+    return rounded(ranking.ranking_data(x, _log(spark, sf)), "total_intensity", digits=6)
 
 
 def _merged(spark, sf):

@@ -341,3 +341,102 @@ def open_project(spark: SparkSession, path: str) -> Project:
     if int(head["schema_version"]) > VERSION:
         raise ValueError(f"{path} has version {head['schema_version']}, newer than {VERSION}")
     return Project(spark, path.rstrip("/"), int(head["buckets"]), int(head["schema_version"]))
+
+
+#: Tag of molecules that came without positions.
+NO_COORDINATES = "no-coordinates"
+
+
+def export_subset(project: Project, path: str, molecule_keys: Sequence[str] | None = None, include_rejected: bool = False, include_raw: bool = False, overwrite: bool = False) -> Project:
+    """A new project of the chosen molecules with their corrected (and raw) layers, patches, features, the models' paths of them and the
+    labels of their keys; conditions, settings and the audit come whole. Movies come without their files' place: a subset has none.
+
+    ``molecule_keys``: all rows of these keys; KeyError if one is unknown (a key of rejected rows only is known). Models whose layers
+    aren't exported are left out. One join per table by molecule, bucket by bucket."""
+    own = project.table("molecules")
+    if molecule_keys is not None:
+        keys = project.spark.createDataFrame([(k,) for k in dict.fromkeys(map(str, molecule_keys))], "molecule_key string")
+        lost = sorted(r["molecule_key"] for r in keys.join(own.select("molecule_key"), "molecule_key", "left_anti").collect())
+        if lost:
+            raise KeyError(f"no molecule with these keys: {lost}")
+        own = own.join(F.broadcast(keys), "molecule_key", "left_semi")  # the caller's list
+    if not include_rejected:
+        own = own.filter("label <> -1")
+    ids, of_keys = own.select("molecule_id"), own.select("molecule_key").distinct()
+    made = create_project(project.spark, path, project.buckets, overwrite)
+    chosen = lambda name: project.table(name).drop("batch").join(ids, "molecule_id", "left_semi")
+    frames = chosen("frames")
+    if not include_raw:
+        frames = frames.withColumns({x: F.lit(None).cast("float") for x in LAYERS if not x.endswith("_corrected")})
+    movies = project.table("movies").drop("batch").join(own.select("movie_id").distinct(), "movie_id", "left_semi").withColumn("uri", F.lit(None).cast("string"))
+    parts = [("frames", frames), ("patches", chosen("patches")), ("molecules", own.drop("batch")), ("movies", movies)]
+    made._commit(parts, "subset")
+    for name in project.models():
+        row, paths = project.model(name)
+        if row["quantity"] == "raw" and not include_raw:
+            continue
+        made._commit([("state_paths", paths.join(ids, "molecule_id", "left_semi")), ("models", project.table("models").filter(F.col("batch") == name).drop("batch"))], name)
+    if "features" in project.batches("settings"):
+        names = project.feature_names()
+        made.write_features(project.features().join(ids, "molecule_id", "left_semi"), names)
+    made.append("labels", project.table("labels").drop("batch").join(of_keys, "molecule_key", "left_semi"), "subset")
+    for name in ("conditions", "audit"):
+        made.append(name, project.table(name).drop("batch"), "subset")
+    first = project.settings()
+    if first:
+        made.append("settings", project.spark.createDataFrame(list(first.items()), TABLES["settings"]), "extraction")
+    return made
+
+
+def import_traces(project: Project, traces: DataFrame, source: str, condition_id: str = "", windows: DataFrame | None = None) -> str:
+    """Appends traces that came without a movie (molecule, frame, donor, acceptor; molecule counts from 0) as one batch named ``source``:
+    corrected layers only, no positions, an empty movie_id, the tag NO_COORDINATES, apparent efficiencies.
+
+    Windows (molecule, w0, w1) are cut to the trace; one that is empty then is the whole trace. ValueError if the batch is there already
+    or holds no frame. Keys are digests of the source and the molecule's number."""
+    if source in project.batches("movies"):
+        raise ValueError(f"already stored: {source}")
+    n = traces.groupBy("molecule").agg((F.max("frame") + 1).cast("int").alias("n"))
+    if n.isEmpty():
+        raise ValueError("no frames")
+    ident = F.concat(F.lit(f"{source}#"), F.col("molecule").cast("string"))
+    rows = n.withColumns({"w0": F.lit(0), "w1": F.col("n")}) if windows is None else n.join(windows.select("molecule", F.greatest(F.lit(0), "w0").cast("int").alias("w0"), F.col("w1").cast("int").alias("w1")), "molecule", "left")
+    end = F.least("n", "w1")
+    fine = F.coalesce(end > F.col("w0"), F.lit(False))
+    offset = project.table("molecules").agg(F.coalesce(F.max("store_ord") + 1, F.lit(0)).alias("n")).first()["n"]
+    molecules = rows.select(
+        (F.col("molecule") + offset).cast("long").alias("store_ord"), ident.alias("molecule_id"), F.sha2(ident, 256).alias("molecule_key"), F.lit("").alias("movie_id"), "n", F.when(fine, F.col("w0")).otherwise(0).alias("w0"), F.when(fine, end).otherwise(F.col("n")).alias("w1"),
+        *[F.lit(float("nan")).alias(c) for c in ("donor_x", "donor_y", "acceptor_x", "acceptor_y")], F.lit("apparent-E (corrections unavailable)").alias("correction_method"), F.lit(0.0).alias("correction_confidence"), F.lit(0).alias("label"),
+        F.lit(condition_id).alias("condition_id"), F.lit(source).alias("source_filename"), F.array(F.lit(NO_COORDINATES)).alias("tags"),
+    )
+    frames = traces.select(ident.alias("molecule_id"), "frame", F.col("donor").alias("donor_corrected"), F.col("acceptor").alias("acceptor_corrected"))
+    movie = project.spark.createDataFrame([("",)], "movie_id string").withColumn("n_frames", F.lit(n.agg(F.max("n").alias("n")).first()["n"]))
+    project._commit([("frames", frames), ("molecules", molecules), ("movies", movie)], source)
+    return source
+
+
+def with_coordinates(project: Project, traces: DataFrame, coordinates: DataFrame, movie: Row, factors: tuple[float, float] | None = None, condition_id: str = "") -> str:
+    """Appends a movie rebuilt from an analysis: traces (molecule, frame, donor, acceptor) and coordinates (molecule, donor_x, donor_y,
+    acceptor_x, acceptor_y) joined by the molecule's number, which both must have alike; ``movie`` has movie_id, sha256, n_frames.
+
+    Leakage and gamma are taken over if both are finite and gamma is positive, and the molecules are corrected then. ValueError if the
+    numbers differ or a trace hasn't the movie's length."""
+    from ..functions.scalar import molecule_key
+
+    n = traces.groupBy("molecule").agg(F.count("*").alias("n"))
+    both = n.join(coordinates.select("molecule", F.lit(True).alias("at")), "molecule", "full")
+    odd = both.agg(F.count_if(F.col("n").isNull() | F.col("at").isNull()).alias("apart"), F.count_if(F.col("n") != movie["n_frames"]).alias("length")).first()
+    if odd["apart"] or odd["length"]:
+        raise ValueError(f"{odd['apart']} molecules have no partner, {odd['length']} traces another length than the movie")
+    good = factors is not None and all(map(math.isfinite, factors)) and factors[1] > 0
+    alpha, gamma = (F.lit(float(x)) for x in factors) if good else (F.lit(float("nan")), F.lit(float("nan")))
+    ident = F.concat(F.lit(f"{movie['movie_id']}#"), F.col("molecule").cast("string"))
+    offset = project.table("molecules").agg(F.coalesce(F.max("store_ord") + 1, F.lit(0)).alias("n")).first()["n"]
+    molecules = coordinates.select(
+        (F.col("molecule") + offset).cast("long").alias("store_ord"), ident.alias("molecule_id"), molecule_key(F.lit(movie["sha256"]), F.col("donor_x"), F.col("donor_y")).alias("molecule_key"), F.lit(movie["movie_id"]).alias("movie_id"), "donor_x", "donor_y", "acceptor_x", "acceptor_y",
+        F.lit(movie["n_frames"]).alias("n"), F.lit(0).alias("w0"), F.lit(movie["n_frames"]).alias("w1"), alpha.alias("alpha"), gamma.alias("gamma"), F.lit(0.0).alias("delta"), F.lit("corrected" if good else "apparent-E (corrections unavailable)").alias("correction_method"),
+        F.lit(1.0 if good else 0.0).alias("correction_confidence"), F.lit(0).alias("label"), F.lit(condition_id).alias("condition_id"), F.lit(movie["movie_id"]).alias("source_filename"),
+    )
+    frames = traces.select(ident.alias("molecule_id"), "frame", *[F.col(c).alias(f"{c}_{q}") for q in ("raw", "corrected") for c in ("donor", "acceptor")])
+    head = project.spark.createDataFrame([(movie["movie_id"], movie["sha256"], movie["n_frames"])], "movie_id string, sha256 string, n_frames int")
+    return project.append_movies(head, molecules, frames)
