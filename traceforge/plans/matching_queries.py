@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import drift, matching, registration, spatial, tracematch
+from ..functions import names
+from ..operators import drift, matching, registration, select, spatial, stored, tracematch
+from ..operators._tables import shared_dir
 from ..sources import tables
 from . import proxy
 from .queries import _PTS, BASE, ORACLES, _points, query, rounded
@@ -168,3 +172,65 @@ def j12_returned_traces(spark, sf):
     changed = F.when((m % 15 == 0) & (t == 2), 1.0).otherwise(0.0)
     back = f.filter("molecule_id % 3 = 0").select((m + 1000).alias("id"), "frame", (F.col("donor") + (t % 2) * 5e-7 + changed).alias("donor"), (F.col("acceptor") - (t % 3) * 4e-7).alias("acceptor"))
     return tracematch.matched(back, f.withColumnRenamed("molecule_id", "id"))
+
+
+@query(BASE + """, s AS (SELECT *, CASE WHEN w1 > w0 THEN w0 ELSE 0 END AS lo, CASE WHEN w1 > w0 THEN w1 ELSE n END AS hi FROM m),
+x AS (SELECT s.molecule_id, CASE WHEN donor + acceptor <> 0 THEN acceptor / (donor + acceptor) END AS e FROM s JOIN f ON f.molecule_id = s.molecule_id AND frame >= lo AND frame < hi),
+g AS (SELECT molecule_id, count(e) AS c, round(avg(e), 9) AS mean_e, round(median(e), 9) AS median_e FROM x GROUP BY 1)
+SELECT s.molecule_id::VARCHAR AS molecule_id, 'k' || s.molecule_id AS molecule_key, movie_id::VARCHAR AS movie_id, '' AS source_filename, condition_id::VARCHAR AS condition_id, '' AS condition_id_provisional, CASE label WHEN 1 THEN 'accept' WHEN 0 THEN 'uncurated' ELSE 'reject' END AS curation_label,
+ '' AS category, '' AS quality_class, '' AS aperture_id, CASE WHEN s.molecule_id % 3 = 0 THEN '' ELSE CAST(s.molecule_id * 0.0001::DOUBLE AS VARCHAR) END AS alpha, CAST(s.molecule_id * 1e15::DOUBLE AS VARCHAR) AS gamma, '0.0' AS delta, '' AS correction_method, '' AS correction_confidence, '' AS donor_bleach_frame, '' AS acceptor_bleach_frame,
+ '' AS frame_start, '' AS frame_end, lo::VARCHAR AS window_start, hi::VARCHAR AS window_end, '' AS tags, coalesce(c, 0)::VARCHAR AS n_finite_frames, coalesce(mean_e::VARCHAR, '') AS mean_apparent_e, coalesce(median_e::VARCHAR, '') AS median_apparent_e FROM s LEFT JOIN g ON g.molecule_id = s.molecule_id""")
+def k3_molecule_table(spark, sf):
+    """All 25 columns as text, numbers of all magnitudes among them."""
+    f = proxy.frames(spark, sf)
+    i = F.col("molecule_id")
+    m = proxy.molecules(f).withColumns({"molecule_key": F.concat(F.lit("k"), i), "alpha": F.when(i % 3 == 0, float("nan")).otherwise(i * 0.0001), "gamma": i * 1e15, "delta": F.lit(0.0)})
+    return tables.molecule_table(rounded(tables.efficiency_summary(m, f), "mean_apparent_e", "median_apparent_e"))
+
+
+_MATRIX = BASE + """, mx AS (SELECT f.molecule_id, frame, donor, acceptor FROM f JOIN (SELECT molecule_id FROM m WHERE n >= 20 AND molecule_id % 3 = 0) k ON k.molecule_id = f.molecule_id WHERE frame < 20)"""
+
+
+def _matrix(spark, sf):
+    """Every third molecule of at least 20 frames, its first 20 frames."""
+    f = proxy.frames(spark, sf).filter("frame < 20")
+    m = proxy.molecules(proxy.frames(spark, sf)).filter("n >= 20 AND molecule_id % 3 = 0").select("molecule_id", F.lit(20).alias("n"))
+    return tables.trace_matrix(m, f)
+
+
+@query(_MATRIX + " SELECT frame::INTEGER AS frame, string_agg(printf('%.5f', donor) || ' ' || printf('%.5f', acceptor), ' ' ORDER BY molecule_id) AS line FROM mx GROUP BY 1")
+def k4_trace_matrix(spark, sf):
+    return _matrix(spark, sf).select(F.col("frame").cast("int").alias("frame"), "line")
+
+
+@query(_MATRIX + " SELECT (dense_rank() OVER (ORDER BY molecule_id) - 1)::INTEGER AS molecule, frame::INTEGER AS frame, round(donor, 5) AS donor, round(acceptor, 5) AS acceptor FROM mx")
+def s12_read_matrix(spark, sf):
+    """The matrix written as text and read again."""
+    path = f"{shared_dir(spark)}/traceforge-matrix-{uuid.uuid4().hex}"
+    tables.write_trace_matrix(_matrix(spark, sf).coalesce(1), path)  # a file is a movie
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return rounded(tables.read_trace_matrix(spark, path).select("molecule", F.col("frame").cast("int").alias("frame"), "donor", "acceptor"), "donor", "acceptor", digits=5)
+
+
+@query(BASE + "SELECT p.molecule_id, frame, state FROM p JOIN (SELECT molecule_id, min(frame) FILTER (state <> -1) AS a, max(frame) FILTER (state <> -1) AS b FROM p GROUP BY 1) g ON g.molecule_id = p.molecule_id WHERE frame BETWEEN a AND b")
+def p3_trimmed_frames(spark, sf):
+    return select.trimmed(proxy.paths(spark, sf)).select("molecule_id", F.col("frame").cast("long").alias("frame"), "state")
+
+
+@query(BASE + "SELECT molecule_id, CASE molecule_id % 7 WHEN 5 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 END::INTEGER AS ord, label FROM m WHERE molecule_id % 7 IN (1, 3, 5)")
+def p6_in_callers_order(spark, sf):
+    """All rows of three keys, each many molecules', with the caller's place of the key."""
+    m = proxy.molecules(proxy.frames(spark, sf)).withColumn("molecule_key", (F.col("molecule_id") % 7).cast("string"))
+    return stored.chosen(m, ["5", "3", "5", "1"], include_rejected=True).select("molecule_id", "ord", "label")
+
+
+@query("""SELECT p_partkey, 'c' || p_size AS construct_variant, CASE WHEN p_partkey % 3 = 0 THEN 'Mg' ELSE '' END AS ligand, CASE WHEN p_partkey % 3 = 0 THEN (p_partkey % 50) / 4.0::DOUBLE END AS ligand_concentration, CASE WHEN p_partkey % 3 = 0 THEN 'nM' ELSE '' END AS ligand_concentration_unit,
+ CASE WHEN p_partkey % 5 = 0 THEN 'Cy3' ELSE '' END AS dye, CASE WHEN p_partkey % 2 = 0 THEN '2024-03-0' || (1 + p_partkey % 9) ELSE '' END AS date, CASE WHEN p_partkey % 4 = 1 THEN (p_partkey % 9)::VARCHAR ELSE '' END AS replicate, lpad((p_partkey % 100)::VARCHAR, 3, '0') AS video_index FROM part""")
+def f6_parsed_names(spark, sf):
+    k = F.col("p_partkey")
+    part = lambda c, *t: F.when(c, F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in t])).otherwise("")
+    amount = (k % 50 / 4.0).cast("string")
+    name = F.concat(part(k % 2 == 0, "2024030", 1 + k % 9, "_"), F.lit("c"), F.col("p_size"), part(k % 5 == 0, "_Cy3 only"), part(k % 3 == 0, "_Mg_", amount, "nM"), part(k % 4 == 1, "_", k % 9, "th-replicate"), F.lit("_"), F.lpad((k % 100).cast("string"), 3, "0"), F.lit(".tif"))
+    got = names.parsed_names(proxy.table(spark, sf, "part").select("p_partkey", name.alias("name")))
+    return got.select("p_partkey", "construct_variant", "ligand", "ligand_concentration", "ligand_concentration_unit", "dye", "date", "replicate", "video_index")
