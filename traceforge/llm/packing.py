@@ -141,7 +141,7 @@ def pack(pieces: DataFrame, cap: int = 2048, rows_per_task: int = 50_000, fan_in
     flat = pieces.select(*names)
     groups = max(1, -(-flat.count() // rows_per_task))
     item = F.array(F.struct(*names, F.lit(0).cast("long").alias("offset"))).alias("members")
-    open_ = flat.select(item, F.xxhash64("doc_id", "piece").alias("__at"))
+    open_ = flat.select(item, F.xxhash64(*names).alias("__at"))  # all of a row: ids may be null or repeat
     done: list[DataFrame] = []
     level, free = 1, max(1, int(cap * slack))
     while True:
