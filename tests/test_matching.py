@@ -131,3 +131,21 @@ def test_molecule_table(spark, tmp_path):
     assert tables.efficiency_summary(molecules, frames, include_rejected=False).count() == 2
     to = tables.write_provenance(spark, str(tmp_path / "t.csv"), "molecule-table", "1", "p", {"b": 1, "a": 2}, "2025-01-01T00:00:00+00:00")
     assert spark.read.json(to).first().parameters.asDict() == {"a": 2, "b": 1}
+
+
+def test_extraction_verdict(spark):
+    points = lambda rows: spark.createDataFrame(rows, "group_id int, id int, x double, y double")
+    known = points([(0, k, 10.0 * k, 0.0) for k in range(20)])
+    found = points([(0, 100 + k, 10.0 * k + 0.5, 0.0) for k in range(20)] + [(0, 999, 5000.0, 0.0)])
+    wave = lambda k, t: float((k * 7 + t * t) % 11)
+    trace = lambda first, of: spark.createDataFrame([(first + k, t, of(k, t)) for k in range(20) for t in range(6)], "id int, frame int, value double")
+    flat = lambda k, t: 1.0 if k < 12 else wave(k, t)
+    pairs = matching.one_to_one(matching.near_pairs(known, found, 2.0))
+    given = (trace(0, wave), trace(100, lambda k, t: 3 * wave(k, t) + 1))
+    got = matching.extraction_verdict(known, found, pairs, given, (trace(0, flat), trace(100, flat)), 0.4).first()
+    assert (got.n_matched, got.recall, round(got.donor_median, 12), got.acceptor_median, got.residual, got.passes) == (20, 1.0, 1.0, 0.0, 0.4, True)
+    assert got.acceptor_pooled > 0.99 and got.rms == 0.5
+    for residual in (None, 0.6, float("nan")):
+        assert not matching.extraction_verdict(known, found, pairs, given, given, residual).first().passes
+    none = matching.extraction_verdict(known, found.filter("id = 999"), pairs.filter("false"), given, given, 0.1).first()
+    assert (none.n_matched, none.recall, none.donor_median, none.passes) == (0, 0.0, None, False)

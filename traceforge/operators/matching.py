@@ -60,6 +60,25 @@ def matched_correlations(pairs: DataFrame, known: DataFrame, found: DataFrame, b
     return both.groupBy(*by).agg(F.count("*").alias("frames"), F.when(varies("va") & varies("vb"), F.try_divide(F.covar_pop("va", "vb"), F.stddev_pop("va") * F.stddev_pop("vb"))).alias("r"))
 
 
+#: What an extraction has to reach: recall, the donors' median correlation, and at most this registration residual.
+RECALL, PEARSON, RESIDUAL = 0.95, 0.95, 0.5
+
+
+def extraction_verdict(known: DataFrame, found: DataFrame, pairs: DataFrame, donors: tuple[DataFrame, DataFrame], acceptors: tuple[DataFrame, DataFrame], residual: float | None = None) -> DataFrame:
+    """One row: detection_scores with <channel>_pooled and <channel>_median, the correlations of matched traces (known, found: id, frame,
+    value), residual, and passes.
+
+    A pair whose correlation isn't defined counts as 0 in the median. It passes with enough recall, a high enough median of the
+    donors, and a residual that is known and small enough; acceptors are reported only."""
+    one = detection_scores(known, found, pairs)
+    for name, (a, b) in (("donor", donors), ("acceptor", acceptors)):
+        own = pairs.select("a", "b").join(matched_correlations(pairs, a, b).select("a", "b", "r"), ["a", "b"], "left")
+        one = one.crossJoin(own.agg(F.median(F.coalesce("r", F.lit(0.0))).alias(f"{name}_median")))
+        one = one.crossJoin(matched_correlations(pairs, a, b, by=()).select(F.col("r").alias(f"{name}_pooled")))
+    ok = (F.col("recall") >= RECALL) & (F.col("donor_median") >= PEARSON) & (F.col("residual") <= RESIDUAL)
+    return one.withColumn("residual", F.lit(residual).cast("double")).withColumn("passes", F.coalesce(ok, F.lit(False)))
+
+
 def quadratic(x: Column, y: Column, c: Sequence[float]) -> Column:
     """Polynomial of degree two with its six coefficients in the order 1, x, y, xy, x², y²."""
     if len(c) != 6:
