@@ -19,14 +19,15 @@ _AMOUNT = rf"(?i)^(\d+(?:\.\d+)?)({'|'.join(UNITS)})$"
 _REPLICATE = r"(?i)^(\d+)(?:st|nd|rd|th)?[-_]?replicate$"
 
 
-def parsed_names(df: DataFrame, name: str = "name") -> DataFrame:
+def parsed_names(df: DataFrame, name: str = "name", with_stem: bool = False) -> DataFrame:
     """Append construct_variant, dye, ligand, ligand_concentration, ligand_concentration_unit, sample_concentration,
     sample_concentration_unit, date, replicate and video_index; what a name doesn't say is empty (amounts: null).
 
     Extensions, known prefixes and suffixes, a time stamp and a day of eight digits are taken off. Of the words left, "Cy3
     only" (or Cy5) is the dye; numbered replicates are told by their word; an amount after a ligand is the ligand's, any
     other the sample's (the first counts); the last of the words of two to four digits is the video's number; the rest is
-    the construct. No name is refused; null is an empty name. Everything stays in the JVM."""
+    the construct. No name is refused; null is an empty name. Everything stays in the JVM. With ``with_stem`` the column stem follows: the name
+    without what was taken off."""
     base = F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"^.*/(?=[^/])|/$", "")
     stem = F.btrim(F.regexp_replace(base, rf"(?i)\.(?:{'|'.join(EXTENSIONS)})", "_"), F.lit("_ "))
     stem = F.regexp_replace(F.regexp_replace(stem, f"^(?:{'|'.join(PREFIXES)})", ""), f"(?:{'|'.join(SUFFIXES)})$", "")
@@ -64,5 +65,5 @@ def parsed_names(df: DataFrame, name: str = "name") -> DataFrame:
         "construct_variant": F.concat_ws(" ", F.transform(rest, lambda s: s["w"])), "dye": F.col("__dye"), "ligand": text(last("ligand")),
         "ligand_concentration": number(last("ligand amount")), "ligand_concentration_unit": unit(last("ligand amount")),
         "sample_concentration": number(first("sample amount")), "sample_concentration_unit": unit(first("sample amount")), "date": F.col("__date"),
-        "replicate": text(F.regexp_extract(last("replicate"), _REPLICATE, 1)), "video_index": text(F.col("__video.w")),
+        "replicate": text(F.regexp_extract(last("replicate"), _REPLICATE, 1)), "video_index": text(F.col("__video.w")), **({"stem": F.btrim(F.regexp_replace("__stem", _DAY, "$1_"), F.lit("_ "))} if with_stem else {}),
     }).drop(*own)
