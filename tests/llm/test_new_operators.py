@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from traceforge.llm import fim, html, sharding, whitening
+from traceforge.llm import fim, html, sharding, simhash, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -231,3 +231,20 @@ def test_deep_pages_need_memory_for_their_nodes_only():
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert len(page.out) == 50_000 and peak < 60 << 20
+
+
+def test_op2_counts_all_fingerprints_within_the_radius(spark):
+    got = __spark_entry__.queries()["op2_simhash"](spark, SF).collect()
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in got}
+    assert len(prints) == len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    for r in got:
+        want = sum((prints[r.doc_id] ^ p).bit_count() <= 3 for p in prints.values()) - 1 if r.doc_id % 100 == 0 else None
+        assert r.n_within == want
+    # bits at the borders of blocks, classes of equal prints, radius 0
+    rows = [(k, v, w) for k, (v, w) in enumerate([(0, 0), (0, 0), (0, 1), (7, 0), (15, 0), (-1, -1), (-1, -8), (1 << 62, 3), (1 << 20, 1 << 41), (0, 0)])]
+    df = spark.createDataFrame(rows, "doc_id long, fa long, fb long")
+    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[1:], b[1:]))
+    for radius, blocks in ((3, 6), (0, 1), (1, 3), (2, 7)):
+        found = {r.doc_id: r.n_within for r in simhash.count_within(df, F.col("doc_id") >= 0, radius, blocks).collect()}
+        assert found == {a[0]: sum(apart(a, b) <= radius for b in rows) - 1 for a in rows}, (radius, blocks)
+    assert simhash.count_within(df.filter("false"), F.lit(True)).count() == 0

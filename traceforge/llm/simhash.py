@@ -74,14 +74,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def block_tables(fps: DataFrame, blocks: int, radius: int, id_cols: list[str]) -> DataFrame:
-    """One row per fingerprint and table: a table's key is all blocks but ``radius`` of them, moved to the front."""
+    """One row per fingerprint and table t: k is a hash of the table's key, all blocks but ``radius`` of them, moved to the front."""
     width = BITS // blocks
     both = F.concat(F.lpad(F.bin("fa"), 64, "0"), F.lpad(F.bin("fb"), 64, "0"))
     cuts = [F.substring("__bits", 1 + k * width, width if k + 1 < blocks else BITS) for k in range(blocks)]
-    keys = [F.struct(F.lit(n).alias("t"), F.concat(*[cuts[k] for k in own]).alias("k")) for n, own in enumerate(combinations(range(blocks), blocks - radius))]
+    keys = [F.struct(F.lit(n).alias("t"), F.xxhash64(*[cuts[k] for k in own]).alias("k")) for n, own in enumerate(combinations(range(blocks), blocks - radius))]
     return fps.select(*id_cols, "fa", "fb", both.alias("__bits")).select(*id_cols, "fa", "fb", F.inline(F.array(*keys)))
 
 
+def classes_within(fps: DataFrame, queries: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """qa, qb, fa, fb, distance: distinct fingerprints of ``queries`` and those of ``fps`` at most ``radius`` bits away."""
+    if not 0 <= radius < blocks <= BITS:
+        raise ValueError("radius must be at least 0 and less than blocks")
+    left = block_tables(queries.select("fa", "fb").distinct(), blocks, radius, []).withColumnsRenamed({"fa": "qa", "fb": "qb"})
+    pairs = left.join(block_tables(fps.select("fa", "fb").distinct(), blocks, radius, []), ["t", "k"])
+    gap = (F.bit_count(F.col("qa").bitwiseXOR(F.col("fa"))) + F.bit_count(F.col("qb").bitwiseXOR(F.col("fb")))).alias("distance")
+    return pairs.select("qa", "qb", "fa", "fb", gap).filter(F.col("distance") <= radius).distinct()
+
+
 def within(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     """query_id, doc_id, distance: all fingerprints within ``radius`` bits of each query's (itself excluded).
 
@@ -89,18 +99,20 @@ def within(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6)
     least blocks - radius whole blocks, so they share the key of one of the permuted tables: nothing is missed. Equal
     fingerprints are one class while tables are joined, and are told apart again at the end.
     """
-    if not 0 <= radius < blocks <= BITS:
-        raise ValueError("radius must be at least 0 and less than blocks")
-    classes = fps.select("fa", "fb").distinct()
-    asked = queries.select("fa", "fb").distinct()
-    left = block_tables(asked, blocks, radius, []).withColumnsRenamed({"fa": "qa", "fb": "qb"})
-    pairs = left.join(block_tables(classes, blocks, radius, []), ["t", "k"])
-    gap = (F.bit_count(F.col("qa").bitwiseXOR(F.col("fa"))) + F.bit_count(F.col("qb").bitwiseXOR(F.col("fb")))).alias("distance")
-    pairs = pairs.select("qa", "qb", "fa", "fb", gap).filter(F.col("distance") <= radius).distinct()
+    pairs = classes_within(fps, queries, radius, blocks)
     found = pairs.join(queries.select(F.col("doc_id").alias("query_id"), F.col("fa").alias("qa"), F.col("fb").alias("qb")), ["qa", "qb"]).join(fps.select("doc_id", "fa", "fb"), ["fa", "fb"])
     return found.filter("query_id <> doc_id").select("query_id", "doc_id", "distance")
 
 
+def count_within(fps: DataFrame, asked: Column, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """``fps`` (fa, fb, ...) with n_within: how many other rows have a fingerprint at most ``radius`` bits away, for the rows that
+    ``asked`` picks; null for others. Found by the permuted tables as in ``within``; rows are counted by fingerprint, never paired."""
+    size = fps.groupBy("fa", "fb").agg(F.count("*").alias("__n"))
+    pairs = classes_within(fps, fps.filter(asked), radius, blocks)
+    near = pairs.join(size, ["fa", "fb"]).groupBy(F.col("qa").alias("fa"), F.col("qb").alias("fb")).agg((F.sum("__n") - 1).alias("__within"))
+    return fps.join(near, ["fa", "fb"], "left").withColumn("n_within", F.when(asked, F.col("__within"))).drop("__within")
+
+
 def ranges(docs: DataFrame, key: Column, rows_per_range: int, most: int = 4096) -> list[int]:
     """First keys of consecutive ranges, at most ``most`` of them; each is a key of the table, the first its smallest."""
     n = docs.count()
@@ -120,7 +132,8 @@ def range_of(bounds: list[int], key: Column) -> Column:
 
 
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 256) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document.
+    """doc_id, n_chars, edited_sha256, fa, fb (the fingerprint's words), fingerprint, edited_fingerprint, near_edited, near_next for
+    every document.
 
     The edited text replaces the last floor(n / 2) of the n code points by as many first ones (or all) of the next
     document: ascending id (a null id first), equal ids by their text's hash, after the last the first. Texts are
@@ -156,6 +169,6 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     done = both.withColumn("na", F.lead("fa").over(after)).withColumn("nb", F.lead("fb").over(after)).filter("copy = 0")
     c = F.col
     return done.select(
-        "doc_id", "n_chars", "edited_sha256", hex_of(c("fa"), c("fb")).alias("fingerprint"), hex_of(c("ea"), c("eb")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", "fa", "fb", hex_of(c("fa"), c("fb")).alias("fingerprint"), hex_of(c("ea"), c("eb")).alias("edited_fingerprint"),
         likeness(c("fa"), c("fb"), c("ea"), c("eb")).alias("near_edited"), likeness(c("fa"), c("fb"), c("na"), c("nb")).alias("near_next"),
     )
