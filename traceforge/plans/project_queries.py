@@ -17,6 +17,8 @@ from .queries import BASE, BIN, query, rounded
 MEANS = (0.2, 0.55, 0.85)
 #: Leakage and gamma of molecules with an even and an odd id.
 ALPHAS, GAMMA = (0.05, 0.1), 1.25
+#: Frames for which the project gets a bucket.
+ROWS_PER_BUCKET = 500_000
 #: Layers are stored with single precision.
 SINGLE = BASE.replace("AS DOUBLE) END AS donor", "AS FLOAT)::DOUBLE END AS donor").replace("ELSE value END AS acceptor", "ELSE value::FLOAT::DOUBLE END AS acceptor")
 _built: dict[tuple[str, str], store.Project] = {}
@@ -28,7 +30,8 @@ def project(spark: SparkSession, sf: str) -> store.Project:
     if key in _built:
         return _built[key]
     path = f"{shared_dir(spark)}/traceforge-project-{uuid.uuid4().hex}"
-    made = store.create_project(spark, path, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = proxy.table(spark, sf, "events").count()
+    made = store.create_project(spark, path, buckets=max(4, -(-rows // ROWS_PER_BUCKET)))
     made.files.fs.deleteOnExit(made.files.at())
     f = proxy.frames(spark, sf)
     m = proxy.molecules(f)
