@@ -71,6 +71,22 @@ def test_chunks_are_spliced_without_a_trace(chunk, overlap):
         assert tokencount.count_by_chunks(LIBRARY, t * 9, chunk, overlap, collect=True) == ids_of(t * 9)
 
 
+def test_chunks_of_cached_pieces_give_the_librarys_ids():
+    """Chunks that are plain never go to the library; those with special strings or unsafe white space do."""
+    enc = _tokens.library_encoder(JSON)
+    for t in ODD:
+        for text in (t * 9, "plain words, as most are. " * 7 + t * 3 + " and more of them\nin lines " * 9):
+            for chunk, overlap in ((40, 8), (97, 30), (500, 64)):
+                assert tokencount.count_by_chunks(LIBRARY, text, chunk, overlap, collect=True, pieces=enc) == ids_of(text)
+
+    class Refused:
+        def encode(self, *args, **kwargs):
+            raise AssertionError("a plain chunk went to the library")
+
+    text = "".join(f"word{k} of line {k % 7},\n" if k % 5 else f"don't {k} " for k in range(20000))
+    assert tokencount.count_by_chunks(Refused(), text, pieces=enc) == len(ids_of(text))
+
+
 def test_token_counts_on_edges(edge):
     got = tokencount.token_counts(edge, JSON, limit=4, huge=1000, chunk=500, overlap=20).collect()
     for r in got:

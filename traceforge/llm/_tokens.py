@@ -73,15 +73,13 @@ class CachedEncoder:
     def plain(self, text: str) -> bool:
         return not _UNSAFE.search(text) and not any(s in text for s in self.special)
 
+    def pieces(self, text: str) -> list[bytes]:
+        """Ids of the pieces of a plain text."""
+        head, *rest = text.split(" ")
+        return [self.piece(head), *map(self.known.__getitem__, rest)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, piece, out = self.known.__getitem__, self.piece, []
-        for t in texts:
-            if self.plain(t):
-                head, *rest = t.split(" ")
-                out.append(piece(head) + b"".join(map(known, rest)))
-            else:
-                out.append(self.whole(t))
-        return out
+        return [b"".join(self.pieces(t)) if self.plain(t) else self.whole(t) for t in texts]
 
 
 def library_encoder(json_path: str, limit: int = 150_000) -> CachedEncoder:
