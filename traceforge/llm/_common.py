@@ -15,13 +15,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 BATCH_ROWS = 1024
 #: Bytes of text that one call of a batch function gets at most (a longer single text comes alone).
 SLICE_BYTES = 4 << 20
+#: Bytes of a row group: a writer holds one in memory, a reader the compressed columns of one.
+GROUP_BYTES = 16 << 20
+_GROUP = "parquet.block.size"
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts, unless the session already asks for less."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches, those of the Parquet reader and the row groups that the session writes small enough for long
+    texts, unless the session already asks for less (or names the size of a row group)."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if int(spark.conf.get(key)) > BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
+    if not spark.conf.get(_GROUP, None) and not spark.sparkContext._jsc.hadoopConfiguration().get(_GROUP):
+        spark.conf.set(_GROUP, str(GROUP_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +49,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/traceforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option(_GROUP, GROUP_BYTES).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
