@@ -85,6 +85,29 @@ def test_lags_equal_the_direct_sums(spark):
     assert agreement.anticorrelation(f.limit(0)).count() == 0
 
 
+def test_peaks_among_equal_windows_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from traceforge.plans import queries
+
+    # every event six times in a row: windows of the same values in another order have the same lag 0 but for its rounding
+    again = "SELECT * REPLACE (event_id + 100000 * k AS event_id) FROM range(6) r(k), '/root/testdata/sf0.01/events.parquet'"
+    con = duckdb.connect()
+    con.execute(f"COPY ({again}) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(queries.ORACLES["w4_anticorrelation_events"]).fetchall()
+    got = queries.w4_anticorrelation_events(spark, str(tmp_path)).collect()
+    assert len(want) > 500 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_lag_0_is_that_of_the_frames_with_both_channels(spark):
+    d, a = [1.0, None, 4.0, 2.0, 7.0], [5.0, 1.0, None, 3.0, 1.0]
+    got = agreement.sliding_lags(spark.createDataFrame([(1, t, d[t], a[t]) for t in range(5)], "molecule_id int, frame int, donor double, acceptor double"), 5).first()
+    assert np.isclose(got.lag0, np.corrcoef([1, 2, 7], [5, 3, 1])[0, 1])
+    md, ma = np.mean([1, 4, 2, 7]), np.mean([5, 1, 3, 1])
+    assert np.isclose(got.lag1, abs((4 - md) * (1 - ma) + (7 - md) * (3 - ma)) / (5 * np.std([1, 4, 2, 7]) * np.std([5, 1, 3, 1])))
+
+
 def test_window_bounds_end_with_the_trace(spark):
     d = spark.createDataFrame([(10, 25, 20), (1, 5, 20), (19, 20, 20)], "a int, d int, n int")
     tail = d.select(*scalar.tail_window(F.col("a"), F.col("d"), F.col("n"))).collect()

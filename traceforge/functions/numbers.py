@@ -23,6 +23,11 @@ def double_bits(x: Column) -> Column:
     return F.when(x.isNotNull(), F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), held).cast("long"))
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c of doubles, rounded once."""
+    return F.call_function("java_method", F.lit("java.lang.Math"), F.lit("fma"), a, b, c).cast("double")
+
+
 def little_endian_hex(x: Column) -> Column:
     """The eight bytes of a double, lowest first, as hexadecimal text."""
     return let(F.lpad(F.hex(double_bits(x)), 16, "0"), lambda h: F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)]))

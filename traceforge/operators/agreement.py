@@ -7,10 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fused
 from ..functions.scalar import NO_STATE, bin_index
 from .population import by_frame
 
@@ -155,27 +156,41 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
     return s.withColumn("k", inside).join(F.broadcast(before), "part").select(key, (F.col("before") + F.col("k")).alias("i"))
 
 
-def sliding_lags(frames: DataFrame, window: int = 15) -> DataFrame:
-    """molecule_id, start, lag0, lag1 (magnitude) of every full window; null where a channel is flat.
+def sliding_lags(frames: DataFrame, window: int = 15, min_magnitude: float | None = None) -> DataFrame:
+    """molecule_id, start, lag0, lag1 (magnitude) of every full window, or of those with a lag 1 of at least ``min_magnitude``; null
+    where a channel is flat.
 
-    Lag 1 is the biased correlation of the donor with the acceptor one frame before, by the window's own means."""
+    Lag 0 is that of the frames with both channels. Lag 1 is the biased correlation of the donor with the acceptor one frame
+    before, by the window's own means. Windows whose lags are equal differ by rounding, so all moments take the frames one by one in
+    their order, which is the same on any partitioning, and products of deviations are added without being rounded first."""
     if window < 2:
         raise ValueError("window must be at least 2")
-    w, late, early = (by_frame().rowsBetween(a, b) for a, b in ((0, window - 1), (1, window - 1), (0, window - 2)))
-    x = frames.withColumn("p", F.col("donor") * F.lag("acceptor").over(by_frame()))
-    md, ma = F.avg("donor").over(w), F.avg("acceptor").over(w)
-    cross = F.sum("p").over(late) - ma * F.sum("donor").over(late) - md * F.sum("acceptor").over(early) + (window - 1) * md * ma
-    sd = F.stddev_pop("donor").over(w) * F.stddev_pop("acceptor").over(w)
-    flat = (F.max("donor").over(w) == F.min("donor").over(w)) | (F.max("acceptor").over(w) == F.min("acceptor").over(w))
-    x = x.select("molecule_id", F.col("frame").alias("start"), F.count("*").over(w).alias("n"), flat.alias("flat"), sd.alias("sd"), F.covar_pop("donor", "acceptor").over(w).alias("cov"), cross.alias("cross"))
-    ok = ~F.col("flat") & (F.col("sd") > 0)
-    return x.filter(F.col("n") == window).select("molecule_id", "start", F.when(ok, F.col("cov") / F.col("sd")).alias("lag0"), F.when(ok, F.abs(F.col("cross") / (window * F.col("sd")))).alias("lag1"))
+    w = by_frame().rowsBetween(0, window - 1)
+    spread = lambda c: F.sqrt(F.covar_pop(c, c).over(w))
+    paired = lambda c, other: F.when(F.col(other).isNotNull(), F.col(c))
+    x = frames.select(
+        "molecule_id", F.col("frame").alias("start"), F.collect_list(F.struct("donor", "acceptor")).over(w).alias("v"), F.avg("donor").over(w).alias("md"), F.avg("acceptor").over(w).alias("ma"),
+        (spread(F.col("donor")) * spread(F.col("acceptor"))).alias("sd"), (spread(paired("donor", "acceptor")) * spread(paired("acceptor", "donor"))).alias("both"),
+    ).filter(F.size("v") == window)
+    lagged = F.zip_with(F.slice("v", 2, window - 1), F.slice("v", 1, window - 1), lambda now, before: (now["donor"] - F.col("md")) * (before["acceptor"] - F.col("ma")))
+    cross = F.aggregate(lagged, F.lit(0.0), lambda s, y: s + F.coalesce(y, F.lit(0.0)))
+    x = x.withColumn("lag1", F.when(F.col("sd") > 0, F.abs(cross / (window * F.col("sd")))))
+    if min_magnitude is not None:
+        x = x.filter(F.col("lag1") >= min_magnitude)
+
+    def moment(s: Column, v: Column) -> Column:
+        n, d = s["n"] + 1, s["d"] + (v["donor"] - s["d"]) / (s["n"] + 1)
+        return F.struct(n.alias("n"), d.alias("d"), (s["a"] + (v["acceptor"] - s["a"]) / n).alias("a"), fused(v["acceptor"] - s["a"], v["donor"] - d, s["c"]).alias("c"))
+
+    none = F.struct(*[F.lit(0.0).alias(c) for c in "ndac"])
+    cov = F.aggregate(F.filter("v", lambda v: v["donor"].isNotNull() & v["acceptor"].isNotNull()), none, moment, lambda s: s["c"] / s["n"])
+    return x.select("molecule_id", "start", F.when((F.col("sd") > 0) & (F.col("both") > 0), cov / F.col("both")).alias("lag0"), "lag1")
 
 
 def anticorrelation(frames: DataFrame, window: int = 15, min_magnitude: float = 0.5, min_windows: int = 1) -> DataFrame:
     """molecule_id, start, stop, windows, peak_frame, peak, mean: runs of windows with negative lag 0 and lag 1 of at
     least ``min_magnitude``; the peak is the centre of the window with the least lag 0 (ties: the first)."""
     o = W.partitionBy("molecule_id").orderBy("start")
-    hit = sliding_lags(frames, window).filter((F.col("lag0") < 0) & (F.col("lag1") >= min_magnitude)).withColumn("g", F.col("start") - F.row_number().over(o))
+    hit = sliding_lags(frames, window, min_magnitude).filter("lag0 < 0").withColumn("g", F.col("start") - F.row_number().over(o))
     e = hit.groupBy("molecule_id", "g").agg(F.min("start").alias("start"), (F.max("start") + window).alias("stop"), F.count("*").alias("windows"), F.min(F.struct("lag0", "start")).alias("least"), F.avg("lag0").alias("mean"))
     return e.filter(F.col("windows") >= min_windows).select("molecule_id", "start", "stop", "windows", (F.col("least.start") + window // 2).alias("peak_frame"), F.col("least.lag0").alias("peak"), "mean")
