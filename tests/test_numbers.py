@@ -63,6 +63,14 @@ def test_conditions_by_faithful_files(spark):
     assert (back.construct_variant, back.ligand_concentration, back.temperature_c, back.buffer) == ("ab", 0.0005, None, "")
 
 
+def test_a_condition_is_read_once_for_all_fields(spark):
+    from traceforge.plans import stored_queries
+
+    plan = stored_queries.f7_condition_fields(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert plan.count("format_string(") <= 3 * 4  # the text of its three numbers is made once, too
+
+
 def test_bounds_and_choice_of_models(spark):
     none = spark.createDataFrame([], "state_count_fraction double, state_mean_abs_delta double, viterbi_agreement double, relative_elbo double")
     assert tuple(stored.frozen_bounds(none).first()) == (0.0, float("inf"), 0.0, float("inf"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: No double needs more significant digits than this.
 MOST_DIGITS = 17
+#: All decimals of so many digits are different doubles, and so read back, down to the least normal double.
+SURE_DIGITS = 15
+LEAST_NORMAL = 2.2250738585072014e-308
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,11 +36,32 @@ def little_endian_hex(x: Column) -> Column:
     return let(F.lpad(F.hex(double_bits(x)), 16, "0"), lambda h: F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)]))
 
 
-def scientific(x: Column) -> Column:
-    """A finite double as d.ddde+XX with the fewest digits that read back as ``x``."""
-    written = lambda p: F.call_function("format_string", F.concat(F.lit("%."), p.cast("string"), F.lit("e")), x)
-    tries = F.transform(F.sequence(F.lit(0), F.lit(MOST_DIGITS)), written)
-    return F.get(F.filter(tries, lambda t: t.try_cast("double") == x), 0)
+def shortest(x: Column) -> Column:
+    """A finite double with the fewest digits that read back as ``x``, zeros at the end apart, as text with or without an exponent.
+
+    The cast's text reads back, but may be longer than need be. Up to SURE_DIGITS no two decimals are one double, so then it isn't;
+    only below the normal doubles, where fewer digits differ, all lengths are tried."""
+    written = lambda p: F.call_function("format_string", F.concat(F.lit("%."), p.cast("string"), F.lit("E")), x)
+    reads_back = lambda t: t.try_cast("double") == x
+    digits = lambda t: F.length(F.regexp_replace(F.substring_index(t, "E", 1), "^-?[0.]*|[.]", ""))
+
+    def of(plain: Column) -> Column:
+        tries = [let(written(F.lit(n - 1)), lambda t: F.when(reads_back(t), t)) for n in range(SURE_DIGITS, MOST_DIGITS + 1)]
+        small = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(MOST_DIGITS)), written), reads_back), 0)
+        return F.when((x != 0) & (F.abs(x) < LEAST_NORMAL), small).when(digits(plain) <= SURE_DIGITS, plain).otherwise(F.coalesce(*tries, plain))
+
+    return let(x.cast("string"), of)
+
+
+def _parts(text: Column) -> Column:
+    """sign, digits (without zeros at either end, but for 0 itself) and exponent of the first one."""
+    held = lambda t: F.struct(
+        F.when(t.startswith("-"), "-").otherwise("").alias("sign"), F.regexp_replace(F.regexp_replace(F.substring_index(t, "E", 1), "^-", ""), "[.]", "").alias("all"),
+        F.length(F.regexp_extract(t, "^-?([0-9]+)", 1)).alias("point"), F.when(t.contains("E"), F.substring_index(t, "E", -1)).otherwise("0").cast("int").alias("power"),
+    )
+    own = lambda h: F.struct(h["sign"].alias("sign"), F.regexp_replace(h["all"], "^0+|0+$", "").alias("digits"), (h["power"] + h["point"] - 1 - F.length(F.regexp_extract(h["all"], "^(0*)", 1))).alias("exponent"))
+    fine = lambda p: F.struct(p["sign"].alias("sign"), F.when(p["digits"] == "", "0").otherwise(p["digits"]).alias("digits"), F.when(p["digits"] == "", 0).otherwise(p["exponent"]).alias("exponent"))
+    return let(let(let(text, held), own), fine)
 
 
 def _decimal(sign: Column, digits: Column, exponent: Column) -> Column:
@@ -52,10 +76,12 @@ def _decimal(sign: Column, digits: Column, exponent: Column) -> Column:
 def decimal_text(x: Column, nan: str = "nan", infinity: str = "inf") -> Column:
     """The shortest decimal that reads back as the same double: positional from 0.0001 up to below 1e16 and always with a
     point, else d.ddde+XX with two digits of exponent at least; -0.0 keeps its sign. Null stays null."""
-    x = x.cast("double")
-    parts = lambda s: F.struct(F.when(s.startswith("-"), "-").otherwise("").alias("sign"), F.regexp_replace(F.substring_index(s, "e", 1), "[-.]", "").alias("digits"), F.substring_index(s, "e", -1).cast("int").alias("exponent"))
-    text = let(let(scientific(x), parts), lambda p: _decimal(p["sign"], p["digits"], p["exponent"]))
-    return F.when(F.isnan(x), nan).when(x == float("inf"), infinity).when(x == float("-inf"), f"-{infinity}").otherwise(text)
+
+    def of(x: Column) -> Column:
+        text = let(_parts(shortest(x)), lambda p: _decimal(p["sign"], p["digits"], p["exponent"]))
+        return F.when(F.isnan(x), nan).when(x == float("inf"), infinity).when(x == float("-inf"), f"-{infinity}").when(x.isNotNull(), text)
+
+    return let(x.cast("double"), of)
 
 
 def hexadecimal_text(x: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import parsed_names
-from ..functions.numbers import decimal_text
+from ..functions.numbers import decimal_text, let
 from ..functions.scalar import NO_STATE, bin_index
 from .curation import IDENTITY
 from .population import by_frame
@@ -147,7 +147,7 @@ def canonical_condition(fields: dict[str, Column]) -> Column:
             text = F.coalesce(decimal_text(c, "NaN", "Infinity"), F.lit("null"))
         else:
             quoted = F.to_json(F.struct(F.coalesce(c.cast("string"), F.lit("")).alias("a")))
-            text = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
+            text = let(quoted, lambda q: F.substring(q, F.lit(6), F.length(q) - 6))
         parts.append(F.concat(F.lit(f'"{short}":'), text))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
@@ -164,8 +164,9 @@ def inconsistent_conditions(conditions: DataFrame) -> DataFrame:
 def condition_key(canonical: Column) -> Column:
     """A struct of the fields of a condition from its canonical text; what is null there is null."""
     numbers = ("ligand_concentration", "temperature_c", "laser_power")
-    got = F.from_json(canonical, ", ".join(f"{short} {'double' if name in numbers else 'string'}" for name, short in CONDITION_FIELDS))
-    return F.struct(*[got[short].alias(name) for name, short in CONDITION_FIELDS])
+    kinds = ", ".join(f"{short} {'double' if name in numbers else 'string'}" for name, short in CONDITION_FIELDS)
+    # the text is read once, not for each field that is asked for
+    return let(F.from_json(canonical, kinds), lambda got: F.struct(*[got[short].alias(name) for name, short in CONDITION_FIELDS]))
 
 
 def new_conditions(molecules: DataFrame, conditions: DataFrame) -> DataFrame:
