@@ -85,6 +85,28 @@ def test_lags_equal_the_direct_sums(spark):
     assert agreement.anticorrelation(f.limit(0)).count() == 0
 
 
+def test_a_small_fit_takes_its_rounds_in_one_task_and_a_large_one_in_many_alike(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(m, t, float(x)) for m in range(12) for t, x in enumerate(rng.normal(np.where(rng.random(3 + m // 2) < 0.4, 0.3, 0.6), 0.15))]
+    v = spark.createDataFrame(rows, "molecule_id long, frame int, x double").repartition(4)
+    sc = spark.sparkContext
+    sc.setJobGroup("small fit", "")
+    small = kinetics.fit_hmm(v, iterations=40, tolerance=0)
+    sc.setJobGroup("others", "")
+    assert len(sc.statusTracker().getJobIdsForGroup("small fit")) < 20
+    monkeypatch.setattr(kinetics, "A_TASK", 20)
+    large = kinetics.fit_hmm(v, iterations=40, tolerance=0)
+    one = kinetics.fit_hmm(v, iterations=1, tolerance=0)
+    # the same rounds by all paths of each series
+    first = v.agg(F.percentile_approx("x", [0.25, 0.75], 10_000).alias("q"), F.stddev_pop("x").alias("s")).first()
+    model = np.full(2, 0.5), np.array([[0.95, 0.05], [0.05, 0.95]]), np.array(first.q), np.full(2, (first.s / 2) ** 2)
+    own = [np.array([x for k, _, x in rows if k == m]) for m in range(12)]
+    for n, got in ((1, [one]), (40, [small, large])):
+        want = kinetics.climb(lambda *now: sum(plain_expectations(x, *now)[0] for x in own), model, n, 0, 1e-6)
+        for g in got:
+            assert all(np.allclose(g[name], w, rtol=1e-9, atol=1e-12) for name, w in zip(("start", "trans", "mean", "var"), want))
+
+
 def test_peaks_among_equal_windows_are_those_of_the_sql(spark, tmp_path):
     import duckdb
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .population import dwells, exit_rates
@@ -121,6 +122,8 @@ def series(values: DataFrame) -> DataFrame:
 
 #: Values (frames of all series, padded) that are worked on at once.
 TOGETHER = 1 << 18
+#: Values for each task of a fit, so that a round isn't spent on starting tasks.
+A_TASK = 1 << 17
 
 
 def padded(xs: Sequence[Sequence[float]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -146,69 +149,97 @@ def emissions(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
 
 def expectations(x: np.ndarray, mask: np.ndarray, start: np.ndarray, trans: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
     """Occupation, value, squared deviation from the current mean and first frame of each state, transitions, likelihood, summed over
-    the series that are the rows of ``x``; all series take a step at once."""
-    b = emissions(x, mean, var)
-    rows, n, k = b.shape
-    f, scale, back = np.empty_like(b), np.ones((rows, n)), np.ones_like(b)
+    the series that are the rows of ``x``; all series take a step at once. ``mask`` holds the first frames of each row."""
+    lengths = mask.sum(1)
+    order = np.argsort(lengths, kind="stable")
+    lengths, x, mask = lengths[order], np.ascontiguousarray(x[order].T), np.ascontiguousarray(mask[order].T)
+    ended = np.searchsorted(lengths, np.arange(len(x)), side="right")  # how many series, the first ones, have no such frame
+    b = np.ascontiguousarray(emissions(x, mean, var).transpose(0, 2, 1))
+    n, k, rows = b.shape
+    f, scale, back = np.zeros_like(b), np.ones((n, rows)), np.ones_like(b)
     for t in range(n):
-        now = (f[:, t - 1] @ trans if t else start) * b[:, t]
-        live = mask[:, t]
-        scale[live, t] = np.maximum(now[live].sum(1), 1e-300)
-        f[:, t] = np.where(live[:, None], now / scale[:, t, None], f[:, t - 1] if t else 0)
-    seen = b / scale[..., None]
+        i = ended[t]
+        now = (trans.T @ f[t - 1, :, i:] if t else start[:, None]) * b[t, :, i:]
+        scale[t, i:] = np.maximum(now.sum(0), 1e-300)
+        f[t, :, i:] = now / scale[t, i:]
+    seen = b / scale[:, None]
     for t in range(n - 2, -1, -1):
-        back[:, t] = np.where(mask[:, t + 1, None], (seen[:, t + 1] * back[:, t + 1]) @ trans.T, 1.0)
+        i = ended[t + 1]
+        back[t, :, i:] = trans @ (seen[t + 1, :, i:] * back[t + 1, :, i:])
     g = f * back
-    g *= (mask / g.sum(2))[..., None]
-    moves = trans * (f[:, :-1].reshape(-1, k).T @ (seen[:, 1:] * back[:, 1:] * mask[:, 1:, None]).reshape(-1, k))
-    flat, value = g.reshape(-1, k), x.reshape(-1)
-    return np.concatenate([flat.sum(0), value @ flat, ((value[:, None] - mean) ** 2 * flat).sum(0), g[:, 0].sum(0), moves.ravel(), [np.log(scale).sum()]])
+    g /= np.where(mask, g.sum(1), 1.0)[:, None]
+    by_state = lambda z: z.transpose(1, 0, 2).reshape(k, -1)
+    moves = trans * (by_state(f[:-1]) @ by_state(seen[1:] * back[1:] * mask[1:, None]).T)
+    flat, value = by_state(g), x.reshape(-1)
+    return np.concatenate([flat.sum(1), flat @ value, ((value - mean[:, None]) ** 2 * flat).sum(1), g[0].sum(1), moves.ravel(), [np.log(scale).sum()]])
+
+
+def climb(sums: Callable[..., np.ndarray], model: tuple[np.ndarray, ...], iterations: int, tolerance: float, floor: float) -> tuple[np.ndarray, ...]:
+    """start, trans, mean, var after rounds of expectation (``sums`` of a model) and maximisation, until the likelihood stays."""
+    start, trans, mean, var = model
+    states, before = len(mean), None
+    for _ in range(iterations):
+        v = sums(start, trans, mean, var)
+        n, sx, s2, s0 = v[: 4 * states].reshape(4, states)
+        moves, likelihood = v[4 * states : -1].reshape(states, states), v[-1]
+        held = n > 0
+        fresh = np.where(held, sx / np.where(held, n, 1), mean)
+        var = np.maximum(np.where(held, s2 / np.where(held, n, 1) - (fresh - mean) ** 2, var), floor)
+        mean, start = fresh, s0 / s0.sum()
+        left = moves.sum(1, keepdims=True)
+        trans = np.where(left > 0, moves / np.where(left > 0, left, 1), trans)
+        if before is not None and abs(likelihood - before) <= tolerance * (1 + abs(before)):
+            break
+        before = likelihood
+    return start, trans, mean, var
 
 
 def fit_hmm(values: DataFrame, states: int = 2, iterations: int = 200, tolerance: float = 1e-6, floor: float = 1e-6) -> dict[str, list]:
     """One Gaussian model for all molecules of ``values`` (molecule_id, frame, x): start, trans, mean, var by rising mean.
 
-    Series are gathered once; each round sums statistics of fixed size, whatever the number of molecules. Means start from
-    (approximate) quantiles."""
+    Series are gathered and padded once, about A_TASK values for each task. A round is one stage, from which tasks return their sums,
+    numbers of a fixed count whatever the number of molecules; values of no more than one task take all their rounds in it. Means
+    start from (approximate) quantiles."""
     if states < 1:
         raise ValueError("states must be positive")
-    rows = series(values).persist()
+    rows, blocks = series(values).persist(), None
     try:
         flat = rows.select(F.explode("xs").alias("x"))
-        first = flat.agg(F.percentile_approx("x", [(k + 0.5) / states for k in range(states)], 10_000).alias("q"), F.stddev_pop("x").alias("s")).first()
+        first = flat.agg(F.percentile_approx("x", [(k + 0.5) / states for k in range(states)], 10_000).alias("q"), F.stddev_pop("x").alias("s"), F.count("*").alias("n")).first()
         if first["q"] is None:
             raise ValueError("no finite value")
         mean = np.array(first["q"], float)
         for k in range(1, states):
             mean[k] = max(mean[k], mean[k - 1] + 1e-6)
-        var = np.full(states, max(first["s"] / states, 1e-3) ** 2)
-        start = np.full(states, 1 / states)
         trans = np.full((states, states), 0.05 / max(states - 1, 1))
         np.fill_diagonal(trans, 0.95 if states > 1 else 1.0)
-        before = None
-        for _ in range(iterations):
-            now = (start, trans, mean, var)
-
-            def step(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-                total = sum((expectations(x, mask, *now) for d in batches for _, x, mask in padded(d["xs"])), 0)
-                if not np.isscalar(total):
-                    yield pd.DataFrame({"k": range(len(total)), "v": total})
-
-            got = {r["k"]: r["v"] for r in rows.select("xs").mapInPandas(step, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-            v = np.array([got[k] for k in sorted(got)])
-            n, sx, s2, s0 = v[: 4 * states].reshape(4, states)
-            moves, likelihood = v[4 * states : -1].reshape(states, states), v[-1]
-            held = n > 0
-            fresh = np.where(held, sx / np.where(held, n, 1), mean)
-            var = np.maximum(np.where(held, s2 / np.where(held, n, 1) - (fresh - mean) ** 2, var), floor)
-            mean, start = fresh, s0 / s0.sum()
-            left = moves.sum(1, keepdims=True)
-            trans = np.where(left > 0, moves / np.where(left > 0, left, 1), trans)
-            if before is not None and abs(likelihood - before) <= tolerance * (1 + abs(before)):
-                break
-            before = likelihood
+        model = np.full(states, 1 / states), trans, mean, np.full(states, max(first["s"] / states, 1e-3) ** 2)
+
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for d in batches:
+                yield pd.DataFrame([(len(x), x.tobytes(), mask.tobytes()) for _, x, mask in padded(d["xs"])], columns=["n", "x", "mask"])
+
+        def unpacked(r: Row) -> tuple[np.ndarray, np.ndarray]:
+            return np.frombuffer(r["x"]).reshape(r["n"], -1), np.frombuffer(r["mask"], bool).reshape(r["n"], -1)
+
+        def whole(own: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+            held = list(own)
+            yield climb(lambda *now: sum(expectations(x, mask, *now) for x, mask in held), model, iterations, tolerance, floor)
+
+        def told(*now: np.ndarray) -> np.ndarray:
+            step = lambda own: [sum((expectations(x, mask, *now) for x, mask in own), 0)]
+            return sum(blocks.mapPartitions(step).collect())
+
+        packed = rows.select("xs").coalesce(1 + first["n"] // A_TASK).mapInPandas(pack, "n int, x binary, mask binary")
+        blocks = packed.rdd.map(unpacked).persist(StorageLevel.MEMORY_AND_DISK)
+        if first["n"] < A_TASK:
+            start, trans, mean, var = blocks.mapPartitions(whole).first()
+        else:
+            start, trans, mean, var = climb(told, model, iterations, tolerance, floor)
     finally:
         rows.unpersist()
+        if blocks is not None:
+            blocks.unpersist()
     o = np.argsort(mean, kind="stable")
     return {"start": start[o].tolist(), "trans": trans[o][:, o].tolist(), "mean": mean[o].tolist(), "var": var[o].tolist()}
 
